@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import langid, ngram_join, packing, tokens
 
 QUERIES = {
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+    "op5_token_counts": tokens.op5_token_counts,
+    "op6_language_id": langid.op6_language_id,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {
