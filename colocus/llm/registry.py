@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, ngram_join, packing, quality, tokens
+from . import langid, ngram_join, packing, pii, quality, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_language_id": langid.op6_language_id,
+    "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
 }
 
