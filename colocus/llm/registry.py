@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, ngram_join, packing, pii, quality, tokens
+from . import html_text, langid, ngram_join, packing, pii, quality, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_html_text": html_text.op2_html_text,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_language_id": langid.op6_language_id,
