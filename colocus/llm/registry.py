@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, ngram_join, packing, pii, quality, tokens
+from . import html_text, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_language_id": langid.op6_language_id,
+    "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
 }
 
 SQL = {
     "op3_ngram_jaccard": ngram_join.OP3_SQL,
+    "op8_source_mixing": mixing.OP8_SQL,
 }
