@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens
+from . import embedding_dedup, html_text, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_html_text": html_text.op2_html_text,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_language_id": langid.op6_language_id,
     "op7_secret_scans": secrets.op7_secret_scans,
