@@ -99,14 +99,15 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), columns: int
     return LanguageModel(langs, np.full(len(langs), -np.log(len(langs))), np.log(counts / counts.sum(axis=1, keepdims=True)), orders)
 
 
-def _score(model):
+def _score(model, with_text: bool):
     def run(batches):
         m = model.value
         for whole in batches:
             for batch in text_batches(whole):
                 found = [m.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], "lang_pred", "score"])
+                n = batch.num_columns - (not with_text)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *more], [*batch.schema.names[:n], "lang_pred", "score"])
 
     return run
 
@@ -116,16 +117,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Predicts the language of every text: the columns in keep, lang_pred and score.
+def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """Predicts the language of every text: the columns in keep, (text,) lang_pred and score.
 
     score is the posterior probability of lang_pred, from 0 to 1. Texts that are null or hold no
     letter get 'und' and 0, as do all texts where the model has no languages; equal scores go to the
     first language by name. Other columns never count; an empty table gives an empty result.
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep) + with_text])
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), with_text), f"{schema}, lang_pred string, score double")
 
 
 def trained_on(docs: DataFrame, **how) -> LanguageModel:

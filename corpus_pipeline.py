@@ -1,13 +1,67 @@
-"""A corpus pipeline of five stages, each a Spark job over all that the stage before kept."""
+"""A corpus pipeline of five stages, each a Spark job over all that the stage before kept.
+
+All stages but the last return the columns of documents; each handles null, empty and very long
+texts, null and repeated ids, and empty tables as the operator that it calls does.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colocus.llm.common import staged, table
+from colocus.llm.langid import UNKNOWN, identify_languages, trained_on
+from colocus.llm.mixing import mix_sources
+from colocus.llm.ngram_join import ngram_jaccard_groups
+from colocus.llm.packing import pack_documents, packing_digest
+from colocus.llm.pii import find_personal_data, redacted, train_from_documents
+
+#: The least posterior with which a language is accepted.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is unknown or doubtful; lang becomes the predicted one."""
+    keep = tuple(c for c in docs.columns if c not in ("text", "lang", "lang_pred", "score"))
+    found = identify_languages(docs, trained_on(docs), keep, with_text=True)
+    accepted = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return accepted.withColumn("lang", F.col("lang_pred")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    groups = ngram_jaccard_groups(docs, n=5, share=80)
+    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind."""
+    keep = tuple(c for c in docs.columns if c not in ("text", "spans"))
+    clean = redacted(find_personal_data(docs, train_from_documents(docs), keep, with_text=True))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(*[c for c in docs.columns if c != "spans"])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources weigh as the root of their sizes, and shuffles all."""
+    return mix_sources(docs, power=0.5, seed=17).drop("copy", "shuffle_key")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all documents into windows."""
+    return packing_digest(pack_documents(docs, "word_bpe_49k.json", 1, 2048))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", duplicate_stage),
+    ("PII", privacy_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
 
+#: No stage but mixing can be put in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
