@@ -11,46 +11,103 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_batches
-from .tokens import CACHED, Splitter, space_split, vocabulary_path
+from .tokens import CACHED, ODD_SPACE, Splitter, space_split, vocabulary_path
 
 #: Bytes of a token id (unsigned, little-endian).
 ID_BYTES = 4
+#: Rows that a task encodes at a time.
+ENCODED_ROWS = 1024
 
 
 class Encoder:
-    """Ids of texts by the tokenizer library, as bytes, with bounded caches of encoded words and parts."""
+    """Ids of texts by the tokenizer library, as bytes, with bounded caches of encoded words and parts.
+
+    The library encodes new words many at a time, separated by spaces; a word's last token is marked
+    as such in the vocabulary, which tells where the next word's ids begin.
+    """
+
+    JOINED = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        self.library, self.split = Tokenizer.from_file(path), Splitter().words
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.library, self.split = Tokenizer.from_file(path), Splitter(path).words
+        # For words that are normalised and split already, the same model without those steps.
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def learn(self, known: dict[str, bytes], words: list[str]) -> None:
-        for k in range(0, len(words), 1024):
-            some = words[k : k + 1024]
-            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # A text in ASCII has the same ids in lower case, unless it may hold an added token.
-        split = [space_split(t.lower() if t.isascii() and "<|" not in t else t) for t in texts]
+    def one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        for group, e in zip(groups, self.merges.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * ID_BYTES
+            data, start = ids.tobytes(), 0
+            if len(ends) != len(group):
+                self.known.update((w, self.one(w)) for w in group)
+                continue
+            for word, end in zip(group, ends.tolist(), strict=True):
+                self.known[word] = data[start:end]
+                start = end
+
+    def dictionary(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
         for cache in (self.parts, self.known):
             if len(cache) >= CACHED:
                 cache.clear()
-        new = {part: None if "<|" in part else self.split(part) for part in set(chain.from_iterable(split)).difference(self.parts)}
-        self.learn(self.parts, [part for part, words in new.items() if words is None])
-        self.learn(self.known, list(set(chain.from_iterable(w for w in new.values() if w)).difference(self.known)))
-        get = self.known.__getitem__
-        self.parts.update((part, b"".join(map(get, words))) for part, words in new.items() if words is not None)
-        get = self.parts.__getitem__
-        return [b"".join(map(get, p)) for p in split]
+        found = list(map(self.parts.get, parts))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        split = self.split
+        new = [None if "<|" in parts[k] else split(parts[k]) for k in missed]
+        self.learn(list(set(chain.from_iterable(w for w in new if w)).difference(self.known)))
+        known, cache = self.known, self.parts
+        for k, words in zip(missed, new, strict=True):
+            if words is None:
+                ids = self.one(parts[k])
+            elif len(words) == 1:
+                ids = known[words[0]]
+            else:
+                ids = b"".join([known[w] for w in words])
+            found[k] = cache[parts[k]] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin."""
+        texts = pc.fill_null(texts, "")
+        # A text in ASCII has the same ids in lower case, unless it may hold an added token.
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        lower = pc.if_else(plain, pc.ascii_lower(texts), texts)
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        split = pc.ascii_split_whitespace(lower)
+        if pc.any(odd).as_py():
+            split = pa.array([space_split(t) if o else s for t, o, s in zip(lower.to_pylist(), odd.to_pylist(), split.to_pylist(), strict=True)], pa.list_(pa.string()))
+        parts = split.flatten().dictionary_encode()
+        ids = self.dictionary(parts.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // ID_BYTES
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = parts.indices.to_numpy()
+        own = size[at]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        place = np.repeat((first[at] - ends[:-1]).astype(np.int32), own)
+        place += np.arange(ends[-1], dtype=np.int32)
+        out = flat[place]
+        offsets = split.offsets.to_numpy()
+        return out, ends[offsets - offsets[0]]
 
 
 class Windows:
@@ -125,13 +182,14 @@ def _pack(vocabulary: str, end_id: int, size: int, fields: list[pa.Field]):
             return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in fields], schema=pa.schema(fields))
 
         for whole in batches:
-            for batch in text_batches(whole):
-                for row, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                    ids += end
+            for batch in text_batches(whole, ENCODED_ROWS):
+                tokens, begin = encoder.encode(batch.column(1))
+                for k, row in enumerate(batch.column(0).to_pylist()):
+                    ids = tokens[begin[k] : begin[k + 1]].tobytes() + end
                     n = len(ids) // ID_BYTES
                     whole_windows = n - n % size
-                    for k in range(0, whole_windows, size):
-                        ready.append([(row, k, ids[k * ID_BYTES : (k + size) * ID_BYTES], n)])
+                    for j in range(0, whole_windows, size):
+                        ready.append([(row, j, ids[j * ID_BYTES : (j + size) * ID_BYTES], n)])
                     if whole_windows < n and (full := windows.place((row, whole_windows, ids[whole_windows * ID_BYTES :], n))):
                         ready.append(full)
                 if ready:

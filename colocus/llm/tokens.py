@@ -20,6 +20,8 @@ from .common import table, text_batches
 
 #: Characters that the tokenizer's \s takes for white space (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
+#: White space besides ASCII's, and characters that only some take for it.
+ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Entries that each of a task's two caches, of words and of parts of texts, holds at most.
 CACHED = 350_000
 
@@ -48,14 +50,28 @@ def _byte_symbols() -> list[str]:
 class Splitter:
     """Splits the parts of texts into the words that are merged each for itself."""
 
-    def __init__(self):
+    #: Characters on whose classes all versions of Unicode agree; the library splits parts with others.
+    COMMON = re.compile("[\x00-\u036f\u0386-\u03ce\u0400-\u0481\u048a-\u0527\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
     def words(self, part: str) -> list[str]:
         if part.isascii():
             part = part.lower()
-            return [part] if part.isalpha() else self.pattern.findall(part)
-        return self.pattern.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+        elif self.COMMON.fullmatch(part):
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        else:
+            part = self.library.normalizer.normalize_str(part)
+            return [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+        if part.isalpha():
+            return [part]
+        if part[-1:] in ".,;:!?" and part[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.pattern.findall(part)
 
 
 class MergeCounter:
@@ -72,7 +88,7 @@ class MergeCounter:
         shown = _byte_symbols()
         self.inner = [vocab[c] for c in shown]
         self.last = [vocab[c + end] for c in shown]
-        self.split = Splitter().words
+        self.split = Splitter(path).words
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]))
         self.parts: dict[str, int] = {}
         self.known: dict[str, int] = {}
