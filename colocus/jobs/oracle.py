@@ -234,7 +234,7 @@ FINAL = {
     "leaf_distances": "select organism1, organism2, round(distance, 6) distance from leaf_dist",
     "leaf_distances_normalised": "select organism1, organism2, round(greatest(distance, 0) / (select max(greatest(distance, 0)) from leaf_dist) * (1 - 1e-4) + 1e-4, 6) norm_distance from leaf_dist",
     "gene_pool": "select organism_id, gene_idx, gene_id, gene_start, gene_end, size, round(weight, 6) weight from pool",
-    "branch_length_sum": "select node_id, round(branch_length, 4) branch_length, round((branch_length - (select min(branch_length) from branch)) / nullif((select max(branch_length) - min(branch_length) from branch), 0), 5) scaled from branch",
+    "branch_length_sum": "select node_id, round(branch_length, 6) branch_length, round((branch_length - (select min(branch_length) from branch)) / nullif((select max(branch_length) - min(branch_length) from branch), 0), 5) scaled from branch",
     "permutation_stats": "select subclade_id, bin, n, round(e_4, 6) e_4, round(e_3, 6) e_3, round(mean, 6) mean, round(median, 6) median, round(pct_above, 6) pct_above from stats",
     "missing_inputs": "select distinct organism_id from molecules where organism_id not in (select organism_id from filtered)",
     "incremental_todo": "select distinct organism_id from organism where organism_id not in (select organism_id from lineage where region < 2)",

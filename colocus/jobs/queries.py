@@ -168,7 +168,7 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "leaf_distances": lambda f: leaf_distances(f),
     "leaf_distances_normalised": lambda f: leaf_distances(f, True),
     "gene_pool": lambda f: hits.gene_pool(f.kept).select("organism_id", "gene_idx", "gene_id", "gene_start", "gene_end", "size", _r("weight")),
-    "branch_length_sum": lambda f: tree.branch_sums(f.tree, HEIGHT).select("node_id", _r("branch_length", 4), _r("scaled", 5)),
+    "branch_length_sum": lambda f: tree.branch_sums(f.tree, HEIGHT).select("node_id", _r("branch_length", 6), _r("scaled", 5)),
     "param_bootstrap": param_bootstrap,
     "bin_bootstrap": lambda f: resample.bin_bootstrap(f.upper),
     "permutation_stats": permutation_stats,

@@ -46,7 +46,7 @@ def gene_pool(kept: DataFrame) -> DataFrame:
     genes = kept.groupBy("organism_id", "gene_id", "gene_start", "gene_end", "size").agg(F.count("*").alias("n_domains"))
     whole = Window.partitionBy("organism_id")
     return genes.select(
-        "organism_id", (F.row_number().over(whole.orderBy("gene_id")) - 1).alias("gene_idx"), "gene_id", "gene_start", "gene_end", "size",
+        "organism_id", (F.row_number().over(whole.orderBy("gene_id")) - 1).cast("long").alias("gene_idx"), "gene_id", "gene_start", "gene_end", "size",
         (F.col("n_domains") / F.sum("n_domains").over(whole)).alias("weight"),
     )
 
