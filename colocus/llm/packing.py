@@ -34,17 +34,19 @@ class Encoder:
 
     JOINED = 256
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.library, self.split = Tokenizer.from_file(path), Splitter(path).words
+        splitter = Splitter(path)
+        self.library, self.split = splitter.library, splitter.words
         # For words that are normalised and split already, the same model without those steps.
         self.merges = Tokenizer(self.library.model)
         self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cached = cached
         self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -67,7 +69,7 @@ class Encoder:
     def dictionary(self, parts: list[str]) -> list[bytes]:
         """The ids of distinct parts."""
         for cache in (self.parts, self.known):
-            if len(cache) >= CACHED:
+            if len(cache) >= self.cached:
                 cache.clear()
         found = list(map(self.parts.get, parts))
         missed = [k for k, ids in enumerate(found) if ids is None]
@@ -162,9 +164,9 @@ class Windows:
         return out
 
 
-def _pack(vocabulary: str, end_id: int, size: int, fields: list[pa.Field]):
+def _pack(vocabulary: str, end_id: int, size: int, fields: list[pa.Field], cached: int):
     def run(batches):
-        encoder, windows = Encoder(vocabulary_path(vocabulary)), Windows(size)
+        encoder, windows = Encoder(vocabulary_path(vocabulary), cached), Windows(size)
         serial = (TaskContext.get().partitionId() << 33) - 1
         end, ready = int(end_id).to_bytes(ID_BYTES, "little"), []
 
@@ -201,7 +203,7 @@ def _pack(vocabulary: str, end_id: int, size: int, fields: list[pa.Field]):
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, size: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, size: int = 2048, cached: int = CACHED) -> DataFrame:
     """Tokenizes every text, appends end_id and packs the ids into windows of at most size ids.
 
     docs has doc_id and text; other columns are ignored. Returns a row per piece: doc_id, start (ids
@@ -209,7 +211,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     end_id), sequence_id and offset (gapless from 0 in its sequence). Every id is in one piece.
     Sequences are full or, for the last few of a task, a power of two long. Null and empty texts are
     the end_id alone; rows with equal or null doc_ids are packed each for itself; an empty table
-    gives an empty result.
+    gives an empty result. cached bounds each task's caches of encoded words: fewer take less memory
+    and more time.
     """
     if size < 2 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -219,7 +222,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     ]
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(_pack(vocabulary, end_id, size, fields), schema)
+    return rows.mapInArrow(_pack(vocabulary, end_id, size, fields, cached), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

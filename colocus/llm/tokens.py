@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -54,14 +55,19 @@ class Splitter:
     COMMON = re.compile("[\x00-\u036f\u0386-\u03ce\u0400-\u0481\u048a-\u0527\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
     def __init__(self, path: str):
+        self.path = path
+        self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+    @cached_property
+    def library(self):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        return Tokenizer.from_file(self.path)
 
     def words(self, part: str) -> list[str]:
         if part.isascii():
-            part = part.lower()
+            low = part.lower()
+            part = part if low == part else low  # one string object for both caches
         elif self.COMMON.fullmatch(part):
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
         else:

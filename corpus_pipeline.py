@@ -49,8 +49,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into windows."""
-    return packing_digest(pack_documents(docs, "word_bpe_49k.json", 1, 2048))
+    """Packs the tokens of all documents into windows.
+
+    The caches are small: Spark reuses its Python workers, which the stages before have filled.
+    """
+    return packing_digest(pack_documents(docs, "word_bpe_49k.json", 1, 2048, cached=100_000))
 
 
 STAGES = [
