@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 from .common import Union, connected_components, staged, table
 
 #: Vectors that choose the pivots, pivots, vectors of a block, and vectors of a leaf, at most.
-SAMPLE, PIVOTS, BLOCK, LEAF = 2048, 256, 8192, 12
+SAMPLE, PIVOTS, BLOCK, LEAF = 2048, 256, 4096, 12
+#: Nodes of one side that are held against the other side's at a time.
+SLICE = 256
+#: Pairs of leaves compared at a time.
+PAIRS = 2048
+#: Cosine to its centre under which a small ball's vector makes it wide, and radii that tell nodes apart.
+WIDE, RADII = 0.97, (0.05, 0.25, 0.6)
 #: Slack of distances for rounding; pairs within it are compared as vectors.
 SLACK = 1e-7
 
@@ -41,10 +47,10 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class CoverTree:
-    """Nodes in arrays: centre, radius, first and last place of its vectors, and its children's range."""
+    """Nodes in arrays: radius, range of its vectors (the first is its centre), and range of its children."""
 
-    def __init__(self, centre, radius, low, high, child, children):
-        self.centre, self.radius, self.low, self.high, self.child, self.children = centre, radius, low, high, child, children
+    def __init__(self, radius, low, high, child, children):
+        self.radius, self.low, self.high, self.child, self.children = radius, low, high, child, children
 
     @staticmethod
     def build(x: np.ndarray) -> tuple[CoverTree, np.ndarray]:
@@ -64,6 +70,8 @@ class CoverTree:
                     balls.append(rest[near])
                     rest = rest[~near]
                 order[low:high] = np.concatenate(balls)
+                # A few vectors far from each other are nodes of their own at once.
+                balls = [part for ball in balls for part in (ball[:, None] if 1 < len(ball) <= LEAF and (x[ball] @ x[ball[0]]).min() < WIDE else [ball])]
                 nodes[k][3:] = [len(nodes), len(nodes) + len(balls)]
                 for ball in balls:
                     below.append(len(nodes))
@@ -71,15 +79,33 @@ class CoverTree:
                     low += len(ball)
             level = below
         sorted_x = x[order]
-        centre = np.array([sorted_x[n[0]] for n in nodes])
-        radius = np.array([np.sqrt(max(0.0, 2 - 2 * (sorted_x[n[0] : n[1]] @ c).min())) for n, c in zip(nodes, centre, strict=True)])
+        radius = np.array([np.sqrt(max(0.0, 2 - 2 * (sorted_x[n[0] : n[1]] @ sorted_x[n[0]]).min())) for n in nodes])
         low, high, _, child, children = np.array(nodes, object).T
-        return CoverTree(centre, radius, low.astype(np.int64), high.astype(np.int64), child.astype(np.int64), children.astype(np.int64)), order
+        return CoverTree(radius, low.astype(np.int64), high.astype(np.int64), child.astype(np.int64), children.astype(np.int64)), order
 
     def parts(self, k: int) -> np.ndarray:
         return np.arange(self.child[k], self.children[k]) if self.child[k] else np.array([k])
 
 
+def near_centres(x: np.ndarray, rx: np.ndarray, y: np.ndarray, ry: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of centres no further apart than their radii and reach, with their distances.
+
+    Nodes of like radii are held against each other by one bound on the cosine, then each by its own.
+    """
+    kx, ky, found = np.searchsorted(RADII, rx), np.searchsorted(RADII, ry), []
+    for a in np.unique(kx):
+        for b in np.unique(ky):
+            ia, jb = np.flatnonzero(kx == a), np.flatnonzero(ky == b)
+            g = x[ia] @ y[jb].T
+            far = rx[ia].max() + ry[jb].max() + reach
+            i, j = np.nonzero(g >= 1 - far * far / 2 - SLACK)
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * g[i, j]))
+            ok = d <= rx[ia[i]] + ry[jb[j]] + reach
+            found.append((ia[i[ok]], jb[j[ok]], d[ok]))
+    i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    return i, j, d
+
+
 def traverse(s: CoverTree, x: np.ndarray, wx: np.ndarray, t: CoverTree, y: np.ndarray, wy: np.ndarray, cosine: float, same: bool):
     """Follows all pairs of nodes of two trees; returns the weights linked to x and y, and joining links.
 
@@ -93,39 +119,49 @@ def traverse(s: CoverTree, x: np.ndarray, wx: np.ndarray, t: CoverTree, y: np.nd
         if forest.join(i, shift + j):
             links.append((i, j))
 
-    todo = [(0, 0)]
+    def leaves(p: np.ndarray, q: np.ndarray):
+        """Compares the vectors of pairs of leaves, many pairs at once."""
+        for k in range(0, len(p), PAIRS):
+            pk, qk = p[k : k + PAIRS], q[k : k + PAIRS]
+            wide = t.high[qk] - t.low[qk]
+            each = (s.high[pk] - s.low[pk]) * wide
+            pair = np.repeat(np.arange(len(pk)), each)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+            u, v = s.low[pk][pair] + place // wide[pair], t.low[qk][pair] + place % wide[pair]
+            near = np.einsum("ij,ij->i", x[u], y[v]) >= cosine
+            own = same & (pk == qk)[pair]
+            near &= ~(own & (u == v))
+            u, v, own = u[near], v[near], own[near]
+            np.add.at(nx, u, wy[v])
+            np.add.at(ny, v[~own], wx[u[~own]])
+            for i, j in zip(u.tolist(), v.tolist(), strict=True):
+                link(i, j)
+
+    todo = [(0, 0, 0)]
     while todo:
-        a, b = todo.pop()
+        a, b, part = todo.pop()
         pa, pb = s.parts(a), t.parts(b)
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (s.centre[pa] @ t.centre[pb].T)))
-        far = s.radius[pa][:, None] + t.radius[pb][None, :]
-        ok = d <= far + reach + SLACK
+        if part + SLICE < len(pa):
+            todo.append((a, b, part + SLICE))
+        pa = pa[part : part + SLICE]
+        i, j, d = near_centres(x[s.low[pa]], s.radius[pa], y[t.low[pb]], t.radius[pb], reach + SLACK)
+        p, q = pa[i], pb[j]
         if same and a == b:
-            ok = np.triu(ok)
-        whole = ok & (d + far <= reach - SLACK)
-        for i, j in np.argwhere(ok):
-            p, q = int(pa[i]), int(pb[j])
-            lp, hp, lq, hq = s.low[p], s.high[p], t.low[q], t.high[q]
-            self_pair = same and p == q
-            if whole[i, j]:
-                nx[lp:hp] += wy[lq:hq].sum() - (wx[lp:hp] if self_pair else 0)
-                if not self_pair:
-                    ny[lq:hq] += wx[lp:hp].sum()
-                for u in range(lp, hp):
-                    link(u, lq)
-                for u in range(lq, hq):
-                    link(lp, u)
-            elif s.child[p] or t.child[q]:
-                todo.append((p, q))
-            else:
-                near = x[lp:hp] @ y[lq:hq].T >= cosine
-                if self_pair:
-                    np.fill_diagonal(near, False)
-                nx[lp:hp] += near @ wy[lq:hq]
-                if not self_pair:
-                    ny[lq:hq] += near.T @ wx[lp:hp]
-                for u, v in np.argwhere(near):
-                    link(lp + int(u), lq + int(v))
+            d, p, q = d[p <= q], p[p <= q], q[p <= q]
+        whole = d + s.radius[p] + t.radius[q] <= reach - SLACK
+        deeper = ~whole & ((s.child[p] > 0) | (t.child[q] > 0))
+        todo.extend((u, v, 0) for u, v in zip(p[deeper].tolist(), q[deeper].tolist(), strict=True))
+        for u, v in zip(p[whole].tolist(), q[whole].tolist(), strict=True):
+            lp, hp, lq, hq = s.low[u], s.high[u], t.low[v], t.high[v]
+            self_pair = same and u == v
+            nx[lp:hp] += wy[lq:hq].sum() - (wx[lp:hp] if self_pair else 0)
+            if not self_pair:
+                ny[lq:hq] += wx[lp:hp].sum()
+            for k in range(lp, hp):
+                link(k, lq)
+            for k in range(lq, hq):
+                link(lp, k)
+        leaves(p[~whole & ~deeper], q[~whole & ~deeper])
     return nx, ny, links
 
 
@@ -137,7 +173,7 @@ def _pack(**arrays) -> bytes:
 
 def _unpack(data: bytes):
     z = np.load(io.BytesIO(data))
-    return CoverTree(*(z[n] for n in ("centre", "radius", "low", "high", "child", "children"))), z["x"], z["rep"], z["m"]
+    return CoverTree(*(z[n] for n in ("radius", "low", "high", "child", "children"))), z["x"], z["rep"], z["m"]
 
 
 def _cells(pivots):
@@ -159,8 +195,8 @@ def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     x = np.stack([np.frombuffer(b) for b in pdf["x"]])
     tree, order = CoverTree.build(x)
     rep, m = pdf["rep"].to_numpy(np.int64)[order], pdf["m"].to_numpy(np.int64)[order]
-    data = _pack(centre=tree.centre, radius=tree.radius, low=tree.low, high=tree.high, child=tree.child, children=tree.children, x=x[order], rep=rep, m=m)
-    return pd.DataFrame([(*map(int, key), tree.centre[0].tobytes(), float(tree.radius[0]), data)], columns=["dim", "cell", "chunk", "centre", "radius", "data"])
+    data = _pack(radius=tree.radius, low=tree.low, high=tree.high, child=tree.child, children=tree.children, x=x[order], rep=rep, m=m)
+    return pd.DataFrame([(*map(int, key), x[order[0]].tobytes(), float(tree.radius[0]), data)], columns=["dim", "cell", "chunk", "centre", "radius", "data"])
 
 
 def _pair(cosine: float):
