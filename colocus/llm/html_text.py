@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest, xxh3_64_intdigest
 
-from .common import staged, table, text_batches
+from .common import given_back, staged, table, text_batches
 
 # Fixed values of HTML: elements without content, with raw text, and that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,7 +214,7 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), shar
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(host.alias("host"), F.col("html").cast("string").alias("html"))
-    seen = rows.mapInArrow(_hash, "host string, subtrees array<long>").select("host", F.explode("subtrees").alias("subtree"))
+    seen = rows.mapInArrow(given_back(_hash), "host string, subtrees array<long>").select("host", F.explode("subtrees").alias("subtree"))
     counts = staged(seen.groupBy("host", "subtree").agg(F.count("*").alias("k")).where(F.col("k") >= least), "html-counts")
     size = counts.where("subtree = 0").select("host", F.col("k").alias("of"))
     often = counts.where("subtree <> 0").join(size, "host").where(F.col("k") >= F.ceil(F.col("of") * share))
@@ -222,7 +222,7 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), shar
     full = pages.select(*[F.col(c) for c in keep], F.col("html").cast("string").alias("html_"), host.alias("host_"))
     joined = full.join(sites.withColumnRenamed("host", "host_"), "host_", "left").select(*keep, "html_", "recurring")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-2])
-    return joined.mapInArrow(_text, f"{schema}, text string")
+    return joined.mapInArrow(given_back(_text), f"{schema}, text string")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_batches
+from .common import given_back, mix64, table, text_batches
 
 #: The language of texts without letters.
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), columns: int
     keep = F.lit(False)
     for lang in langs:
         keep |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(np.ceil(parts * quota[lang] / known[lang])))
-    cells = usable.where(keep).select("lang", "text").mapInArrow(_counts(langs, orders, columns), "cell long, n long")
+    cells = usable.where(keep).select("lang", "text").mapInArrow(given_back(_counts(langs, orders, columns)), "cell long, n long")
     counts = np.zeros(len(langs) * columns)
     for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most a row for each cell of the matrix
         counts[r["cell"]] = r["n"]
@@ -126,7 +126,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, .
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep) + with_text])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), with_text), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(given_back(_score(docs.sparkSession.sparkContext.broadcast(model), with_text)), f"{schema}, lang_pred string, score double")
 
 
 def trained_on(docs: DataFrame, **how) -> LanguageModel:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from .common import Union, connected_components, mix64, staged, table, text_batches
+from .common import Union, connected_components, given_back, mix64, staged, table, text_batches
 
 #: The words that a task's cache of word hashes holds at most.
 CACHED_WORDS = 200_000
@@ -140,7 +140,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, chunk_row
         raise ValueError("share must be in (50, 100] and n positive")
     misses = F.expr(f"n - (({share} * n + 99) div 100)")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = staged(rows.mapInArrow(_fingerprints(n), "doc_id long, n long, fp long, fp2 long, head array<long>"), "ngram-base")
+    base = staged(rows.mapInArrow(given_back(_fingerprints(n)), "doc_id long, n long, fp long, fp2 long, head array<long>"), "ngram-base")
 
     # First column block: n-grams that no other set holds, counted per set.
     lone = (
@@ -153,7 +153,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, chunk_row
 
     # All columns, for the documents still in question.
     texts = rows.join(kept, "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(_sets(n), "rep long, grams array<long>").withColumn("n", F.size("grams").cast("long")), "ngram-sets")
+    sets = staged(texts.mapInArrow(given_back(_sets(n)), "rep long, grams array<long>").withColumn("n", F.size("grams").cast("long")), "ngram-sets")
     cells = sets.select("rep", "n", F.explode("grams").alias("gram"))
     count = cells.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = cells.join(count, "gram")

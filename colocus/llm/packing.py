@@ -7,6 +7,7 @@ row is shuffled. When a task's input ends, the pieces of its open windows are cu
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import given_back, table, text_batches
 from .tokens import CACHED, ODD_SPACE, Splitter, space_split, vocabulary_path
 
 #: Bytes of a token id (unsigned, little-endian).
@@ -38,6 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         splitter = Splitter(path)
         self.library, self.split = splitter.library, splitter.words
         # For words that are normalised and split already, the same model without those steps.
@@ -54,9 +56,10 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
-        for group, e in zip(groups, self.merges.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        # One text at a time: the library's encodings take far more memory than the ids in them.
+        for k in range(0, len(words), self.JOINED):
+            group = words[k : k + self.JOINED]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * ID_BYTES
             data, start = ids.tobytes(), 0
             if len(ends) != len(group):
@@ -222,7 +225,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     ]
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(_pack(vocabulary, end_id, size, fields, cached), schema)
+    return rows.mapInArrow(given_back(_pack(vocabulary, end_id, size, fields, cached)), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

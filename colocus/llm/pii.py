@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import given_back, table, text_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -216,7 +216,7 @@ def train_from_documents(docs: DataFrame, max_rows: int = 2000, max_runs: int =
                 got = [r for t in batch.column(0).to_pylist() for r in labelled_windows(t, base_spans(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in r] for r in got], pa.list_(pa.string())), pa.array([[t for _, t in r] for r in got], pa.list_(pa.int32()))], ["keys", "tags"])
 
-    rows = some.select(F.col("text").cast("string").alias("text")).mapInArrow(runs, "keys array<string>, tags array<int>")
+    rows = some.select(F.col("text").cast("string").alias("text")).mapInArrow(given_back(runs), "keys array<string>, tags array<int>")
     rows = rows.orderBy(F.xxhash64("keys", "tags")).limit(max_runs).collect()
     return train_chain([list(zip(r["keys"], r["tags"], strict=True)) for r in rows])
 
@@ -334,7 +334,7 @@ def find_personal_data(docs: DataFrame, model: ChainModel, keep: tuple[str, ...]
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    got = rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, spans {SPANS}")
+    got = rows.mapInArrow(given_back(_find(docs.sparkSession.sparkContext.broadcast(model))), f"{schema}, spans {SPANS}")
     return got if with_text else got.drop("text")
 
 

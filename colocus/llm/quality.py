@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_batches
+from .common import given_back, staged, table, text_batches
 
 SYMBOLS = "#*$%&|<>"
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -125,7 +125,7 @@ def quality_posteriors(docs: DataFrame, rules: list[tuple[str, str, str]] = RULE
     as they are; an empty table gives an empty result.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    base = staged(rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES)), "quality")
+    base = staged(rows.mapInArrow(given_back(_measure), "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES)), "quality")
     votes = {name: F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for name, bad, good in rules}
     voted = base.withColumns({f"vote_{k}": v for k, v in votes.items()})
     names = [f"vote_{name}" for name, _, _ in rules]

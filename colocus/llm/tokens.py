@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_batches
+from .common import given_back, table, text_batches
 
 #: Characters that the tokenizer's \s takes for white space (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -178,7 +178,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     and repeated doc_ids are kept as they are; an empty table gives an empty result.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(_count(vocabulary), "doc_id long, n_bytes long, n_tokens long").selectExpr("*", f"n_tokens > {int(limit)} over_limit")
+    return rows.mapInArrow(given_back(_count(vocabulary)), "doc_id long, n_bytes long, n_tokens long").selectExpr("*", f"n_tokens > {int(limit)} over_limit")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
