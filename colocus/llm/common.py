@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The setting under which Spark removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -32,11 +35,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the scratch folder and read it back.
 
-    Cuts the lineage, so that later passes and lost executors do not compute it again.
+    Cuts the lineage, so that later passes and lost executors do not compute it again. The shuffle
+    files of the write, which nothing reads again, go when it ends instead of at some collection on
+    the driver.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # the setting counts for frames made under it
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
