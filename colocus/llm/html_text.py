@@ -1,8 +1,9 @@
 """Main text of web pages by removing each site's template.
 
-A first pass hashes the element subtrees outside articles; Spark counts on how many pages of its
-host each occurs. A second pass drops the subtrees that recur on many pages of the host, and
-elements that never hold an article's text (by tag, role or class), and returns the blocks left.
+A first pass hashes the element subtrees; Spark counts on how many pages of its host each occurs,
+apart for those in and those outside an article. A second pass drops the subtrees that recur on many
+pages of the host, and elements that never hold an article's text (by tag, role or class), and
+returns the blocks left. Articles are a hint only: outside them short blocks that are no sentence go.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ASIDE_WORDS = (
 )
 ARTICLE = frozenset(("article", "main"))
 KEPT = ARTICLE | {"html", "body"}
+#: Elements that go only with their list or table when in an article, whose cells and items are often alike.
+PARTS = frozenset("li dt dd tr td th".split())
 _SCOPE = frozenset("article aside blockquote body button div dd dl fieldset figure footer form header html li main nav ol section table td th ul".split())
 _SIBLINGS = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table"))}
 
@@ -41,6 +44,7 @@ _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 _ASIDE = re.compile("(?:" + "|".join(w[:-1] + r"\w*" if w[-1] == "*" else w for w in ASIDE_WORDS) + ")")
 _WORD = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"""[.!?…。！？؟।]["'”’»)\]]*$|.{40}""", re.S)
 _STATE = re.compile(r"\b(?:has|with|no|without)[-_]\w+")
 
 
@@ -64,9 +68,9 @@ def _is_aside(tag: str, attributes: str) -> bool:
 
 
 def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str], set[int]]:
-    """The blocks of a page's main text, and the hashes of its deletable element subtrees.
+    """The blocks of a page's main text, and the hashes of its deletable element subtrees with text.
 
-    Subtrees with a hash in recurring are left out, unless they are in or around an article.
+    Subtrees with a hash in recurring are left out. Articles and what is around them cannot be.
     """
     blocks: list[str] = []
     marks: list[bool] = []  # whether a block is in an article
@@ -84,7 +88,7 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
                 if not aside:
                     blocks.append(line)
                     marks.append(inside > 0)
-                if stack and not inside:
+                if stack:
                     stack[-1][1].append(xxh3_64_digest(line.encode("utf-8", "surrogatepass")))
 
     def close(k: int):
@@ -98,13 +102,13 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
             aside -= is_aside
             if tag in ARTICLE and not is_aside:
                 inside -= 1
-            if inside or not (tag in BLOCK):
-                if stack and not inside:
+            if tag not in BLOCK:
+                if stack:
                     stack[-1][1].extend(children)
                 continue
             key = tag.encode() + b"".join(children)
-            if children and not protected and tag not in KEPT:
-                h = xxh3_64_intdigest(key) >> 1
+            if len(blocks) > before and not protected and tag not in KEPT and not (inside and tag in PARTS):
+                h = xxh3_64_intdigest(b"+" + key if inside else key) >> 1
                 hashes.add(h)
                 if h in recurring:
                     del blocks[before:], marks[before:]
@@ -180,7 +184,7 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
         inside += tag in ARTICLE and not is_aside
     close(0)
     flush()
-    return ([b for b, m in zip(blocks, marks, strict=True) if m] if any(marks) else blocks), hashes
+    return ([b for b, m in zip(blocks, marks, strict=True) if m or _SENTENCE.search(b)] if any(marks) else blocks), hashes
 
 
 def _hash(batches):
@@ -206,7 +210,7 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), shar
     """The main text of every page: the columns in keep and text.
 
     pages has url and html; other columns count only if kept. An element subtree goes if it occurs,
-    outside articles, on at least `least` pages and on at least `share` of the pages of its host (so
+    in or else outside articles, on at least `least` pages and on at least `share` of the pages of its host (so
     a host has at most 1 / share times the subtrees of its mean page). Pages without a host in their
     url count as one host. Blocks are joined by a newline. Null or empty html, and pages of which
     nothing is left, give an empty text; repeated pages count each; an empty table gives an empty

@@ -58,6 +58,13 @@ def test_html(spark):
     assert got[20] == got[21] == "" and got[22] == "Weather now"
 
 
+def test_html_recurring_in_articles(spark):
+    share = "<div class=x7><p>Tell your friends about us</p></div>"
+    pages = [(k, f"http://a.com/{k}", f"<body><main><h1>Title {k}</h1><p>Story {k}</p>{share}</main><div><p>An end that main leaves out, {k}.</p><p>more</p></div></body>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nStory 3\nAn end that main leaves out, 3."
+
+
 def jaccard(rows, n=4, share=85):
     sets = {}
     for i, t in rows:
