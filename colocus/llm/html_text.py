@@ -1,8 +1,8 @@
 """Main text of web pages by removing each site's template.
 
-A first pass hashes the element subtrees; Spark counts on how many pages of its host each occurs,
-apart for those in and those outside an article. A second pass drops the subtrees that recur on many
-pages of the host, and elements that never hold an article's text (by tag, role or class), and
+A first pass hashes the element subtrees; Spark counts in how many different texts of its host each
+occurs, apart for those in and those outside an article. A second pass drops the subtrees that recur in
+some texts of the host, and elements that never hold an article's text (by tag, role or class), and
 returns the blocks left. Articles are a hint only: outside them short blocks that are no sentence go.
 """
 
@@ -190,9 +190,9 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
 def _hash(batches):
     for whole in batches:
         for batch in text_batches(whole, 64):
-            found = [sorted(walk(h)[1]) if h else [] for h in batch.column(1).to_pylist()]
-            # 0 stands for the page itself
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[0, *f] for f in found], pa.list_(pa.int64()))], ["host", "subtrees"])
+            found = [walk(h) if h else ([], set()) for h in batch.column(2).to_pylist()]
+            contents = pa.array([xxh3_64_intdigest("\n".join(b).encode("utf-8", "surrogatepass")) >> 1 for b, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], contents, pa.array([sorted(s) for _, s in found], pa.list_(pa.int64()))], ["host", "page", "content", "subtrees"])
 
 
 def _text(batches):
@@ -206,25 +206,26 @@ def _text(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(texts, pa.string())], [*batch.schema.names[:last], "text"])
 
 
-def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), share: float = 0.1, least: int = 3) -> DataFrame:
+def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least: int = 3) -> DataFrame:
     """The main text of every page: the columns in keep and text.
 
     pages has url and html; other columns count only if kept. An element subtree goes if it occurs,
-    in or else outside articles, on at least `least` pages and on at least `share` of the pages of its host (so
-    a host has at most 1 / share times the subtrees of its mean page). Pages without a host in their
-    url count as one host. Blocks are joined by a newline. Null or empty html, and pages of which
-    nothing is left, give an empty text; repeated pages count each; an empty table gives an empty
-    result.
+    in or else outside articles, in at least `least` different texts of its host: pages of a host with
+    the same text before this deletion are one. Every page is joined with its own recurring subtrees.
+    Pages without a host in their url count as one host. Blocks are joined by a newline. Null or empty
+    html, and pages of which nothing is left, give an empty text; an empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    rows = pages.select(host.alias("host"), F.col("html").cast("string").alias("html"))
-    seen = rows.mapInArrow(given_back(_hash), "host string, subtrees array<long>").select("host", F.explode("subtrees").alias("subtree"))
-    counts = staged(seen.groupBy("host", "subtree").agg(F.count("*").alias("k")).where(F.col("k") >= least), "html-counts")
-    size = counts.where("subtree = 0").select("host", F.col("k").alias("of"))
-    often = counts.where("subtree <> 0").join(size, "host").where(F.col("k") >= F.ceil(F.col("of") * share))
-    sites = staged(often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("recurring")), "html-sites")
-    full = pages.select(*[F.col(c) for c in keep], F.col("html").cast("string").alias("html_"), host.alias("host_"))
-    joined = full.join(sites.withColumnRenamed("host", "host_"), "host_", "left").select(*keep, "html_", "recurring")
+    html = F.col("html").cast("string")
+    page = F.unhex(F.md5(html.cast("binary")))
+    rows = pages.select(host.alias("host"), page.alias("page"), html.alias("html"))
+    seen = staged(rows.mapInArrow(given_back(_hash), "host string, page binary, content long, subtrees array<long>"), "html-subtrees")
+    votes = seen.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+    often = staged(votes.groupBy("host", "subtree").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("host", "subtree"), "html-recurring")
+    met = seen.select("host", "page", F.explode("subtrees").alias("subtree")).join(often, ["host", "subtree"])
+    lists = staged(met.groupBy(F.col("host").alias("host_"), F.col("page").alias("page_")).agg(F.sort_array(F.collect_set("subtree")).alias("recurring")), "html-lists")
+    full = pages.select(*[F.col(c) for c in keep], html.alias("html_"), host.alias("host_"), page.alias("page_"))
+    joined = full.join(lists, ["host_", "page_"], "left").select(*keep, "html_", "recurring")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-2])
     return joined.mapInArrow(given_back(_text), f"{schema}, text string")
 

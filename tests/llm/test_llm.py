@@ -65,6 +65,14 @@ def test_html_recurring_in_articles(spark):
     assert got[3] == "Title 3\nStory 3\nAn end that main leaves out, 3."
 
 
+def test_html_votes(spark):
+    note = "<div class=x7><p>Tell your friends about us</p></div>"
+    pages = [(k, f"http://a.com/{k}", f"<body><div><p>Story {k}</p></div>{note if k < 3 else ''}</body>") for k in range(60)]
+    pages += [(60 + k, f"http://b.com/{k}", f"<body><!-- {k} --><div><p>One text</p></div></body>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Story 1" and got[60] == got[62] == "One text" and len(got) == 63
+
+
 def jaccard(rows, n=4, share=85):
     sets = {}
     for i, t in rows:
