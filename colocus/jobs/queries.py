@@ -106,12 +106,12 @@ def leaf_distances(f: Flow, norm: bool = False) -> DataFrame:
 def permutation_draws(f: Flow) -> DataFrame:
     """Permutations of the root's and regions' bins of up to 50 pairs' occurrences."""
     bins = resample.bin_counts(f.upper).where("bin <= 50")
-    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, n_perm=20)
+    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT), n_perm=20)
 
 
 def permutation_stats(f: Flow) -> DataFrame:
     s = resample.summary(permutation_draws(f), ["subclade_id", "bin"])
-    return s.select("subclade_id", "bin", "n", *[_r(c) for c in ("e_4", "e_3", "mean", "median", "pct_above")])
+    return s.select("subclade_id", "bin", "n", *[_r(c) for c in ("e_4", "e_3", "mean", "median", "pct_above", "moved")])
 
 
 def permutation_heatmap(f: Flow) -> DataFrame:

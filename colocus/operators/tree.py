@@ -90,6 +90,27 @@ def leaf_distances(tree: DataFrame, height: int, depth: int = 0) -> DataFrame:
     return met.groupBy("organism1", "organism2").agg(F.max_by(F.col("span1") + F.col("span2"), "ancestor_depth").alias("distance"))
 
 
+def diameter(tree: DataFrame, height: int) -> DataFrame:
+    """The longest path between two leaves, as top: at some node, the sum of its two longest arms."""
+    above = ancestors(tree, height).join(tree.where("is_leaf").select("node_id"), "node_id")
+    child = above.select("node_id", (F.col("ancestor_depth") - 1).alias("ancestor_depth"), F.col("ancestor_id").alias("child_id"))
+    arms = above.join(child, ["node_id", "ancestor_depth"]).groupBy("ancestor_id", "child_id").agg(F.max("span").alias("span"))
+    first = arms.groupBy("ancestor_id").agg(F.max(F.struct("span", "child_id")).alias("first"))
+    second = arms.join(first, "ancestor_id").where("child_id <> first.child_id").groupBy("ancestor_id").agg(F.max(F.col("first.span") + F.col("span")).alias("d"))
+    return second.agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("top"))
+
+
+def pair_distances(pairs: DataFrame, tree: DataFrame, height: int, least: float = 1e-4) -> DataFrame:
+    """The distances of pairs(organism1, organism2) of leaves, brought to [least, 1] as in normalised() over all leaves."""
+    above = ancestors(tree, height).join(tree.where("is_leaf").select("node_id", "organism_id"), "node_id")
+    a = above.select(F.col("organism_id").alias("organism1"), "ancestor_id", "ancestor_depth", F.col("span").alias("span1"))
+    b = above.select(F.col("organism_id").alias("organism2"), "ancestor_id", F.col("span").alias("span2"))
+    met = pairs.select("organism1", "organism2").distinct().join(a, "organism1").join(b, ["organism2", "ancestor_id"])
+    found = met.groupBy("organism1", "organism2").agg(F.max_by(F.col("span1") + F.col("span2"), "ancestor_depth").alias("d"))
+    share = F.coalesce(F.col("d") / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0))
+    return found.join(F.broadcast(diameter(tree, height))).select("organism1", "organism2", (share * (1 - least) + least).alias("norm_distance"))
+
+
 def normalised(distances: DataFrame, least: float = 1e-4) -> DataFrame:
     """Distances brought to [least, 1]; the least distance is the 0 of a leaf to itself."""
     d = F.greatest("distance", F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colocus.functions import scalar as h
 from colocus.jobs.oracle import SQL
 from colocus.jobs.queries import QUERIES
-from colocus.operators import fit, hits, pairs, tree
+from colocus.operators import fit, hits, pairs, resample, tree
 from colocus.sources import text
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +61,25 @@ def test_tree_weights(spark):
     assert d[("A", "B")] == 40 and d[("A", "D")] == 160
 
 
+def test_permutations_use_tree_distances(spark):
+    t = text.newick_tree(spark, "(D:80,(C:50,(A:0,B:0)two:30)three:30);")
+    d = {(r["organism1"], r["organism2"]): r["norm_distance"] for r in tree.pair_distances(spark.createDataFrame([("A", "B"), ("D", "A"), ("D", "C")], "organism1 string, organism2 string"), t, 3).collect()}
+    assert d == pytest.approx({("A", "B"): 1e-4, ("D", "A"): 140 / 160 * 0.9999 + 1e-4, ("D", "C"): 1.0})
+    bins = spark.createDataFrame([(0, 2)], "subclade_id int, bin long")
+    uniform = spark.createDataFrame([("A", -9.0), ("B", -9.0), ("D", -9.0)], "organism_id string, log_uni_prob double")
+    pool = spark.createDataFrame([(o, i, i * 100, i * 100 + 9, 1000) for o in "ABD" for i in range(9)], "organism_id string, gene_idx long, gene_start int, gene_end int, size int")
+
+    def moved(*members, weights=None):
+        of = spark.createDataFrame([(0, m) for m in members], "subclade_id int, organism_id string")
+        return resample.permutations(bins, of, pool, uniform, lambda x: tree.pair_distances(x, t, 3), n_perm=200, weights=weights)
+
+    near, far = (moved("A", x).agg(F.avg("moved")).first()[0] for x in "BD")
+    assert near == pytest.approx(0.125, abs=0.06) and far == pytest.approx(0.344, abs=0.06)
+    half = spark.createDataFrame([(0, "A", 0.5), (0, "B", 0.5)], "subclade_id int, organism_id string, weight double")
+    assert moved("A", "B", weights=half).select("log_uni").distinct().collect() == [(-9.0,)]
+    assert resample.summary(moved("A", "B"), ["bin"]).first()["moved"] == pytest.approx(near)
+
+
 def test_em_recovers_a_mixture():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.exponential(1000, 3000), rng.uniform(0, 50000, 27000)]).round()
