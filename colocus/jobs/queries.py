@@ -40,7 +40,6 @@ class Flow:
     closure = cached_property(lambda s: staged(tree.closure_weights(s.scores), "closure"))
     root = cached_property(lambda s: s.closure.where("subclade_id = 0"))
     subclades = cached_property(lambda s: staged(subclades.conserved_subclades(s.organism, s.uniform, s.closure), "subclades"))
-    upper = cached_property(lambda s: staged(subclades.conserved_subclades(s.organism, s.uniform, s.closure.join(s.tree.where("depth < 2").select(F.col("node_id").alias("subclade_id")), "subclade_id")), "upper"))
 
     @cached_property
     def nation_histogram(self) -> DataFrame:
@@ -104,9 +103,9 @@ def leaf_distances(f: Flow, norm: bool = False) -> DataFrame:
 
 
 def permutation_draws(f: Flow) -> DataFrame:
-    """Permutations of the root's and regions' bins of up to 50 pairs' occurrences."""
-    bins = resample.bin_counts(f.upper).where("bin <= 50")
-    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT), n_perm=20)
+    """Permutations of all bins of all subclades."""
+    bins = resample.bin_counts(f.subclades)
+    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT))
 
 
 def permutation_stats(f: Flow) -> DataFrame:
@@ -116,7 +115,7 @@ def permutation_stats(f: Flow) -> DataFrame:
 
 def permutation_heatmap(f: Flow) -> DataFrame:
     sizes = f.closure.groupBy("subclade_id").agg(F.count("*").alias("n_members"))
-    return resample.heatmap(resample.summary(permutation_draws(f), ["subclade_id", "bin"]), sizes, [1, 5, 10, 50])
+    return resample.heatmap(resample.summary(permutation_draws(f), ["subclade_id", "bin"]), sizes, [1, 5, 10, 50, 100, 500, 1000, 5000, 10_000, 50_000, 100_000])
 
 
 def param_bootstrap(f: Flow) -> DataFrame:
@@ -164,13 +163,13 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "pair_split": lambda f: subclades.split_flags(f.subclades, f.tree),
     "pruned_subclades": lambda f: subclades.prune(f.subclades, f.tree, tree.ancestors(f.tree, HEIGHT)).select("subclade_id", *CONSERVED, _r("prob")),
     "occurrence_bins": lambda f: f.organism.groupBy("domain1", "domain2").agg(F.sum("occurrences").alias("occurrences")).select("domain1", "domain2", "occurrences", h.single_bin(F.col("occurrences")).alias("single_bin"), F.array_join(h.occurrence_bins(F.col("occurrences")).cast("array<string>"), ",").alias("bins")),
-    "bin_pairs": lambda f: resample.bin_counts(f.upper).select("subclade_id", "bin", "n_pairs", _r("mean_prob", 5)),
+    "bin_pairs": lambda f: resample.bin_counts(f.subclades).select("subclade_id", "bin", "n_pairs", _r("mean_prob", 5)),
     "leaf_distances": lambda f: leaf_distances(f),
     "leaf_distances_normalised": lambda f: leaf_distances(f, True),
     "gene_pool": lambda f: hits.gene_pool(f.kept).select("organism_id", "gene_idx", "gene_id", "gene_start", "gene_end", "size", _r("weight")),
     "branch_length_sum": lambda f: tree.branch_sums(f.tree, HEIGHT).select("node_id", _r("branch_length", 6), _r("scaled", 5)),
     "param_bootstrap": param_bootstrap,
-    "bin_bootstrap": lambda f: resample.bin_bootstrap(f.upper),
+    "bin_bootstrap": lambda f: resample.bin_bootstrap(f.subclades),
     "permutation_stats": permutation_stats,
     "permutation_heatmap": permutation_heatmap,
     "missing_inputs": lambda f: hits.missing_inputs(f.g.molecules(), f.filtered),

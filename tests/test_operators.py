@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import duckdb
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colocus.functions import scalar as h
+from colocus.jobs import queries
 from colocus.jobs.oracle import SQL
 from colocus.jobs.queries import QUERIES
 from colocus.operators import fit, hits, pairs, resample, tree
@@ -80,6 +82,17 @@ def test_permutations_use_tree_distances(spark):
     assert resample.summary(moved("A", "B"), ["bin"]).first()["moved"] == pytest.approx(near)
 
 
+def test_resampling_covers_all_bins_and_subclades(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(resample, "permutations", lambda bins, *a, **k: asked.update(bins=bins, options=k))
+    queries.permutation_draws(f := queries.Flow(spark, SF))
+    pairs_of = f.subclades.where("occurrences > 0").select("subclade_id").distinct()
+    assert asked["bins"].select("subclade_id").distinct().count() == pairs_of.count() and "n_perm" not in asked["options"]
+    assert asked["bins"].agg(F.max("bin")).first()[0] == resample.bin_counts(f.subclades).agg(F.max("bin")).first()[0]
+    defaults = inspect.signature(resample.bin_bootstrap).parameters["samples"].default
+    assert defaults == 10_000 and f.subclades.join(f.tree.where("depth >= 2").select(F.col("node_id").alias("subclade_id")), "subclade_id").join(asked["bins"], "subclade_id").count()
+
+
 def test_em_recovers_a_mixture():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.exponential(1000, 3000), rng.uniform(0, 50000, 27000)]).round()
