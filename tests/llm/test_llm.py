@@ -110,20 +110,37 @@ def test_ngram_join(spark, n):
     assert ngram_join.ngram_jaccard_groups(df.limit(0)).count() == 0
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 60)
+def linked(vectors, cosine=0.9):
+    """Links and least reachable id of every vector, by brute force."""
+    links, least = dict.fromkeys(range(len(vectors)), 0), {k: k for k in range(len(vectors))}
+    sound = [k for k, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
+    for dim in {len(vectors[k]) for k in sound}:
+        own = np.array([k for k in sound if len(vectors[k]) == dim])
+        x = embedding_dedup.unit([vectors[k] for k in own])
+        near, label, before = x @ x.T >= cosine, own, None
+        while before is None or (label != before).any():
+            before, label = label, np.array([label[row].min() for row in near])
+        links |= {int(k): int(near[i].sum()) - 1 for i, k in enumerate(own)}
+        least |= {int(k): int(label[i]) for i, k in enumerate(own)}
+    return links, least
+
+
+def test_embeddings(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 16))
-    vectors = [list(map(float, centres[k % 40] + rng.normal(size=16) * 0.25)) for k in range(300)]
-    vectors += [vectors[0], None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [1e300] * 16, [1.0] * 16, []]
-    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
-    sound = [k for k, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
-    x = embedding_dedup.unit([vectors[k] for k in sound])
-    near = x @ x.T >= 0.9
-    want = dict.fromkeys(range(len(vectors)), 0) | {k: int(near[i].sum()) - 1 for i, k in enumerate(sound)}
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_groups(df).collect()}
-    assert {k: r["n_links"] for k, r in got.items()} == want
-    assert got[300]["component_id"] == got[0]["component_id"] and got[301]["kept"]
+    vectors = [list(map(float, centres[k % 40] + rng.normal(size=16) * 0.25)) for k in range(400)]
+    vectors += [list(map(float, centres[0] + rng.normal(size=16) * 0.02)) for _ in range(150)]  # a tight group
+    vectors += [list(map(float, centres[1] * s)) for s in rng.uniform(0.5, 3, 120)]  # one direction
+    vectors += [list(map(float, centres[2]))] * 50
+    vectors += [vectors[0], None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [1e300] * 16, [1.0] * 16, [], [1.0, 2.0], [2.0, 4.0], [1.0, -2.0]]
+    df = spark.createDataFrame([(k, v, "x", 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, node string, rep int")
+    links, least = linked(vectors)
+    for block in (100 * 16, 1 << 18):  # two levels of tables, and none
+        got = {r["vec_id"]: r for r in embedding_dedup.embedding_groups(df, block=block, group=90 * 16).collect()}
+        assert {k: r["n_links"] for k, r in got.items()} == links
+        assert {k: r["component_id"] for k, r in got.items()} == least
+        assert all(r["kept"] == (k == least[k]) for k, r in got.items())
+    assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
 def test_tokens_and_packing(spark, docs):
