@@ -4,8 +4,9 @@ The document-by-n-gram incidence matrix is cut into column blocks (ranges of the
 row blocks (groups of documents). A document that links needs all but a few of its n-grams in some
 other document, so a first column block already discards every document with more unmatched
 n-grams in it than that bound allows. The rest are grouped by the rarest n-grams that a partner
-must share, and only row blocks within one group are multiplied: overlap counts are accumulated
-column by column and pairs under the bound that both sizes imply are discarded.
+must share. Within a group, row blocks hold documents of like size, and only blocks whose sizes allow
+a link are multiplied: overlap counts are accumulated column by column and pairs under the bound that
+both sizes imply are discarded. Equal sets are one row of the matrix with their number as weight.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ def _fingerprints(n: int):
         words, seen = _Words(), set()
         for whole in batches:
             for batch in text_batches(whole):
-                ids, sizes, fps, heads = batch.column(0), [], [], []
-                for text in batch.column(1).to_pylist():
+                sizes, fps, heads = [], [], []
+                for text in batch.column(2).to_pylist():
                     h = shingle_hashes(text, words, n)
                     fp = xxh3_128_intdigest(h.tobytes())
                     sizes.append(len(h))
@@ -77,8 +78,8 @@ def _fingerprints(n: int):
                     seen.add(fp)
                 fp = np.array([(x >> 64, x & (2**64 - 1)) for x in fps], np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(_long(fp[:, 0].copy())), pa.array(_long(fp[:, 1].copy())), _lists(heads)],
-                    ["doc_id", "n", "fp", "fp2", "head"],
+                    [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(_long(fp[:, 0].copy())), pa.array(_long(fp[:, 1].copy())), _lists(heads)],
+                    ["doc_id", "th", "n", "fp", "fp2", "head"],
                 )
 
     return run
@@ -86,61 +87,62 @@ def _fingerprints(n: int):
 
 def _sets(n: int):
     def run(batches):
-        words = _Words()
+        words, seen = _Words(), set()
         for whole in batches:
             for batch in text_batches(whole):
-                sets = [shingle_hashes(t, words, n) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _lists(sets)], ["rep", "grams"])
+                sets = {xxh3_128_intdigest((h := shingle_hashes(t, words, n)).tobytes()): h for t in batch.column(0).to_pylist()}
+                sets = {fp: h for fp, h in sets.items() if fp not in seen}
+                seen.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(_long(np.array([fp >> 64 for fp in sets], np.uint64))), _lists(list(sets.values()))], ["fp", "grams"])
 
     return run
 
 
 def _product(share: int):
-    """Multiplies two row blocks of a group and returns links that join their documents' components."""
+    """Multiplies two row blocks of a group, or one by itself.
+
+    Returns the weight linked to each row (a, n), and links (a, b) that join their documents' components.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["rep"].to_numpy(np.int64)
+        pdf = pdf.sort_values(["n", "fp"])
+        ids, m, block, size = (pdf[c].to_numpy(np.int64) for c in ("fp", "m", "block", "n"))
         sets = [np.asarray(x, np.int64) for x in pdf["grams"]]
-        chunk = pdf["chunk"].to_numpy()
-        order = np.lexsort((ids, [len(s) for s in sets]))
-        ids, sets, chunk = ids[order], [sets[i] for i in order], chunk[order]
-        size = np.array([len(s) for s in sets])
         rows = np.repeat(np.arange(len(ids)), size)
         columns, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         by = np.argsort(inverse, kind="stable")
         rows_of, starts = rows[by], np.searchsorted(inverse[by], np.arange(len(columns) + 1))
-        own, parts, links = np.split(inverse, np.cumsum(size)[:-1]), Union(len(ids)), []
-        two = chunk.min() != chunk.max()
+        own, parts, links, linked = np.split(inverse, np.cumsum(size)[:-1]), Union(len(ids)), [], np.zeros(len(ids), np.int64)
+        two = key[1] != key[2]
         for i in range(1, len(ids)):
-            cols = own[i]
-            held = np.concatenate([rows_of[starts[c] : starts[c + 1]] for c in cols])
+            held = np.concatenate([rows_of[starts[c] : starts[c + 1]] for c in own[i]])
             overlap = np.bincount(held[held < i], minlength=i)
             ok = 100 * overlap >= share * (size[:i] + size[i] - overlap)
             if two:
-                ok &= chunk[:i] != chunk[i]
-            for j in np.flatnonzero(ok):
-                if parts.join(i, int(j)):
-                    links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+                ok &= block[:i] != block[i]
+            at = np.flatnonzero(ok)
+            linked[i] += m[at].sum()
+            linked[at] += m[i]
+            links += [(i, j) for j in at.tolist() if parts.join(i, j)]
+        i, j = np.array(links, np.int64).reshape(-1, 2).T
+        some = linked > 0
+        none = pd.array([None] * int(some.sum()), "Int64")
+        return pd.concat([pd.DataFrame({"a": ids[i], "b": pd.array(ids[j], "Int64"), "n": 0}), pd.DataFrame({"a": ids[some], "b": none, "n": linked[some]})])
 
     return run
 
 
-def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, chunk_rows: int = 512) -> DataFrame:
-    """Groups documents linked by word n-gram Jaccard similarity of at least share percent.
+def _joined(docs: DataFrame, n: int, share: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with the size and fingerprint of their set; and every set's links, component and first row.
 
-    docs has doc_id (unique, not null) and text; other columns are ignored. Returns doc_id,
-    n_shingles (size of the document's set) and component_id, the smallest doc_id reachable by
-    links. Exact: every pair with 100 * |intersection| >= share * |union| is in one component (up to
-    collisions of 64-bit n-gram hashes). Null and empty texts have n_shingles 0 and stand alone, as
-    do documents with a null doc_id, whose component_id is null; equal texts are one set and meet
-    in one component; an empty table gives an empty result.
+    A component is named by the least fingerprint in it. lead is a set's first row by doc_id, then by a
+    hash of its text; rows without a doc_id come last.
     """
     if not 50 < share <= 100 or n < 1:
         raise ValueError("share must be in (50, 100] and n positive")
     misses = F.expr(f"n - (({share} * n + 99) div 100)")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = staged(rows.mapInArrow(given_back(_fingerprints(n)), "doc_id long, n long, fp long, fp2 long, head array<long>"), "ngram-base")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    base = staged(rows.mapInArrow(given_back(_fingerprints(n)), "doc_id long, th long, n long, fp long, fp2 long, head array<long>"), "ngram-base")
 
     # First column block: n-grams that no other set holds, counted per set.
     lone = (
@@ -148,46 +150,92 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, chunk_row
         .groupBy("gram").agg(F.min("fp").alias("fp"), F.max("fp").alias("last")).where("fp = last")
         .groupBy("fp").agg(F.count("*").alias("lone"))
     )
-    classes = base.where("n > 0 and doc_id is not null").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    kept = classes.join(lone, "fp", "left").where(F.coalesce("lone", F.lit(0)) <= misses).select(F.col("rep").alias("doc_id"))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")
+    classes = staged(base.where("n > 0").groupBy("fp", "fp2", "n").agg(lead, F.count("*").alias("m")), "ngram-classes")
+    kept = classes.join(lone, "fp", "left").where(F.coalesce("lone", F.lit(0)) <= misses).select(F.col("lead.doc_id").alias("id_"), F.col("lead.th").alias("th_"))
 
     # All columns, for the documents still in question.
-    texts = rows.join(kept, "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(given_back(_sets(n)), "rep long, grams array<long>").withColumn("n", F.size("grams").cast("long")), "ngram-sets")
-    cells = sets.select("rep", "n", F.explode("grams").alias("gram"))
+    texts = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left_semi")
+    sets = staged(texts.select("text").mapInArrow(given_back(_sets(n)), "fp long, grams array<long>"), "ngram-sets")
+    if not sets.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").isEmpty():  # equal rows with one doc_id
+        sets = staged(sets.groupBy("fp").agg(F.first("grams").alias("grams")), "ngram-sets")
+    sets = sets.withColumn("n", F.size("grams").cast("long"))
+    cells = sets.select("fp", "n", F.explode("grams").alias("gram"))
     count = cells.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = cells.join(count, "gram")
-    order = Window.partitionBy("rep").orderBy("df", "gram")
-    whole = Window.partitionBy("rep")
+    order = Window.partitionBy("fp").orderBy("df", "gram")
+    whole = Window.partitionBy("fp")
     # A partner shares at least one of a set's rarest (misses + 1) n-grams; the unshared ones come first.
     prefix = staged(
         shared.withColumns({"at": F.row_number().over(order), "held": F.count("*").over(whole)})
         .where(F.col("at") + F.col("n") - F.col("held") <= misses + 1)
-        .select("rep", "gram"),
+        .select("fp", "gram"),
         "ngram-prefix",
     )
-    hubs = prefix.groupBy("gram").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    near = prefix.join(hubs, "gram").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = staged(connected_components(near), "ngram-groups").withColumnsRenamed({"node": "rep", "component": "cluster"})
-
-    # Row blocks: each group in chunks of about chunk_rows sets of like size, taken two by two.
-    size = groups.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1")
-    members = groups.join(size, "cluster").withColumn("chunks", F.ceil(F.col("k") / chunk_rows).cast("int"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = pairs.select("rep", "cluster", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
-    links = (
-        pairs.join(sets.select("rep", "grams"), "rep")
-        .groupBy("cluster", "x", "y").applyInPandas(_product(share), "a long, b long")
-    )
-    found = connected_components(staged(links, "ngram-links"))
-    part = classes.join(found.withColumnsRenamed({"node": "rep"}), "rep", "left")
-    part = part.select("fp", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
+    hubs = prefix.groupBy("gram").agg(F.min("fp").alias("hub"), F.count("*").alias("k")).where("k > 1")
+    near = prefix.join(hubs, "gram").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = connected_components(near).withColumnsRenamed({"node": "fp", "component": "cluster"})
+
+    # Row blocks: a group's sets by size, in ranges whose ends are as far apart as linked sets can be,
+    # and each range in blocks of about block_rows. A block meets those of its own range and the next.
+    width = float(np.log(100 / share)) + 1e-9 if share < 100 else 1e-9
+    sized = staged(groups.join(sets.select("fp", "n"), "fp").withColumn("range", F.floor(F.ln("n") / width)), "ngram-groups")
+    ranges = sized.groupBy("cluster", "range").agg(F.count("*").alias("k"))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("k") / block_rows) - 1), lambda i: F.col("range") * 2**32 + i)
+    ranges = ranges.select("cluster", "range", "k", blocks.alias("blocks"))
+    others = ranges.select("cluster", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"), F.col("range").alias("other"), F.col("blocks").alias("others"))
+    partners = ranges.join(others, ["cluster", "range"]).where("range <> other or k > 1").select("cluster", "range", F.size("blocks").alias("n_blocks"), F.explode("others").alias("other"))
+    members = sized.join(partners, ["cluster", "range"]).withColumn("block", F.col("range") * 2**32 + F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
+    pairs = members.select("fp", "cluster", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    held = pairs.join(sets, "fp").join(classes.groupBy("fp").agg(F.sum("m").alias("m")), "fp")
+    found = staged(held.groupBy("cluster", "x", "y").applyInPandas(_product(share), "a long, b long, n long"), "ngram-links")
+    linked = found.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
+    labels = connected_components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": "fp"})
+    part = classes.join(labels, "fp", "left").join(linked, "fp", "left")
+    part = part.select("fp", "fp2", "n", "lead", F.coalesce("component", "fp").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    return base, part
+
+
+def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 256) -> DataFrame:
+    """Groups documents linked by word n-gram Jaccard similarity of at least share percent.
+
+    docs has doc_id and text; other columns are ignored. Returns doc_id, n_shingles (size of the
+    document's set), component_id, the smallest doc_id reachable by links, and n_links, the number of
+    other rows linked directly. Exact: every pair with 100 * |intersection| >= share * |union| is in one
+    component (up to collisions of 64-bit hashes). Null and empty texts have n_shingles 0 and stand
+    alone; rows without a doc_id link as others do, and component_id is null where none of a component
+    has one; rows with one doc_id are rows of their own; equal texts are one set and meet in one
+    component; an empty table gives an empty result.
+    """
+    base, part = _joined(docs, n, share, block_rows)
+    least = part.groupBy("component").agg(F.min("lead.doc_id").alias("least"))
+    part = part.join(least, "component").select("fp", "fp2", "n", "least", "n_links")
     return base.select("doc_id", F.col("n").alias("n_shingles"), "fp", "fp2", "n").join(part, ["fp", "fp2", "n"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def one_of_each_group(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 256) -> DataFrame:
+    """Keeps one row of each component of ngram_jaccard_groups, with all its columns.
+
+    The row with the smallest doc_id stays (one of those where equal texts share it). Rows are told apart
+    by doc_id and text, so that of different texts with one doc_id each stays if its component has no
+    other. Texts without words all stay.
+    """
+    base, part = _joined(docs, n, share, block_rows)
+    first = part.groupBy("component").agg(F.min("lead").alias("first"))
+    known = base.select("doc_id", "th", "fp", "fp2", "n").join(part.join(first, "component").select("fp", "fp2", "n", "first"), ["fp", "fp2", "n"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    fate = staged(known.groupBy(F.col("doc_id").alias("id_"), F.col("th").alias("th_")).agg(F.max(stays).alias("stays"), F.count("*").alias("k")).where("not stays or k > 1"), "ngram-fate")
+    marked = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col("__th") == F.col("th_"))
+    out = marked.join(fate, met, "left_anti")
+    again = fate.where("stays")
+    if not again.isEmpty():
+        out = out.unionByName(marked.join(again, met, "left_semi").dropDuplicates(["doc_id", "__th"]))
+    return out.select(*docs.columns)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), n=4, share=85)
 
@@ -210,6 +258,7 @@ link as (
   select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * inter >= 85 * (p.n + q.n - inter)),
 two as (select x, y from link union all select y, x from link),
 r(node, seen) as (select doc_id, doc_id from sizes union select two.y, r.seen from r join two on two.x = r.node),
-reach as (select node, min(seen) component_id from r group by node)
-select doc_id, n::bigint n_shingles, component_id from sizes join reach on node = doc_id
+reach as (select node, min(seen) component_id from r group by node),
+direct as (select x, count(*) n_links from two group by x)
+select doc_id, n::bigint n_shingles, component_id, coalesce(n_links, 0)::bigint n_links from sizes join reach on node = doc_id left join direct on x = doc_id
 """

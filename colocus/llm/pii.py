@@ -1,28 +1,34 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds spans.
 
-The field tags the white-space separated tokens of a text with a kind or none, from features of the
-token's shape. It is trained on the driver from a small labelled table. Its decoding is Viterbi's,
-in numpy over all runs of a batch at once. Tokens whose shape scores so far below none that no
-neighbour can change it are settled beforehand; the best path is the same without them.
+The field tags the tokens of a text (what white space separates; long ones are cut where a class of
+characters ends) with a kind or none, from features of the token's shape. It is trained on the driver
+from a small labelled table: runs of tokens around the patterns' spans in a sample of documents, and
+the same runs with each span written in a form that the patterns miss (other separators, no country
+code, masked marks, the newer addresses) or replaced by something that only looks alike. Its decoding
+is Viterbi's, in numpy over all runs of a batch at once. Tokens whose shape scores so far below none
+that no neighbour can change it are settled beforehand; the best path is the same without them.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import given_back, table, text_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
-#: Shapes that a task's cache of tokens holds at most.
-CACHED_TOKENS = 300_000
+#: Tokens that a task's cache holds at most, and the longest that it takes in.
+CACHED_TOKENS, CACHED_LENGTH = 300_000, 256
+#: Longer tokens are cut where a class of characters ends.
+LONG = 64
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -31,7 +37,10 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_OUTER = re.compile(r"^[^\w+(]+|[^\w)]+$")
+_PIECE = re.compile(r"[A-Za-z0-9._%+@()\[\]{}:/-]+|[^A-Za-z0-9._%+@()\[\]{}:/-]+")
+_LEFT, _RIGHT = re.compile(r"[^\w+(]+"), re.compile(r"[^\w)]+")
+_MASKED = re.compile(r"[\w.%+-]+[(\[{]at[)\]}][\w-]+((\.|[(\[{]dot[)\]}])[\w-]+)+", re.I)
+_SIX = re.compile(r"[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}")
 
 
 def luhn(digits: str) -> bool:
@@ -43,7 +52,7 @@ def luhn(digits: str) -> bool:
 
 
 def octets(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    return all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in text.split("."))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -68,30 +77,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def margins(token: str) -> tuple[int, int]:
+    """Lengths of the marks at either end of a token that do not belong to what it holds."""
+    left = m.end() if (m := _LEFT.match(token)) else 0
+    right = m.end() if left < len(token) and (m := _RIGHT.match(token[::-1])) else 0
+    return left, right
+
+
 def shape(token: str) -> str:
-    """The shape of a token: letters as a or A, digits as 0, long runs of letters shortened."""
-    s = "".join("0" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c if c < "\x7f" else "?" for c in token[:64])
+    """The shape of a token: letters as a or A, digits as 0, long runs shortened."""
+    s = "".join("0" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c if c < "\x7f" else "?" for c in token)
     s = re.sub(r"a{2,}", "a+", re.sub(r"A{2,}", "A+", s))
-    return s if len(token) <= 64 else s + "..."
+    return re.sub(r"([^aA0+])\1{4,}", r"\1\1\1\1", re.sub(r"0{24,}", "0" * 24, s))
+
+
+def is_six(core: str) -> bool:
+    """Whether core is an address of eight groups, or of fewer with one gap."""
+    return bool(_SIX.fullmatch(core)) and core.count("::") <= 1 and ":::" not in core and ("::" in core[1:-1] or core.count(":") == 7 and "" not in core.split(":"))
 
 
 def token_key(token: str) -> str:
-    """What the features of a token depend on: its shape, and whether its digits pass the checks."""
+    """What the features of a token depend on: its shape, and whether what it holds passes the checks."""
     if token.isalpha():
         return "A" if token[0].isupper() else "a"
-    core = _OUTER.sub("", token)
-    mark = ""
-    if 13 <= len(core) <= 23 and (d := core.replace("-", "")).isascii() and d.isdigit() and 13 <= len(d) <= 19:
+    left, right = margins(token)
+    core, mark = token[left : len(token) - right], ""
+    if 13 <= len(core) <= 27 and (d := re.sub(r"[-./_]", "", core)).isascii() and d.isdigit() and 13 <= len(d) <= 19:
         mark = "|luhn" if luhn(d) else "|not-luhn"
-    elif core.count(".") == 3 and (d := core.replace(".", "")).isascii() and d.isdigit():
-        mark = "|octets" if all(core.split(".")) and octets(core) else "|not-octets"
-    return shape(token) + mark
+    elif (dotted := core.replace("[.]", ".")).count(".") == 3 and (d := dotted.replace(".", "")).isascii() and d.isdigit():
+        mark = "|octets" if all(dotted.split(".")) and octets(dotted) else "|not-octets"
+    elif core.count(":") >= 2:
+        if is_six(core):
+            return "0:0|six"
+        mark = "|not-six"
+    elif _MASKED.fullmatch(core):
+        return "a@a|masked"
+    return (re.sub("0+", "0", shape(token)) if mark else shape(token)) + mark
 
 
 def key_features(key: str, columns: int) -> np.ndarray:
     """Hashed feature columns of a token key."""
     s, _, mark = key.partition("|")
-    core = _OUTER.sub("", s)
+    left, right = margins(s)
+    core = s[left : len(s) - right]
     digits, other = s.count("0"), "".join(sorted(set(re.sub(r"[aA0+]", "", core))))
     bucket = int(np.searchsorted([1, 2, 4, 7, 9, 13, 17, 20], digits, side="right"))
     names = ["bias", f"shape={s}", f"core={core}", f"mark={mark}", f"digits={bucket}", f"other={other}", f"at={'@' in core}{core.count('.')}",
@@ -120,8 +148,8 @@ class ChainModel:
         return float((m[:, :, None] + m[None, :, :] - m[:, :1, None] - m[None, :1, :]).max())
 
 
-def _forward_backward(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray):
-    """Tag and move expectations for padded sequences, none standing before and after each."""
+def _forward_backward(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray, heavy: np.ndarray):
+    """Tag expectations of padded sequences, none standing before and after each, and weighted ones of moves."""
     n, length, tags = scores.shape
     alpha, beta = np.zeros_like(scores), np.zeros_like(scores)
     alpha[:, 0] = moves[0] + scores[:, 0]
@@ -142,16 +170,17 @@ def _forward_backward(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray):
         beta[:, t] = np.where(mask[:, t + 1, None], new, moves[:, 0])
     tag = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
     both = np.zeros((tags, tags))
-    both[0] += tag[:, 0].sum(axis=0)
-    both[:, 0] += tag[np.arange(n), last].sum(axis=0)
+    both[0] += heavy @ tag[:, 0]
+    both[:, 0] += heavy @ tag[np.arange(n), last]
     for t in range(1, length):
         x = alpha[:, t - 1, :, None] + moves + (beta[:, t] + scores[:, t])[:, None, :] - z[:, None, None]
-        both += (np.exp(np.minimum(x, 0)) * mask[:, t, None, None]).sum(axis=0)
+        both += np.einsum("nij,n->ij", np.exp(np.minimum(x, 0)), heavy * mask[:, t])
     return tag, both
 
 
-def train_chain(sequences: list[list[tuple[str, int]]], columns: int = 1 << 12, rounds: int = 80, l2: float = 1e-3, rate: float = 0.3) -> ChainModel:
+def train_chain(sequences: list[list[tuple[str, int]]], weights: list[float] | None = None, columns: int = 1 << 12, rounds: int = 80, l2: float = 1e-3, rate: float = 0.3) -> ChainModel:
     """Fits the field by gradient ascent on its log likelihood; sequences hold (token key, tag)."""
+    heavy = np.ones(len(sequences)) if weights is None else np.asarray(weights, float)
     tags = len(KINDS) + 1
     model = ChainModel(np.zeros((columns, tags)), np.zeros((tags, tags)))
     if not any(tag for s in sequences for _, tag in s):
@@ -169,17 +198,18 @@ def train_chain(sequences: list[list[tuple[str, int]]], columns: int = 1 << 12,
     for r, s in enumerate(sequences):
         ids[r, : len(s)], gold[r, : len(s)], mask[r, : len(s)] = [at[k] for k, _ in s], [t for _, t in s], True
     seen = np.zeros((len(keys), tags))
-    np.add.at(seen, (ids[mask], gold[mask]), 1)
-    moved = np.zeros((tags, tags))
-    for r in range(n):
+    each = np.broadcast_to(heavy[:, None], mask.shape)[mask]
+    np.add.at(seen, (ids[mask], gold[mask]), each)
+    moved, n = np.zeros((tags, tags)), heavy.sum()
+    for r in range(len(sequences)):
         path = [0, *gold[r, mask[r]], 0]
-        np.add.at(moved, (path[:-1], path[1:]), 1)
+        np.add.at(moved, (path[:-1], path[1:]), heavy[r])
     w, moves = np.zeros((len(live), tags)), np.zeros((tags, tags))
     sw, sm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(rounds):
-        tag, both = _forward_backward((used @ w)[ids], mask, moves)
+        tag, both = _forward_backward((used @ w)[ids], mask, moves, heavy)
         expected = np.zeros_like(seen)
-        np.add.at(expected, ids[mask], tag[mask])
+        np.add.at(expected, ids[mask], tag[mask] * each[:, None])
         gw, gm = used.T @ (seen - expected) / n - l2 * w, (moved - both) / n - l2 * moves
         sw, sm = sw + gw**2, sm + gm**2
         w, moves = w + rate * gw / np.sqrt(sw), moves + rate * gm / np.sqrt(sm)
@@ -187,24 +217,71 @@ def train_chain(sequences: list[list[tuple[str, int]]], columns: int = 1 << 12,
     return model
 
 
+def rewritten(kind: str, found: str) -> list[tuple[str, str | None]]:
+    """Tokens, each with its kind or None, to stand for a span: a form that the patterns miss, or a look-alike.
+
+    Which one is taken, and its digits, come from a hash of the span.
+    """
+    h = md5(found.encode("utf-8", "surrogatepass")).hexdigest()
+    pick, digits = int(h[:6], 16), re.sub("[^0-9]", "", found)
+    groups = [h[k : k + 4].lstrip("0") or "0" for k in range(0, 32, 4)]
+    if pick % 4 == 3:
+        n = [int(h[k : k + 4], 16) for k in range(0, 32, 4)]
+        fails = f"{n[0] % 10000:04d}{n[1] % 10000:04d}{n[2] % 10000:04d}{n[3] % 1000:03d}"
+        fails += next(str(d) for d in range(10) if not luhn(fails + str(d)))
+        mark = "._/"[n[5] % 3]
+        likes = [
+            f"{1990 + n[0] % 40}-{1 + n[1] % 12:02d}-{1 + n[2] % 28:02d}", f"{1 + n[1] % 28}.{1 + n[2] % 12}.{1990 + n[0] % 40}", f"{n[0] % 24:02d}:{n[1] % 60:02d}:{n[2] % 60:02d}", f"{n[0] % 900 + 1},{n[1] % 1000:03d}.{n[2] % 100:02d}",
+            f"{n[0] % 20}.{n[1] % 30}.{n[2] % 9}", f"v{n[0] % 9}.{n[1] % 20}", mark.join(fails[k : k + 4] for k in range(0, 16, 4)), ":".join(h[k : k + 2] for k in range(0, 12, 2)), f"{n[0] % 900 + 100}-{n[1] % 9000 + 1000}",
+            f"{h[:8]}-{h[8:12]}-{h[12:16]}", f"{300 + n[0] % 600}[.]{300 + n[1] % 600}[.]{n[2] % 900}[.]{300 + n[3] % 600}", f"look(s)at({h[:3]})",
+        ]
+        return [(likes[n[6] % len(likes)], None)]
+    if kind == "email":
+        at = ("(at)", "[at]", "{at}")[pick // 4 % 3]
+        name, _, host = found.partition("@")
+        return [(name + at + (host.replace(".", "[dot]" if at == "[at]" else "(dot)") if pick // 16 % 2 else host), kind)]
+    if kind == "ip":
+        forms = [found.replace(".", "[.]"), ":".join(groups), f"{groups[0]}::{groups[1]}", f"{groups[0]}:{groups[1]}::{groups[2]}:{groups[3]}"]
+        return [(forms[pick // 4 % 4], kind)]
+    if kind == "card":
+        mark = "./_"[pick // 4 % 3]
+        return [(mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)), kind)]
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    forms = [[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"({a}){b}-{c}"], [f"{a}.{b}.{c}"], [f"00{digits[:-10] or '1'}-{a}-{b}-{c}"], [f"{a}/{b}-{c}"]]
+    return [(t, kind) for t in forms[pick // 4 % len(forms)]]
+
+
 def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int = 5) -> list[list[tuple[str, int]]]:
-    """Runs of tokens around those with digits or marks, with tags from labelled spans."""
-    tokens = [(m[0], *m.span()) for m in _TOKEN.finditer(text)]
-    keys = [token_key(t) for t, _, _ in tokens]
-    tags = [next((KINDS.index(k) + 1 for k, a, b in spans if a < end and start < b), 0) for _, start, end in tokens] if spans else [0] * len(tokens)
-    near = sorted({j for i, (t, _, _) in enumerate(tokens) if i % 200 == 100 or "@" in t or _DIGIT.search(t) for j in range(max(0, i - reach), min(len(tokens), i + reach + 1))})
-    runs: list[list[tuple[str, int]]] = []
+    """Runs of tokens around those with digits or marks, with tags from labelled spans; then the same rewritten."""
+    tokens = _places(text)
+    words = [text[a:b] for a, b in tokens]
+    owner = [next((k for k, (_, a, b) in enumerate(spans) if a < end and start < b), -1) for start, end in tokens] if spans else [-1] * len(tokens)
+    near = sorted({j for i, t in enumerate(words) if i % 200 == 100 or "@" in t or _DIGIT.search(t) for j in range(max(0, i - reach), min(len(tokens), i + reach + 1))})
+    runs: list[list[int]] = []
     for k, j in enumerate(near):
         if not k or near[k - 1] != j - 1 or len(runs[-1]) >= 40:
             runs.append([])
-        runs[-1].append((keys[j], tags[j]))
-    return runs
+        runs[-1].append(j)
+    out = [[(token_key(words[j]), KINDS.index(spans[owner[j]][0]) + 1 if owner[j] >= 0 else 0) for j in run] for run in runs]
+    for run in runs:
+        if any(owner[j] >= 0 for j in run):
+            new: list[tuple[str, int]] = []
+            for k, j in enumerate(run):
+                if owner[j] < 0:
+                    new.append((token_key(words[j]), 0))
+                elif not k or owner[run[k - 1]] != owner[j]:
+                    kind, a, b = spans[owner[j]]
+                    new += [(token_key(t), KINDS.index(tag) + 1 if tag else 0) for t, tag in rewritten(kind, text[a:b])]
+            out.append(new)
+    return out
 
 
-def train_from_documents(docs: DataFrame, max_rows: int = 2000, max_runs: int = 1500) -> ChainModel:
-    """Trains on the labelled table of at most about max_rows documents, taken evenly by a hash of doc_id.
+def train_from_documents(docs: DataFrame, max_rows: int = 4000, max_runs: int = 1500) -> ChainModel:
+    """Trains on a labelled table from at most about max_rows documents, taken evenly by a hash of doc_id.
 
-    The labels are the fixed patterns' spans; at most max_runs runs of tokens count.
+    The table holds labelled_windows of the fixed patterns' spans. Equal runs are one, with the logarithm
+    of their number in its weight; at most max_runs different ones count, taken evenly by a hash, half
+    of them with spans if there are so many.
     """
     n = docs.count()
     parts = 1 << 24
@@ -217,8 +294,10 @@ def train_from_documents(docs: DataFrame, max_rows: int = 2000, max_runs: int =
                 yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in r] for r in got], pa.list_(pa.string())), pa.array([[t for _, t in r] for r in got], pa.list_(pa.int32()))], ["keys", "tags"])
 
     rows = some.select(F.col("text").cast("string").alias("text")).mapInArrow(given_back(runs), "keys array<string>, tags array<int>")
-    rows = rows.orderBy(F.xxhash64("keys", "tags")).limit(max_runs).collect()
-    return train_chain([list(zip(r["keys"], r["tags"], strict=True)) for r in rows])
+    rows = rows.groupBy("keys", "tags").agg(F.count("*").alias("k")).withColumn("any", F.exists("tags", lambda t: t > 0))
+    rank = F.row_number().over(Window.partitionBy("any").orderBy(F.xxhash64("keys", "tags")))  # of a bounded number of runs
+    rows = rows.withColumn("rank", rank).orderBy("rank", "any").limit(max_runs).collect()
+    return train_chain([list(zip(r["keys"], r["tags"], strict=True)) for r in rows], [1 + np.log(r["k"]) for r in rows])
 
 
 def viterbi(scores: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
@@ -260,11 +339,13 @@ class Tagger:
     def token_id(self, token: str) -> int:
         k = self.model.key_id(token_key(token))
         s = self.model.rows[k]
-        self.ids[token] = k = -1 if s[0] - s[1:].max() > self.least else k
+        k = -1 if s[0] - s[1:].max() > self.least else k
+        if len(token) <= CACHED_LENGTH:
+            self.ids[token] = k
         return k
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
-        if len(self.ids) >= CACHED_TOKENS:
+        if len(self.ids) >= CACHED_TOKENS or len(self.model.keys) >= CACHED_TOKENS:
             self.ids.clear()
             self.model.keys.clear()
             self.model.rows.clear()
@@ -288,77 +369,84 @@ class Tagger:
         return out
 
     def added(self, text: str, tags: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        places, out, last = [m.span() for m in _TOKEN.finditer(text)], [], (-2, 0)
+        """The spans of tagged tokens that meet none of base; tokens of one phone number are one."""
+        places, out, last = _places(text), [], (-2, 0)
         for i, tag in tags:
             start, end = places[i]
-            token = text[start:end]
-            start += len(token) - len(_OUTER_LEFT.sub("", token))
-            end -= len(token) - len(_OUTER_RIGHT.sub("", token))
-            kind = KINDS[tag - 1]
+            left, right = margins(text[start:end])
+            start, end, kind = start + left, end - right, KINDS[tag - 1]
             if kind == "phone" and last == (i - 1, tag) and out:
                 out[-1] = (kind, out[-1][1], end)
             elif start < end:
                 out.append((kind, start, end))
             last = (i, tag)
-        return [s for s in out if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        taken, kept, k, reach = sorted((a, b) for _, a, b in base), [], 0, -1
+        for s in sorted(out, key=lambda s: s[1]):
+            while k < len(taken) and taken[k][0] < s[2]:
+                reach, k = max(reach, taken[k][1]), k + 1
+            if reach <= s[1]:
+                kept.append(s)
+        return kept
 
 
-_OUTER_LEFT, _OUTER_RIGHT = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _split(text: str) -> list[str]:
-    return _TOKEN.findall(text) if _ODD_SPACE.search(text) else text.split()
+    """The tokens of a text."""
+    tokens = _TOKEN.findall(text) if _ODD_SPACE.search(text) else text.split()
+    if tokens and max(map(len, tokens)) > LONG:
+        return [p for t in tokens for p in ([t] if len(t) <= LONG else _PIECE.findall(t))]
+    return tokens
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of a text begin and end."""
+    found = [m.span() for m in _TOKEN.finditer(text)]
+    return [p for a, b in found for p in ([(a, b)] if b - a <= LONG else [m.span() for m in _PIECE.finditer(text, a, b)])]
+
+
+def redact(text: str | None, spans: list[tuple]) -> str | None:
+    """text with each span replaced by its kind in brackets; a span that begins in another adds to it."""
+    if not spans:
+        return text
+    parts, at = [], 0
+    for kind, start, end, *_ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
 
-def _find(model):
+def _find(model, with_text: bool, clean: bool):
     def run(batches):
         tagger = Tagger(model.value)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
         for whole in batches:
             for batch in text_batches(whole):
-                found = tagger.spans([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                found = tagger.spans([t or "" for t in texts])
                 spans = pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in found], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, "spans"])
+                columns, names = batch.columns[:-1], batch.schema.names[:-1]
+                if with_text:
+                    columns, names = [*columns, pa.array(map(redact, texts, found), pa.string()) if clean else batch.columns[-1]], [*names, "text"]
+                yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "spans"])
 
     return run
 
 
-def find_personal_data(docs: DataFrame, model: ChainModel, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, model: ChainModel, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, clean: bool = False) -> DataFrame:
     """Spans of personal data in every text: the columns in keep, (text,) and spans.
 
     spans holds kind, start, end (code points, end exclusive) and base (of the fixed patterns, which
-    always stay), by kind as in KINDS, then start. Spans that the model adds never overlap those.
-    Null and empty texts have none; repeated rows count each for itself; other columns are ignored;
-    an empty table gives an empty result.
+    always stay), by kind as in KINDS, then start. Spans that the model adds never overlap those. With
+    clean, text holds each span's kind in brackets in its place. Null and empty texts have none; repeated
+    rows count each for itself; other columns are ignored; an empty table gives an empty result. keep
+    must not name text or spans.
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    got = rows.mapInArrow(given_back(_find(docs.sparkSession.sparkContext.broadcast(model))), f"{schema}, spans {SPANS}")
-    return got if with_text else got.drop("text")
-
-
-def redacted(found: DataFrame) -> DataFrame:
-    """Replaces the spans in text by their kinds in brackets, for rows of find_personal_data with text."""
-    cut = F.expr(
-        """concat_ws('', transform(spans_, (s, i) -> concat(
-             substring(text, case when i = 0 then 1 else spans_[i - 1].end + 1 end, greatest(s.start - case when i = 0 then 0 else spans_[i - 1].end end, 0)),
-             case when i = 0 or s.start >= spans_[i - 1].end then concat('[', upper(s.kind), ']') else '' end)),
-           substring(text, spans_[size(spans_) - 1].end + 1, length(text)))"""
-    )
-    merged = F.expr("array_sort(spans, (a, b) -> case when a.start <> b.start then cast(a.start - b.start as int) else cast(b.end - a.end as int) end)")
-    # Spans of different kinds may overlap: each is clipped to what the ones before it leave.
-    clipped = F.expr(
-        """aggregate(transform(sorted_, s -> struct(s.kind as kind, s.start as start, s.end as end)),
-             cast(array() as array<struct<kind:string,start:bigint,end:bigint>>),
-             (done, s) -> case when size(done) = 0 or s.start >= done[size(done) - 1].end then array_append(done, s)
-               when s.end <= done[size(done) - 1].end then done
-               else array_append(done, named_struct('kind', s.kind, 'start', done[size(done) - 1].end, 'end', s.end)) end)"""
-    )
-    return (
-        found.withColumn("sorted_", merged).withColumn("spans_", clipped)
-        .withColumn("text", F.when(F.size("spans_") > 0, cut).otherwise(F.col("text"))).drop("sorted_", "spans_")
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep) + with_text])
+    return rows.mapInArrow(given_back(_find(docs.sparkSession.sparkContext.broadcast(model), with_text, clean)), f"{schema}, spans {SPANS}")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,43 +73,58 @@ def test_html_votes(spark):
     assert got[1] == "Story 1" and got[60] == got[62] == "One text" and len(got) == 63
 
 
-def jaccard(rows, n=4, share=85):
-    sets = {}
-    for i, t in rows:
+def jaccard(texts, n=4, share=85):
+    """Size of set, place of the first text reachable by links, and links of every text."""
+    sets = []
+    for t in texts:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-    up = {i: i for i in sets}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    up, links = list(range(len(sets))), [0] * len(sets)
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+    for a, one in enumerate(sets):
+        for b in range(a):
+            if one and 100 * len(one & sets[b]) >= share * len(one | sets[b]):
+                links[a], links[b] = links[a] + 1, links[b] + 1
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    return {k: (len(s), find(k), links[k]) for k, s in enumerate(sets)}
 
 
 @pytest.mark.parametrize("n", [4, 5])
 def test_ngram_join(spark, n):
     rng = np.random.default_rng(n)
-    base = [" ".join(f"w{x}" for x in rng.integers(0, 50, 60)) for _ in range(8)]
-    rows = [(0, None), (1, ""), (2, "a b"), (3, "A  b"), (4, "a b c")]
-    for i in range(5, 150):
-        w = base[i % 8].split()
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(rng.integers(30, 90)))) for _ in range(8)]
+    texts = [None, "", " ", "a b", "A  b", "a b c"]
+    for k in range(6, 150):
+        w = base[k % 8].split()
         for _ in range(rng.integers(0, 4)):
             w[rng.integers(0, len(w))] = "zz"
-        rows.append((i, " ".join(w)))
+        texts.append(" ".join(w[: len(w) - int(rng.integers(0, 9))]))
     share = 85 if n == 4 else 80
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_groups(df, n, share, chunk_rows=16).collect()}
-    assert got == jaccard(rows, n, share)
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, fp string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_groups(df, n, share, block_rows=16).collect()}
+    assert got == jaccard(texts, n, share)
     assert ngram_join.ngram_jaccard_groups(df.limit(0)).count() == 0
 
 
+FOX = "the quick brown fox jumps over the lazy dog and then it sleeps for a while in the sun"
+CAT = FOX.replace("quick", "slow").replace("sun", "rain").replace("fox", "cat")
+
+
+def test_one_of_each_group(spark):
+    rows = [(3, CAT, 1), (6, FOX, 2), (6, CAT, 3), (7, FOX + " ", 4), (9, None, 5), (9, None, 6), (8, "", 7), (None, FOX, 8), (None, "xx yy", 9), (None, "xx yy", 10), (11, "k l m", 11), (11, "k l m", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    got = ngram_join.one_of_each_group(df, 5, 80)
+    assert got.columns == df.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(str(x) for x in [(3, CAT), (6, FOX), (9, None), (9, None), (8, ""), (None, "xx yy"), (11, "k l m")])
+    assert ngram_join.one_of_each_group(df.limit(0)).count() == 0
+
+
 def linked(vectors, cosine=0.9):
     """Links and least reachable id of every vector, by brute force."""
     links, least = dict.fromkeys(range(len(vectors)), 0), {k: k for k in range(len(vectors))}
@@ -198,19 +213,74 @@ def test_mixing(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_personal_data(spark, docs):
-    text = "mail a.b@c.de_x@y.org now 10.0.0.1 300.1.1.1 card 4111 1111 1111 1111, +1 (555) 010-2030 end"
-    assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a.b@c.de"), ("email", "_x@y.org"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-2030")]
-    model = pii.train_from_documents(docs)
-    found = pii.find_personal_data(odd(spark, [*ODD, (8, text)]), model, ("doc_id",), with_text=True)
-    clean = {r["doc_id"]: r["text"] for r in pii.redacted(found).collect()}
-    assert clean[1] is None and "@" not in clean[8] and "[CARD]" in clean[8]
+PERSONAL = "mail a.b@c.de_x@y.org now 10.0.0.1 300.1.1.1 card 4111 1111 1111 1111, +1 (555) 010-2030 end"
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    return pii.train_from_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def plain_spans(text):
+    """The fixed patterns as plain regular expressions."""
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    found += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+    return found + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_personal_data_patterns(spark, docs, chain):
+    assert [(k, PERSONAL[a:b]) for k, a, b in pii.base_spans(PERSONAL)] == [("email", "a.b@c.de"), ("email", "_x@y.org"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-2030")]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("0123456789..--+@ ()aZ,"), 60)) for _ in range(3000)] + [r["text"] or "" for r in docs.collect()]
+    assert all(pii.base_spans(t) == plain_spans(t) for t in texts)
+    hostile = ["1.1.1." + "0" * 5000 + "1", "4" * 50_000, "+1" + " 2" * 20_000 + " a", "!" * 60_000 + "a", "1.1.1.1 " * 5000, "\u4e2d\u6587" * 30_000 + "a@b.co" + "\u3002" * 1000, "@" * 9000]
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(hostile)), "doc_id long, text string"), chain, clean=True, with_text=True).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in found} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 5000, 5: 1, 6: 0}
+    assert next(r["text"] for r in found if r["doc_id"] == 4) == "[IP] " * 5000
+
+
+def test_personal_data_field(chain):
+    """What the patterns miss is found, with digits that no training text holds; look-alikes are left."""
+    rng = np.random.default_rng(5)
+    words, want, decoys = "the report came back late and we asked for more time before that".split(), [], []
+    around = lambda x: " ".join([*rng.permutation(words)[:5], x, *rng.permutation(words)[:5]])
+    for k in range(60):
+        d = "".join(map(str, rng.integers(0, 10, 15)))
+        d += next(str(c) for c in range(10) if pii.luhn(d + str(c)))
+        bad, g = d[:-1] + str((int(d[-1]) + 1) % 10), [format(int(x), "x") for x in rng.integers(1, 65536, 8)]
+        quads = lambda x, mark: mark.join(x[i : i + 4] for i in range(0, 16, 4))
+        want += [("card", quads(d, "./"[k % 2])), ("phone", f"{d[:3]}-{d[3:6]}-{d[6:10]}"), ("phone", f"({d[:3]}) {d[3:6]}-{d[6:10]}"), ("email", f"jo{k}.x(at)mail{k}.example.org"), ("ip", ":".join(g)), ("ip", f"{g[0]}::{g[1]}"), ("ip", "[.]".join(str(int(x)) for x in rng.integers(0, 256, 4)))]
+        decoys += [quads(bad, "./"[k % 2]), f"20{k:02d}-0{k % 9 + 1}-1{k % 9}", f"{k % 24}:{10 + k % 50}:33", f"{k + 1},250.50", f"v1.{k}.2", str(k * 7919), ":".join(f"{int(x):02x}" for x in rng.integers(0, 256, 6)), f"1{k % 9}.{k % 12 + 1}.1999"]
+    tagger = pii.Tagger(chain)
+    texts = [around(f) for _, f in want]
+    hit = sum((kind, f) in {(s[0], t[s[1] : s[2]]) for s in found if not s[3]} for (kind, f), t, found in zip(want, texts, tagger.spans(texts), strict=True))
+    false = sum(any(not s[3] for s in found) for found in tagger.spans([around(x) for x in decoys]))
+    assert hit >= 0.95 * len(want) and false <= 0.01 * len(decoys)
+
+
+def test_personal_data_edges(spark, chain):
+    found = pii.find_personal_data(odd(spark, [*ODD, (8, PERSONAL)]), chain, ("doc_id", "score"), with_text=True, clean=True)
+    clean = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert found.count() == 9 and clean[1] is None and clean[2] == "" and "@" not in clean[8] and "[CARD]" in clean[8]
+    assert pii.redact("ab cdef g", [("ip", 3, 6, True), ("card", 5, 8, True), ("ip", 3, 4, True)]) == "ab [IP]g"
+    assert pii.find_personal_data(odd(spark).limit(0), chain).count() == 0 and not pii.train_from_documents(odd(spark).limit(0)).moves.any()
+
+
+def test_viterbi_and_forward_backward_by_brute_force():
     rng = np.random.default_rng(0)
     moves = rng.normal(size=(5, 5))
     for n in (1, 2, 4):
         s = rng.normal(size=(n, 5))
-        best = max(np.ndindex(*[5] * n), key=lambda p: sum(s[i, t] for i, t in enumerate(p)) + sum(moves[a, b] for a, b in zip((0, *p), (*p, 0), strict=True)))
-        assert tuple(pii.viterbi([s], moves)[0]) == best
+        score = {p: sum(s[i, t] for i, t in enumerate(p)) + sum(moves[a, b] for a, b in zip((0, *p), (*p, 0), strict=True)) for p in np.ndindex(*[5] * n)}
+        assert tuple(pii.viterbi([s], moves)[0]) == max(score, key=score.get)
+        weight = np.exp(list(score.values()))
+        tag, both = np.zeros((n, 5)), np.zeros((5, 5))
+        for p, w in zip(score, weight / weight.sum(), strict=True):
+            tag[range(n), p] += w
+            np.add.at(both, ((0, *p), (*p, 0)), w)
+        got, moved = pii._forward_backward(s[None], np.ones((1, n), bool), moves, np.array([2.0]))
+        assert np.allclose(got[0], tag) and np.allclose(moved, 2 * both)
 
 
 def test_pipeline(spark):
