@@ -217,15 +217,15 @@ def train_chain(sequences: list[list[tuple[str, int]]], weights: list[float] | N
     return model
 
 
-def rewritten(kind: str, found: str) -> list[tuple[str, str | None]]:
+def rewritten(kind: str, found: str, salt: int) -> list[tuple[str, str | None]]:
     """Tokens, each with its kind or None, to stand for a span: a form that the patterns miss, or a look-alike.
 
-    Which one is taken, and its digits, come from a hash of the span.
+    Which one is taken, and its digits, come from a hash of the span and salt.
     """
-    h = md5(found.encode("utf-8", "surrogatepass")).hexdigest()
+    h = md5(f"{salt}:{found}".encode("utf-8", "surrogatepass")).hexdigest()
     pick, digits = int(h[:6], 16), re.sub("[^0-9]", "", found)
     groups = [h[k : k + 4].lstrip("0") or "0" for k in range(0, 32, 4)]
-    if pick % 4 == 3:
+    if pick % 2:
         n = [int(h[k : k + 4], 16) for k in range(0, 32, 4)]
         fails = f"{n[0] % 10000:04d}{n[1] % 10000:04d}{n[2] % 10000:04d}{n[3] % 1000:03d}"
         fails += next(str(d) for d in range(10) if not luhn(fails + str(d)))
@@ -237,22 +237,22 @@ def rewritten(kind: str, found: str) -> list[tuple[str, str | None]]:
         ]
         return [(likes[n[6] % len(likes)], None)]
     if kind == "email":
-        at = ("(at)", "[at]", "{at}")[pick // 4 % 3]
+        at = ("(at)", "[at]", "{at}")[pick // 2 % 3]
         name, _, host = found.partition("@")
         return [(name + at + (host.replace(".", "[dot]" if at == "[at]" else "(dot)") if pick // 16 % 2 else host), kind)]
     if kind == "ip":
         forms = [found.replace(".", "[.]"), ":".join(groups), f"{groups[0]}::{groups[1]}", f"{groups[0]}:{groups[1]}::{groups[2]}:{groups[3]}"]
-        return [(forms[pick // 4 % 4], kind)]
+        return [(forms[pick // 2 % 4], kind)]
     if kind == "card":
-        mark = "./_"[pick // 4 % 3]
+        mark = "./_"[pick // 2 % 3]
         return [(mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)), kind)]
     a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
     forms = [[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"({a}){b}-{c}"], [f"{a}.{b}.{c}"], [f"00{digits[:-10] or '1'}-{a}-{b}-{c}"], [f"{a}/{b}-{c}"]]
-    return [(t, kind) for t in forms[pick // 4 % len(forms)]]
+    return [(t, kind) for t in forms[pick // 2 % len(forms)]]
 
 
-def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int = 5) -> list[list[tuple[str, int]]]:
-    """Runs of tokens around those with digits or marks, with tags from labelled spans; then the same rewritten."""
+def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int = 5, times: int = 8) -> list[list[tuple[str, int]]]:
+    """Runs of tokens around those with digits or marks, with tags from labelled spans; then those with spans rewritten, a few times."""
     tokens = _places(text)
     words = [text[a:b] for a, b in tokens]
     owner = [next((k for k, (_, a, b) in enumerate(spans) if a < end and start < b), -1) for start, end in tokens] if spans else [-1] * len(tokens)
@@ -264,14 +264,14 @@ def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int =
         runs[-1].append(j)
     out = [[(token_key(words[j]), KINDS.index(spans[owner[j]][0]) + 1 if owner[j] >= 0 else 0) for j in run] for run in runs]
     for run in runs:
-        if any(owner[j] >= 0 for j in run):
+        for salt in range(times) if any(owner[j] >= 0 for j in run) else ():
             new: list[tuple[str, int]] = []
             for k, j in enumerate(run):
                 if owner[j] < 0:
                     new.append((token_key(words[j]), 0))
                 elif not k or owner[run[k - 1]] != owner[j]:
                     kind, a, b = spans[owner[j]]
-                    new += [(token_key(t), KINDS.index(tag) + 1 if tag else 0) for t, tag in rewritten(kind, text[a:b])]
+                    new += [(token_key(t), KINDS.index(tag) + 1 if tag else 0) for t, tag in rewritten(kind, text[a:b], salt)]
             out.append(new)
     return out
 
@@ -369,7 +369,7 @@ class Tagger:
         return out
 
     def added(self, text: str, tags: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """The spans of tagged tokens that meet none of base; tokens of one phone number are one."""
+        """The spans of tagged tokens that meet none of base; tokens of one phone number, of 7 to 15 digits, are one."""
         places, out, last = _places(text), [], (-2, 0)
         for i, tag in tags:
             start, end = places[i]
@@ -382,6 +382,8 @@ class Tagger:
             last = (i, tag)
         taken, kept, k, reach = sorted((a, b) for _, a, b in base), [], 0, -1
         for s in sorted(out, key=lambda s: s[1]):
+            if s[0] == "phone" and not 7 <= len(_DIGIT.findall(text, s[1], s[2])) <= 15:
+                continue
             while k < len(taken) and taken[k][0] < s[2]:
                 reach, k = max(reach, taken[k][1]), k + 1
             if reach <= s[1]:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 
@@ -182,27 +183,112 @@ def test_languages(spark, docs):
     got = langid.identify_languages(docs, langid.trained_on(docs), ("doc_id", "lang")).where(langid.held_out())
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
     model = langid.trained_on(docs)
-    marked = {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(odd(spark), model).collect()}
+    marked = {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(odd(spark).drop("score"), model).collect()}
     assert marked[1] == marked[2] == marked[3] == "und" and marked[4] != "und"
-    assert langid.train(docs.limit(0)).langs == []
+    assert langid.train(docs.limit(0)).langs == [] and langid.identify_languages(docs.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        langid.train(docs, max_langs=1)
 
 
-def test_secrets(spark, docs):
-    patterns = {"assign": secrets.ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
-    least = {"access": 20, "hex": 24}
+def test_languages_by_brute_force(spark, docs):
+    """The counts, the priors and a batch's scores against plain loops."""
+    rows = [r for r in docs.where(~langid.held_out()).collect() if r["text"] is not None and r["lang"] is not None]
+    model = langid.trained_on(docs)
+    counts = {x: np.full(1 << 14, 0.5) for x in model.langs}
+    for r in rows:
+        for column in langid.gram_columns(r["text"], (1, 2, 3), 1 << 14):
+            counts[r["lang"]][column] += 1
+    for x, prior, log_prob in zip(model.langs, model.log_prior, model.log_prob, strict=True):
+        assert np.allclose(log_prob, np.log(counts[x] / counts[x].sum())) and np.isclose(np.exp(prior), sum(r["lang"] == x for r in rows) / len(rows))
+    texts = [r["text"] for r in docs.limit(40).collect()] + [None, "", "12 !", "a"]
+    for text, (lang, score) in zip(texts, model.scores(texts), strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        at = langid.gram_columns(text, (1, 2, 3), 1 << 14)
+        total = np.array([sum(row[c] for c in at) for row in model.log_prob])
+        assert lang == model.langs[int(np.argmax(total + model.log_prior))]
+        p = np.exp((p := total * min(1, 60 / len(at)) + model.log_prior) - p.max())
+        assert np.isclose(score, (p / p.sum())[model.langs.index(lang)])
+
+
+def base_secrets(text):
+    patterns, least = {"assign": secrets.ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}, {"access": 20, "hex": 24}
+    found = [(m.start(), k, n, m.end()) for k, (n, p) in enumerate(patterns.items()) for m in re.finditer(p, text) if (len(m[2]) >= 6 if n == "assign" else len(m[0]) >= least[n])]
+    return ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(found))
+
+
+def drawn(rng, alphabet, n):
+    return "".join(rng.choice(list(alphabet), n))
 
-    def brute(text):
-        found = [(m.start(), k, n, m.end()) for k, (n, p) in enumerate(patterns.items()) for m in re.finditer(p, text) if (len(m[2]) >= 6 if n == "assign" else len(m[0]) >= least[n])]
-        return ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(found))
 
-    extra = [(900, "é token=short secret: 'abcdef12' AKIA" + "A1" * 9 + " " + "0a" * 14 + " wJalrXUtnFEMI9K7MDENGzPxRfiCY2Zq8Lk3"), (901, None)]
+ALPHABETS = {"hex": "0123456789abcdef", "b36": secrets.DIGITS + secrets.UPPER.lower(), "b62": secrets.DIGITS + secrets.UPPER + secrets.UPPER.lower(), "b64": secrets.DIGITS + secrets.UPPER + secrets.UPPER.lower() + "+/"}
+
+
+def test_secrets(spark, docs):
+    extra = [(900, "\u00e9 token=short secret: 'abcdef12' AKIA" + "A1" * 9 + " " + "0a" * 14 + " end"), (901, None), (902, "AKIA" * 9 + " api-key password=a.b-c=9 secret_key=" + "x" * 30)]
+    rng = np.random.default_rng(2)
+    extra += [(1000 + k, " ".join(drawn(rng, list("AKI0a9f=: \"'") + ["secret", "token", "AKIA", "0123456789abcdef"], 40))) for k in range(300)]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
     for r in df.collect():
-        base = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in got[r["doc_id"]] if s["base"])
-        assert base == brute(r["text"] or "")
-    assert [s["kind"] for s in got[900]][-1] == "random"
-    assert secrets.scan_secrets(df.limit(0)).count() == 0
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in got[r["doc_id"]] if s["base"]) == base_secrets(r["text"] or "")
+    assert secrets.scan_secrets(df.limit(0)).count() == 0 and secrets.scan_secrets(odd(spark)).count() == 8
+
+
+def test_secrets_found_and_names_left(spark):
+    """Names of any length and style are left; random strings of 32 characters and more are found."""
+    rng = np.random.default_rng(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = re.findall("[a-z]{3,10}", " ".join(m.__doc__ for m in (secrets, pii, quality, html_text, embedding_dedup, ngram_join, packing, tokens)).lower())
+    rows = []
+    for n in (20, 24, 31, 40, 64, 120):
+        for _ in range(60):
+            w = list(rng.choice(words, 50))
+            rows += [("camel", n, (w[0] + "".join(map(str.title, w[1:])))[:n]), ("snake", n, "_".join(w)[:n]), ("upper", n, "_".join(w).upper()[:n])]
+        rows += [(e, n, drawn(rng, a, n)) for e, a in ALPHABETS.items() if e != "hex" for _ in range(30)]
+    made = [(10**6 + k, f"see {t} here") for k, (_, _, t) in enumerate(rows)]
+    got = {r["doc_id"]: any(s["kind"] == "random" for s in r["spans"]) for r in secrets.scan_secrets(docs.union(spark.createDataFrame(made, "doc_id long, text string"))).collect()}
+    share = lambda ok: np.mean([got[10**6 + k] for k, r in enumerate(rows) if ok(*r[:2])])
+    for n in (20, 24, 31, 40, 64, 120):
+        assert all(share(lambda e, m, style=style, n=n: e == style and m == n) < 0.05 for style in ("camel", "snake", "upper"))
+    assert share(lambda e, m: e in ALPHABETS and m >= 32) > 0.85
+
+
+def test_secret_p_values(spark):
+    """Uniform for random tokens, and each step as numpy has it."""
+    rng = np.random.default_rng(4)
+    rows = [(e, drawn(rng, a, n)) for e, a in ALPHABETS.items() for n in (20, 33, 64, 200) for _ in range(100)] + [("b62", "getTheNameOfTheUserValue"), ("b64", "a" * 30), ("hex", "0" * 24)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "e string, t string").withColumn("p", F.expr(secrets.token_p_value("t"))).collect()]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    for (_, t), p in zip(rows, got, strict=True):
+        kinds = [("[0-9a-f]+", "hex", (10, 6)), ("[A-Z2-7]+", None, (26, 6)), ("[A-Z0-9]+", None, (10, 26)), ("[a-z0-9]+", "b36", (10, 26)), ("[A-Za-z0-9]+", "b62", (10, 26, 26)), (".+", "b64", (12, 26, 26))]
+        name, sizes = next((n, s) for pattern, n, s in kinds if re.fullmatch(pattern, t))
+        alphabet = ALPHABETS[name] if name != "b64" else secrets.DIGITS + "+/" + secrets.UPPER + secrets.UPPER.lower()
+        x = np.array([alphabet.index(c) for c in t])
+        n, k, edges = len(x), len(alphabet), np.cumsum([0, *sizes])
+        chi, shape = k / n * (np.bincount(x, minlength=k) ** 2).sum() - n, (k - 1) / 2 * n / (n - 1)
+        z = (np.cbrt(max(chi, 0) / (k - 1)) - 1 + 1 / (9 * shape)) * np.sqrt(9 * shape)
+        by_class, want = np.histogram(x, edges)[0], n * np.array(sizes) / k
+        classes = ((by_class - want) ** 2 / want).sum()
+        high = (x >= k // 2).astype(int)
+        up, runs = high.sum(), 1 + (np.diff(high) != 0).sum()
+        mean, spread = 2 * up * (n - up) / n + 1, 2 * up * (n - up) * (2 * up * (n - up) - n) / (n * n * (n - 1))
+        d = x - x.mean()
+        z_serial = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * np.sqrt(n) if d.any() else 99
+        ps = [tail(z), math.exp(-classes / 2) if len(sizes) == 3 else 2 * tail(math.sqrt(classes)), 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0, 2 * tail(z_serial)]
+        y = -sum(math.log(max(q, 1e-60)) for q in ps)
+        assert abs(p - min(1.0, math.exp(-y) * (1 + y + y * y / 2 + y**3 / 6))) < 1e-3
+    random = np.array(got[:-3])
+    assert abs((random < 0.5).mean() - 0.5) < 0.06 and abs((random < 0.05).mean() - 0.05) < 0.04 and max(got[-3:]) < 0.01
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = np.random.default_rng(6)
+    big = [(1, "password=abcdef " * 100_000), (2, ("0a" * 12 + " ") * 100_000), (3, "".join("secret=" + drawn(rng, ALPHABETS["b62"], 24) + " " for _ in range(20_000))), (4, "x" * 1_000_000)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(big, "doc_id long, text string")).collect()}
+    assert {k: len(v) for k, v in got.items()} == {1: 100_000, 2: 100_000, 3: 20_000, 4: 0}
+    assert (got[1][-1]["start"], got[1][-1]["end"]) == (1_599_984, 1_599_999)
 
 
 def test_mixing(spark, docs):
@@ -283,9 +369,68 @@ def test_viterbi_and_forward_backward_by_brute_force():
         assert np.allclose(got[0], tag) and np.allclose(moved, 2 * both)
 
 
+def wide(spark, rows):
+    """Documents with columns of names that operators use themselves."""
+    full = [(i, t, lang, source, len(t or ""), float(k), f"own {k}", k, k) for k, (i, t, lang, source) in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, copy int, shuffle_key long")
+
+
+STORY = "we went down to the river in the morning and saw that the water was high and the boats were gone"
+ROWS = [
+    (3, CAT, "en", "a"), (6, FOX, "en", "a"), (6, CAT, "en", "b"), (7, FOX + " ", None, "a"), (7, FOX + " ", None, "a"), (None, STORY, "en", None), (None, STORY, "en", None), (9, None, "en", "a"), (10, "", "en", "a"), (11, "12 34", "en", "a"),
+    (12, STORY + " call +1 (555) 010-2030 or mail a@b.org", "en", "b"),
+]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on rows with repeated and null ids, equal rows and columns of the operators' names, against a plain version."""
+    docs = wide(spark, ROWS)
+    as_rows = lambda df: sorted(str(r.asDict()) for r in df.collect())
+    plain = [r.asDict() for r in docs.collect()]
+    spoken = corpus_pipeline.language_stage(spark, docs, "")
+    assert spoken.columns == docs.columns and as_rows(spoken) == sorted(str({**r, "lang": "en"}) for r in plain if r["text"] and any(map(str.isalpha, r["text"])))
+    unique = corpus_pipeline.duplicate_stage(spark, spoken, "")
+    got = [r.asDict() for r in unique.collect()]
+    assert unique.columns == docs.columns and sorted((str(r["doc_id"]), r["text"][:9]) for r in got) == [("12", STORY[:9]), ("3", CAT[:9]), ("6", FOX[:9]), ("None", STORY[:9])]
+    clean = corpus_pipeline.privacy_stage(spark, unique, "")
+    model = pii.train_from_documents(unique)
+    want = [{**r, "text": pii.redact(r["text"], s := pii.Tagger(model).spans([r["text"]])[0]), "n_chars": len(pii.redact(r["text"], s))} for r in got]
+    assert clean.columns == docs.columns and as_rows(clean) == sorted(map(str, want)) and any(r["text"].endswith("call [PHONE] or mail [EMAIL]") for r in want)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    rate = {r["source"]: r["rate"] for r in mixing.source_rates(docs).collect()}
+
+    def times(row):
+        """The inverse of the Poisson distribution at the row's hashed number, by summing its terms."""
+        u, mean = int(hashlib.md5(f"17:{'null' if row['doc_id'] is None else row['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13, rate[row["source"]]
+        k, term = 0, math.exp(-mean)
+        below = term
+        while below < u:
+            k += 1
+            term *= mean / k
+            below += term
+        return k
+
+    assert mixed.columns == docs.columns and as_rows(mixed) == sorted(str(r) for r in plain for _ in range(times(r)))
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.duplicate_stage, corpus_pipeline.privacy_stage, corpus_pipeline.mixing_stage):
+        assert stage(spark, docs.limit(0), "").columns == docs.columns and stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark):
-    pieces = corpus_pipeline.run(spark, SF)
-    assert len(corpus_pipeline.STAGES) == 5 and pieces.count() > 0
-    assert pieces.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+    """Every text that the first stages drop has no letters, or a near-duplicate that stays; windows hold all tokens left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spoken = corpus_pipeline.language_stage(spark, docs, SF)
+    unique = corpus_pipeline.duplicate_stage(spark, spoken, SF)
+    texts = [r["text"] for r in spoken.collect()]
+    assert sorted(t for t in (r["text"] for r in docs.collect()) if t and any(map(str.isalpha, t))) == sorted(texts)
+    groups = {part for _, part, _ in jaccard(texts, 5, 80).values()}
+    assert unique.count() == len(groups)
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    assert len(corpus_pipeline.STAGES) == 5 and pieces
+    ends = {}
+    for p in pieces:
+        ends.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for held in ends.values():
+        held.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and held[0][0] == 0 and sum(held[-1]) <= 2048
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registry.QUERIES}
-    assert hashlib.sha256(b"").hexdigest() in {r["base_sha256"] for r in registry.QUERIES["op9_pii"](spark, SF).collect()}
