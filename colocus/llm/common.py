@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,30 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 
+_lock, _held = threading.Lock(), {"writers": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """CLEANUP is on while any thread is within; the last one to leave restores it."""
+    with _lock:
+        if not _held["writers"]:
+            _held["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _held["writers"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _held["writers"] -= 1
+            if not _held["writers"]:
+                spark.conf.set(CLEANUP, _held["before"])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the scratch folder and read it back.
 
@@ -41,13 +66,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.select("*").write.parquet(path)  # the setting counts for frames made under it
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(batch, rows: int = 256):
@@ -102,7 +132,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        last, now = now, staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        dropped(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     label = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

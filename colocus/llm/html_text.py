@@ -40,7 +40,9 @@ PARTS = frozenset("li dt dd tr td th".split())
 _SCOPE = frozenset("article aside blockquote body button div dd dl fieldset figure footer form header html li main nav ol section table td th ul".split())
 _SIBLINGS = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table"))}
 
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
+#: The same where some quote is never closed.
+_LOOSE = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 _ASIDE = re.compile("(?:" + "|".join(w[:-1] + r"\w*" if w[-1] == "*" else w for w in ASIDE_WORDS) + ")")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -75,11 +77,16 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
     blocks: list[str] = []
     marks: list[bool] = []  # whether a block is in an article
     hashes: set[int] = set()
-    stack: list[list] = []  # tag, digests of children, blocks before it, aside, protected
+    stack: list[list] = []  # tag, digests of children (an inline element's are its parent's), blocks before it, aside, protected
+    places: dict[str, list[int]] = {}  # of the open elements of each tag on the stack
+    scopes: list[int] = []  # of those that a paragraph does not reach across
     text: list[str] = []
-    inside = aside = 0
+    inside = aside = guarded = 0  # guarded: elements at the stack's foot that hold an article
     low = None
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def flush():
         if text:
             line = " ".join(unescape("".join(text)).split())
@@ -93,18 +100,20 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
 
     def close(k: int):
         """Ends all elements from place k of the stack."""
-        nonlocal inside, aside
+        nonlocal inside, aside, guarded
         while len(stack) > k:
             tag, children, before, is_aside, protected = stack[-1]
             if tag in BLOCK:
                 flush()
             stack.pop()
+            places[tag].pop()
+            if scopes and scopes[-1] == len(stack):
+                scopes.pop()
+            guarded = min(guarded, len(stack))
             aside -= is_aside
             if tag in ARTICLE and not is_aside:
                 inside -= 1
             if tag not in BLOCK:
-                if stack:
-                    stack[-1][1].extend(children)
                 continue
             key = tag.encode() + b"".join(children)
             if len(blocks) > before and not protected and tag not in KEPT and not (inside and tag in PARTS):
@@ -115,29 +124,33 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
             if stack:
                 stack[-1][1].append(xxh3_64_digest(key))
 
-    at, n = 0, len(html)
+    at, n, end, pattern = 0, len(html), html.rfind(">"), _TAG
     while at < n:
-        m = _TAG.search(html, at)
-        if not m:
+        start = html.find("<", at)
+        if start < 0 or (start > end and not html.startswith("<!--", start)):  # no tag ends after here
             text.append(html[at:])
             break
-        if m.start() > at:
-            text.append(html[at : m.start()])
+        m = pattern.match(html, start)
+        if not m and pattern is _TAG and html[start + 1 : start + 2].isalpha():
+            pattern = _LOOSE
+            m = pattern.match(html, start)
+        if not m:
+            text.append(html[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            text.append(html[at:start])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ARTICLE and tag not in KEPT:
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            k = last((tag,))
+            if k >= 0 and (tag in KEPT or k > last(ARTICLE)):
+                close(k)
+            elif k < 0 and tag in BLOCK and (tag in KEPT or last(ARTICLE) < 0):
+                flush()
             continue
         if tag in VOID:
             if tag == "hr":
@@ -151,35 +164,29 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
                     low = html.lower()
                     if len(low) != n:  # some letters change length: look for the names as written
                         low = html
-                end = low.find(f"</{tag}", at)
-                at = n if end < 0 else (html.find(">", end) + 1 or n)
+                stop = low.find(f"</{tag}", at)
+                at = n if stop < 0 else (html.find(">", stop) + 1 or n)
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            if (k := last("p")) > (scopes[-1] if scopes else -1):  # a block ends an open paragraph
+                close(k)
             if tag in _SIBLINGS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag or (tag in ("dt", "dd", "td", "th") and stack[k][0] in ("dt", "dd", "td", "th")):
-                        close(k)
-                        break
-                    if stack[k][0] in _SIBLINGS[tag]:
-                        break
-            elif tag == "body":  # a head left open ends here
-                for k in range(len(stack)):
-                    if stack[k][0] == "head":
-                        close(k)
-                        break
+                k = last(("dt", "dd", "td", "th") if tag in ("dt", "dd", "td", "th") else (tag,))
+                if k > last(_SIBLINGS[tag]):
+                    close(k)
+            elif tag == "body" and places.get("head"):  # a head left open ends here
+                close(places["head"][0])
         is_aside = _is_aside(tag, m[3])
         if tag in ARTICLE and not is_aside and not aside:
-            for frame in stack:
+            for frame in stack[guarded:]:
                 frame[4] = True
-        stack.append([tag, [], len(blocks), is_aside, tag in ARTICLE])
+            guarded = len(stack)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append([tag, [] if tag in BLOCK or not stack else stack[-1][1], len(blocks), is_aside, tag in ARTICLE])
         aside += is_aside
         inside += tag in ARTICLE and not is_aside
     close(0)
@@ -214,6 +221,8 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), leas
     the same text before this deletion are one. Every page is joined with its own recurring subtrees.
     Pages without a host in their url count as one host. Blocks are joined by a newline. Null or empty
     html, and pages of which nothing is left, give an empty text; an empty table gives an empty result.
+    Tags that never end are text; a quote that never ends does not hide the tags after it. keep must not
+    name text.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     html = F.col("html").cast("string")
@@ -224,10 +233,12 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), leas
     often = staged(votes.groupBy("host", "subtree").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("host", "subtree"), "html-recurring")
     met = seen.select("host", "page", F.explode("subtrees").alias("subtree")).join(often, ["host", "subtree"])
     lists = staged(met.groupBy(F.col("host").alias("host_"), F.col("page").alias("page_")).agg(F.sort_array(F.collect_set("subtree")).alias("recurring")), "html-lists")
-    full = pages.select(*[F.col(c) for c in keep], html.alias("html_"), host.alias("host_"), page.alias("page_"))
-    joined = full.join(lists, ["host_", "page_"], "left").select(*keep, "html_", "recurring")
+    own = [f"__keep_{k}" for k in range(len(keep))]
+    full = pages.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], html.alias("html_"), host.alias("host_"), page.alias("page_"))
+    joined = full.join(lists, ["host_", "page_"], "left").select(*own, "html_", "recurring")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-2])
-    return joined.mapInArrow(given_back(_text), f"{schema}, text string")
+    found = joined.mapInArrow(given_back(_text), ", ".join(filter(None, [schema, "text string"])))
+    return found.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

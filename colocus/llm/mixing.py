@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: Rows of the table of rates up to which it may be broadcast; beyond, Spark joins by shuffle.
-BROADCAST_SOURCES = 10_000
+#: Bytes of the table of rates up to which it may be broadcast; beyond, Spark joins by shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Rates over this are refused: the table of one source's distribution would grow too long.
 MOST_RATE = 100_000
 _OWN = ["copy", "shuffle_key"]
@@ -71,9 +71,10 @@ def mix_sources(docs: DataFrame, power: float = 0.5, weights: dict[str, float] |
     """
     docs = docs.drop(*_OWN)
     rates = staged(source_rates(docs, power, weights, scale).where("rate > 0").select(F.col("source").alias("__source"), F.expr(poisson_steps("rate")).alias("__steps")), "mix-rates")
-    small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    held = rates.agg(F.sum(F.size("__steps") * 8 + F.coalesce(F.octet_length(F.col("__source").cast("string")), F.lit(0)) + 64).alias("n")).first()["n"] or 0
+    small = held <= BROADCAST_BYTES
     joined = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("__source")))
-    times = F.expr(f"size(filter(__steps, c -> c < {uniform(seed, 'doc_id')}))")
+    times = F.expr(f"transform(array({uniform(seed, 'doc_id')}), u -> size(filter(__steps, c -> c < u)))[0]")  # one hash a row
     copies = joined.withColumn("__times", times).where("__times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     key = F.expr(f"cast(conv(substring(md5('{int(seed)}:' || coalesce(cast(doc_id as string), 'null') || ':' || copy), 1, 15), 16, 10) as long)")
     keyed = copies.drop("__source", "__steps", "__times").withColumn("shuffle_key", key)

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -33,10 +34,35 @@ def test_quality(spark, docs):
     text = "a b c d e f g h i a b c d e f g h\nx\nx\n"
     got = dict(zip(quality.MEASURES, quality.measures(text), strict=True))
     assert (got["n_words"], got["n_repeat_words"], got["n_dup_lines"]) == (19, 16, 1)
-    rows = quality.quality_posteriors(docs).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
-    assert all(r["kept"] or r["base_failed"] for r in rows if r["quality"] == 1 and not r["toxic"])
+    big = "/root/testdata/sf0.01"
+    rows = quality.quality_posteriors(spark.read.parquet(f"{big}/documents.parquet")).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q and not r["toxic"]] for q in (1, 0))
+    assert np.mean(good) >= 0.95 and (not bad or np.mean(bad) <= 0.1) and len(good) > 100
     got = {r["doc_id"]: r for r in quality.quality_posteriors(odd(spark)).collect()}
     assert got[1]["n_words"] == 0 and not got[1]["kept"] and len(got) == 7
+    assert quality.quality_posteriors(docs.limit(0)).count() == 0
+
+
+def test_measures_by_plain_loops(docs):
+    for r in docs.collect():
+        t = r["text"] or ""
+        words, got = re.findall(r"[^\x20\x09-\x0D]+", t), dict(zip(quality.MEASURES, quality.measures(r["text"]), strict=True))
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert got["n_words"] == len(words) and got["word_chars"] == sum(map(len, words)) and got["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+        assert got["n_dup_lines"] == sum(x in lines[:k] for k, x in enumerate(lines)) and got["n_distinct"] == len(set(words))
+
+
+def test_rules_learn_accuracies():
+    """EM on votes drawn from a known model finds its prior and tells texts apart as the true model does."""
+    rng = np.random.default_rng(0)
+    true = quality.RuleModel(0.8, np.array([0.95, 0.97, 0.92, 0.98]), np.array([0.8, 0.6, 0.7, 0.5]))
+    good = rng.random(20_000) < true.prior
+    right = rng.random((20_000, 4)) < np.where(good[:, None], true.good, true.bad)
+    votes = np.where(good[:, None] == right, 1, -1) * (rng.random((20_000, 4)) < 0.9)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.fit_rules(patterns, counts.astype(float))
+    assert abs(model.prior - true.prior) < 0.05 and np.abs(model.good - true.good).max() < 0.05 and np.abs(model.bad - true.bad).max() < 0.12
+    assert np.mean((model.log_odds(votes) > 0) == (true.log_odds(votes) > 0)) > 0.97
 
 
 def test_repeats_by_brute_force():
@@ -59,6 +85,34 @@ def test_html(spark):
     assert got[20] == got[21] == "" and got[22] == "Weather now"
 
 
+def test_html_counts_by_brute_force(spark):
+    """The text of every page is what walk leaves with the subtrees that a plain count finds on its host."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    host = {r["page_id"]: (re.match(r"https?://([^/]*)", r["url"] or "") or [None, ""])[1].lower() for r in rows}
+    seen = {r["page_id"]: html_text.walk(r["html"] or "") for r in rows}
+    texts: dict = {}
+    for page, (blocks, hashes) in seen.items():
+        for h in hashes:
+            texts.setdefault((host[page], h), set()).add("\n".join(blocks))
+    want = {r["page_id"]: "\n".join(html_text.walk(r["html"] or "", frozenset(h for h in seen[r["page_id"]][1] if len(texts[host[r["page_id"]], h]) >= 3))[0]) for r in rows}
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == want
+    assert any(want[page] != "\n".join(blocks) for page, (blocks, _) in seen.items())
+
+
+def test_html_edges(spark):
+    clash = spark.createDataFrame([(1, "http://a.com", "<p>x</p>", "own", 2)], "page_id long, url string, html string, html_ string, recurring int")
+    got = html_text.main_text(clash, ("page_id", "html_", "recurring")).collect()
+    assert [tuple(r) for r in got] == [(1, "own", 2, "x")]
+    assert html_text.main_text(clash.limit(0)).count() == 0
+    n = 30_000
+    hostile = ["<p x=" * n, "<p x=" * n + ">", "<b></i>" * n, "<!" * n, "<h1>" * n, "<article>" * n, "x<b>" * n, '<a ">' * n + "'", "<i><article>" + "<b>" * n + "</i>" * n, "<div>x" * n, "<ul>" + "<li>x" * n, "<!--" * n, "<table>" + "<tr><td>x" * n]
+    began = time.time()
+    for page in hostile:
+        html_text.walk(page)
+    assert time.time() - began < 20  # a quadratic step takes minutes
+
+
 def test_html_recurring_in_articles(spark):
     share = "<div class=x7><p>Tell your friends about us</p></div>"
     pages = [(k, f"http://a.com/{k}", f"<body><main><h1>Title {k}</h1><p>Story {k}</p>{share}</main><div><p>An end that main leaves out, {k}.</p><p>more</p></div></body>") for k in range(20)]
