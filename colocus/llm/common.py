@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: The setting under which Spark removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of two numbers (some 45 MB as a hash table) up to which a table is broadcast.
+BROADCAST_ROWS = 700_000
+
 _own: dict[str, str] = {}
 
 
@@ -73,6 +76,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of two numbers a row, to be broadcast in a join if it has few rows; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

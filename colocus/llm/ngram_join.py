@@ -4,8 +4,8 @@ The document-by-n-gram incidence matrix is cut into column blocks (ranges of the
 row blocks (groups of documents). A document that links needs all but a few of its n-grams in some
 other document, so a first column block already discards every document with more unmatched
 n-grams in it than that bound allows. The rest are grouped by the rarest n-grams that a partner
-must share. Within a group, row blocks hold documents of like size, and only blocks whose sizes allow
-a link are multiplied: overlap counts are accumulated column by column and pairs under the bound that
+must share. A group that is too large for one row block is cut into blocks of documents of like size,
+and only blocks whose sizes allow a link are multiplied: overlap counts are accumulated column by column and pairs under the bound that
 both sizes imply are discarded. Equal sets are one row of the matrix with their number as weight.
 """
 
@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from .common import Union, connected_components, given_back, mix64, staged, table, text_batches
+from .common import Union, connected_components, given_back, mix64, small_side, staged, table, text_batches
 
 #: The words that a task's cache of word hashes holds at most.
 CACHED_WORDS = 200_000
+#: N-grams of a row block at most, but for a single set of more.
+BLOCK_GRAMS = 1 << 19
 
 
 class _Words(dict):
@@ -153,6 +155,7 @@ def _joined(docs: DataFrame, n: int, share: int, block_rows: int) -> tuple[DataF
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")
     classes = staged(base.where("n > 0").groupBy("fp", "fp2", "n").agg(lead, F.count("*").alias("m")), "ngram-classes")
     kept = classes.join(lone, "fp", "left").where(F.coalesce("lone", F.lit(0)) <= misses).select(F.col("lead.doc_id").alias("id_"), F.col("lead.th").alias("th_"))
+    kept = small_side(staged(kept, "ngram-kept"))
 
     # All columns, for the documents still in question.
     texts = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left_semi")
@@ -176,16 +179,19 @@ def _joined(docs: DataFrame, n: int, share: int, block_rows: int) -> tuple[DataF
     near = prefix.join(hubs, "gram").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     groups = connected_components(near).withColumnsRenamed({"node": "fp", "component": "cluster"})
 
-    # Row blocks: a group's sets by size, in ranges whose ends are as far apart as linked sets can be,
-    # and each range in blocks of about block_rows. A block meets those of its own range and the next.
+    # Row blocks: of a group that is too large for one, the sets by size, in ranges whose ends are as far
+    # apart as linked sets can be, and each range in blocks. A block meets those of its own range and the next.
     width = float(np.log(100 / share)) + 1e-9 if share < 100 else 1e-9
-    sized = staged(groups.join(sets.select("fp", "n"), "fp").withColumn("range", F.floor(F.ln("n") / width)), "ngram-groups")
-    ranges = sized.groupBy("cluster", "range").agg(F.count("*").alias("k"))
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("k") / block_rows) - 1), lambda i: F.col("range") * 2**32 + i)
+    sized = staged(groups.join(sets.select("fp", "n"), "fp"), "ngram-groups")
+    needed = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / BLOCK_GRAMS))
+    small = sized.groupBy("cluster").agg((needed == 1).alias("small"))
+    sized = sized.join(small, "cluster").withColumn("range", F.when(F.col("small"), 0).otherwise(F.floor(F.ln("n") / width)))
+    ranges = sized.groupBy("cluster", "range").agg(F.count("*").alias("k"), needed.alias("n_blocks"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.col("range") * 2**32 + i)
     ranges = ranges.select("cluster", "range", "k", blocks.alias("blocks"))
     others = ranges.select("cluster", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"), F.col("range").alias("other"), F.col("blocks").alias("others"))
     partners = ranges.join(others, ["cluster", "range"]).where("range <> other or k > 1").select("cluster", "range", F.size("blocks").alias("n_blocks"), F.explode("others").alias("other"))
-    members = sized.join(partners, ["cluster", "range"]).withColumn("block", F.col("range") * 2**32 + F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
+    members = sized.drop("small").join(partners, ["cluster", "range"]).withColumn("block", F.col("range") * 2**32 + F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
     pairs = members.select("fp", "cluster", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     held = pairs.join(sets, "fp").join(classes.groupBy("fp").agg(F.sum("m").alias("m")), "fp")
     found = staged(held.groupBy("cluster", "x", "y").applyInPandas(_product(share), "a long, b long, n long"), "ngram-links")
@@ -196,7 +202,7 @@ def _joined(docs: DataFrame, n: int, share: int, block_rows: int) -> tuple[DataF
     return base, part
 
 
-def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 256) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 1024) -> DataFrame:
     """Groups documents linked by word n-gram Jaccard similarity of at least share percent.
 
     docs has doc_id and text; other columns are ignored. Returns doc_id, n_shingles (size of the
@@ -215,7 +221,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_row
     )
 
 
-def one_of_each_group(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 256) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 1024) -> DataFrame:
     """Keeps one row of each component of ngram_jaccard_groups, with all its columns.
 
     The row with the smallest doc_id stays (one of those where equal texts share it). Rows are told apart
@@ -229,7 +235,7 @@ def one_of_each_group(docs: DataFrame, n: int = 4, share: int = 85, block_rows:
     fate = staged(known.groupBy(F.col("doc_id").alias("id_"), F.col("th").alias("th_")).agg(F.max(stays).alias("stays"), F.count("*").alias("k")).where("not stays or k > 1"), "ngram-fate")
     marked = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
     met = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col("__th") == F.col("th_"))
-    out = marked.join(fate, met, "left_anti")
+    out = marked.join(small_side(fate), met, "left_anti")
     again = fate.where("stays")
     if not again.isEmpty():
         out = out.unionByName(marked.join(again, met, "left_semi").dropDuplicates(["doc_id", "__th"]))
