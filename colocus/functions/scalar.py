@@ -86,6 +86,11 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws("_", F.least(a, b), F.greatest(a, b))
 
 
+def decimal_log(x: Column) -> Column:
+    """log10; null where x is not positive."""
+    return F.when(x > 0, F.log10(x))
+
+
 def scaled_weight(score: Column, low: Column, high: Column, n: Column) -> Column:
     """Scores brought to the range from 1/n to 1 within a subclade; all 1 if they hardly differ."""
     spread = high - low

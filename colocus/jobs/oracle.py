@@ -35,14 +35,6 @@ def _step(key: str, rows: str) -> str:
     return f"select {key}, sum(n * zeta) / sum(n * zeta * distance) rate, sum(n * zeta) / sum(n) phi, sum(n * ln(ee + uu)) log_likelihood, sum(n)::bigint n_pairs from {_zeta(rows, key, R, P)} group by {key}"
 
 
-_U = "('0x' || substr(md5('8290:' || {0}), 1, 8))::bigint::double / 4294967296"
-_KEY = "subclade_id || ':' || bin || ':' || perm || ':' || draw"
-
-
-def _uniform(name: str) -> str:
-    return _U.format(f"{_KEY} || ':{name}'")
-
-
 CTES = f"""
 genes as (
   select o_custkey organism_id, case when o_orderkey % 5 = 0 then 'plasmid' else 'chr' end molecule_id, o_orderkey gene_id,
@@ -128,8 +120,7 @@ closure as (
     case when n = 1 or hi - lo < 1e-6 then 1.0 else (score - lo) / (hi - lo) * (1 - 1.0::double / n) + 1.0::double / n end weight, score / total * n mean_one
   from (select *, count(*) over w n, min(score) over w lo, max(score) over w hi, sum(score) over w total from scores window w as (partition by node_id))),
 sub0 as (select subclade_id, domain1, domain2, {_sums('1.0::double')} from joined join closure using (organism_id) group by all),
-sub as (select *, {_posterior()} prob from sub0),
-upper_sub as (select s.* from sub s join tree t on t.node_id = s.subclade_id where t.depth < 2),
+sub as materialized (select *, {_posterior()} prob from sub0),
 maxima as (
   select t.parent_id subclade_id, domain1, domain2, max(occurrences) child_max from sub join linked t on t.node_id = subclade_id where t.parent_id is not null group by all),
 flags as (
@@ -146,7 +137,7 @@ pruned as (
   union all select s.* from sub s join linked t on t.node_id = s.subclade_id and t.is_leaf),
 pairs_binned as (
   select *, unnest(list_filter([b, case when occurrences >= 5 * b then 5 * b end, case when b >= 10 then b // 2 end], lambda x: x is not null)) bin
-  from (select *, pow(10, floor(log10(occurrences) + 1e-12))::bigint b from upper_sub where occurrences > 0)),
+  from (select *, pow(10, floor(log10(occurrences) + 1e-12))::bigint b from sub where occurrences > 0)),
 bins as (select subclade_id, bin, count(*) n_pairs, avg(prob) mean_prob from pairs_binned group by all),
 pool as (
   select organism_id, row_number() over (partition by organism_id order by gene_id) - 1 gene_idx, gene_id, gene_start, gene_end, size, n_domains / sum(n_domains) over (partition by organism_id) weight
@@ -156,36 +147,20 @@ nation_hist as (select nation, distance, count(*) n, 20000.0::double half from g
 nation_step as ({_step('nation', 'nation_hist')}),
 org_step as ({_step('organism_id', 'org_hist')}),
 leaf_dist as (
-  select a.organism_id organism1, b.organism_id organism2, greatest(a.leaf_dist, 0) + greatest(b.leaf_dist, 0) distance from lineage a join lineage b on a.nation = b.nation and a.organism_id < b.organism_id),
-own_z as (select organism_id, distance, zeta own from {_zeta('org_hist', 'organism_id', R, P)}),
-mean_z as (select organism_id, distance, zeta mean from {_zeta('org_hist', 'organism_id', '0.0008', '0.12')}),
+  select a.organism_id organism1, b.organism_id organism2, greatest(a.leaf_dist, 0) + greatest(b.leaf_dist, 0)
+    + case when a.nation <> b.nation then greatest(a.nation_dist, 0) + greatest(b.nation_dist, 0) else 0 end
+    + case when a.region <> b.region then greatest(a.region_dist, 0) + greatest(b.region_dist, 0) else 0 end distance
+  from lineage a join lineage b on a.organism_id < b.organism_id),
+own_rows as (select h.*, rate, phi from org_hist h join org_step using (organism_id) where rate > 0),
+mean_rows as (select h.*, p.rate, p.phi from org_hist h, (select avg(rate) rate, avg(phi) phi from org_step) p),
+own_z as (select organism_id, distance, zeta own from {_zeta('own_rows', 'organism_id', 'rate', 'phi')}),
+mean_z as (select organism_id, distance, zeta mean from {_zeta('mean_rows', 'organism_id', 'rate', 'phi')}),
 agreement as (
   select organism_id, sum((own > 0.5)::int)::bigint n_own, sum((mean > 0.5 and own > 0.5)::int)::double / nullif(sum((own > 0.5)::int), 0) tpr,
     sum((mean > 0.5 and own <= 0.5)::int)::double / nullif(sum((own > 0.5)::int), 0) fpr, case when count(*) > 1 then corr(own, mean) end corr
   from own_z join mean_z using (organism_id, distance) group by organism_id),
 below as (select v.ancestor_id node_id, greatest(t.dist, 0) d from above v join tree t on t.node_id = v.node_id where v.node_id <> v.ancestor_id),
-branch as (select node_id, sum(d) branch_length from below group by node_id),
-members as (select subclade_id, organism_id, row_number() over (partition by subclade_id order by organism_id) - 1 ord, count(*) over (partition by subclade_id) n_members from closure),
-tasks as (
-  select subclade_id, bin, perm, unnest(range(0, bin)) draw from (select subclade_id, bin, unnest(range(0, 20)) perm from bins where bin <= 50)),
-drawn0 as (select t.*, floor({_uniform('organism')} * n_members)::bigint ord from tasks t join (select distinct subclade_id, n_members from members) using (subclade_id)),
-drawn as (
-  select d.*, organism_id, count(*) over (partition by d.subclade_id, bin, perm, organism_id) m, arg_min(organism_id, draw) over (partition by d.subclade_id, bin, perm) first_one
-  from drawn0 d join members m on m.subclade_id = d.subclade_id and m.ord = d.ord),
-sizes as (select organism_id, count(*) n_genes from pool group by organism_id),
-picked as (
-  select d.*, draw > 0 and {_uniform('moved')} >= case when organism_id = first_one then 1.0::double / m else 0.0 end moved,
-    floor({_uniform('gene1')} * n_genes)::bigint i1, floor({_uniform('gene2')} * n_genes)::bigint i2
-  from drawn d join sizes using (organism_id)),
-perms0 as (
-  select subclade_id, bin, perm, sum(ln({R}) - {R} * (case when moved then {_distance('a.gene_start', 'a.gene_end', 'b.gene_start', 'b.gene_end', 'a.size', 'i1 = i2')}
-      else a.gene_end - a.gene_start + b.gene_end - b.gene_start + 2 end)) log_exp, sum(log_uni_prob) log_uni
-  from picked p join pool a on a.organism_id = p.organism_id and a.gene_idx = i1 join pool b on b.organism_id = p.organism_id and b.gene_idx = i2
-    join uniform u on u.organism_id = p.organism_id group by all),
-perms as (select *, {_posterior()} prob from perms0),
-stats as (
-  select subclade_id, bin, count(*) n, max(prob) e_4, max(case when r = 10 then prob end) e_3, avg(prob) mean, quantile_cont(prob, 0.5) median, (sum((prob > 0.5)::int) + 1.0::double) / (count(*) + 1) pct_above
-  from (select *, row_number() over (partition by subclade_id, bin order by prob desc) r from perms) group by all)
+branch as (select node_id, sum(d) branch_length from below group by node_id)
 """
 
 _CONS = "domain1, domain2, occurrences, fusions, n_genes1, n_genes2, n_organisms, round(log_exp, 4) log_exp, round(log_uni, 4) log_uni, round(prob, 6) prob"
@@ -218,7 +193,12 @@ FINAL = {
     "em_one_step": "select nation, round(rate, 9) rate, round(phi, 6) phi, round(log_likelihood, 3) log_likelihood, n_pairs from nation_step",
     "zetas": f"select organism_id, distance, n, round(zeta, 6) zeta from {_zeta('org_hist', 'organism_id', R, P)}",
     "sensitivity_rates": "select organism_id, n_own, round(tpr, 6) tpr, round(fpr, 6) fpr from agreement",
-    "zeta_corr": "select organism_id, round(corr, 4) corr from agreement where corr is not null and not isnan(corr)",
+    "zeta_corr": "select organism_id, case when not isnan(corr) then round(corr, 4) end corr from agreement",
+    "genes_in_either": "select organism_id, domain1, domain2, count(distinct gene)::bigint n_genes from (select organism_id, domain1, domain2, gene1 gene from dists union select organism_id, domain1, domain2, gene2 from dists) group by all",
+    "pruning_counts": "select subclade_id, count(*) n_before, count(p.domain1) n_kept, count(*) - count(p.domain1) n_deleted from sub s left join pruned p using (subclade_id, domain1, domain2) group by subclade_id",
+    "domain_go_lists": "select domain_id, string_agg(go_id::varchar, ',' order by go_id) members from process group by domain_id",
+    "unmatched_hits": "select organism_id, gene_id, domain_id, line_no from hits where gene_id % 7 = 0",
+    "conserved_sum_check": f"select 0::bigint subclade_id, {_CONS} from (select *, {_posterior()} prob from (select domain1, domain2, {_sums('1.0::double')} from joined group by all))",
     "weighted_param_mean": "select round(sum(weight * rate) / sum(weight), 9) rate, round(sum(weight * phi) / sum(weight), 6) phi from closure left join org_step using (organism_id) where subclade_id = 0",
     "tree_nodes": "select node_id, parent_id, round(dist, 6) dist, organism_id, is_leaf, depth from linked",
     "subclade_ids": "select node_id subclade_id, region, nation, bfs_idx from linked where not is_leaf",
@@ -235,7 +215,6 @@ FINAL = {
     "leaf_distances_normalised": "select organism1, organism2, round(greatest(distance, 0) / (select max(greatest(distance, 0)) from leaf_dist) * (1 - 1e-4) + 1e-4, 6) norm_distance from leaf_dist",
     "gene_pool": "select organism_id, gene_idx, gene_id, gene_start, gene_end, size, round(weight, 6) weight from pool",
     "branch_length_sum": "select node_id, round(branch_length, 6) branch_length, round((branch_length - (select min(branch_length) from branch)) / nullif((select max(branch_length) - min(branch_length) from branch), 0), 5) scaled from branch",
-    "permutation_stats": "select subclade_id, bin, n, round(e_4, 6) e_4, round(e_3, 6) e_3, round(mean, 6) mean, round(median, 6) median, round(pct_above, 6) pct_above from stats",
     "missing_inputs": "select distinct organism_id from molecules where organism_id not in (select organism_id from filtered)",
     "incremental_todo": "select distinct organism_id from organism where organism_id not in (select organism_id from lineage where region < 2)",
 }

@@ -39,7 +39,12 @@ class Flow:
     scores = cached_property(lambda s: tree.subclade_scores(s.tree, HEIGHT))
     closure = cached_property(lambda s: staged(tree.closure_weights(s.scores), "closure"))
     root = cached_property(lambda s: s.closure.where("subclade_id = 0"))
-    subclades = cached_property(lambda s: staged(subclades.conserved_subclades(s.organism, s.uniform, s.closure), "subclades"))
+    subclades = cached_property(lambda s: staged(subclades.rolled_up(staged(s.organism, "organism"), s.uniform, s.tree, HEIGHT), "subclades"))
+    pruned = cached_property(lambda s: subclades.prune(s.subclades, s.tree, tree.ancestors(s.tree, HEIGHT)))
+    halves = cached_property(lambda s: s.main.select("organism_id", (F.col("length") / 2.0).alias("half")))
+    org_histogram = cached_property(lambda s: staged(fit.histogram(s.go_distances).join(s.halves, "organism_id"), "histogram"))
+    org_step = cached_property(lambda s: staged(fit.em_step(s.org_histogram, RATE, PHI), "step"))
+    fitted = cached_property(lambda s: staged(fit.em_fit(s.org_histogram).where("not isnan(rate)"), "fitted"))
 
     @cached_property
     def nation_histogram(self) -> DataFrame:
@@ -50,17 +55,8 @@ class Flow:
     def nation_params(self) -> DataFrame:
         return fit.em_step(self.nation_histogram, RATE, PHI, "nation")
 
-    @cached_property
-    def zetas(self) -> DataFrame:
-        rows = fit.histogram(self.go_distances).join(self.main.select("organism_id", (F.col("length") / 2.0).alias("half")), "organism_id")
-        return fit.responsibilities(rows, RATE, PHI)
-
-    @cached_property
-    def agreement(self) -> DataFrame:
-        own = self.zetas.select("organism_id", "distance", "zeta")
-        rows = fit.histogram(self.go_distances).join(self.main.select("organism_id", (F.col("length") / 2.0).alias("half")), "organism_id")
-        mean = fit.responsibilities(rows, 0.0008, 0.12)
-        return fit.sensitivity(own, mean.select("organism_id", "distance", "zeta"), ["organism_id", "distance"], "organism_id")
+    zetas = cached_property(lambda s: fit.responsibilities(s.org_histogram, RATE, PHI))
+    agreement = cached_property(lambda s: fit.agreement(s.org_histogram, s.org_step, fit.means(s.org_step)))
 
 
 def _r(name: str, digits: int = 6):
@@ -92,13 +88,12 @@ def incremental_todo(f: Flow) -> DataFrame:
 
 
 def weighted_param_mean(f: Flow) -> DataFrame:
-    params = fit.em_step(fit.histogram(f.go_distances).join(f.main.select("organism_id", (F.col("length") / 2.0).alias("half")), "organism_id"), RATE, PHI)
-    return fit.weighted_means(params, f.root).select(F.round("rate", 9).alias("rate"), _r("phi"))
+    return fit.weighted_means(f.org_step, f.root).select(F.round("rate", 9).alias("rate"), _r("phi"))
 
 
 def leaf_distances(f: Flow, norm: bool = False) -> DataFrame:
-    """Leaves of one nation, at depth 2, with each other."""
-    d = tree.leaf_distances(f.tree, HEIGHT, depth=2)
+    """All pairs of leaves."""
+    d = tree.leaf_distances(f.tree, HEIGHT)
     return tree.normalised(d).select("organism1", "organism2", _r("norm_distance")) if norm else d.select("organism1", "organism2", _r("distance"))
 
 
@@ -119,7 +114,13 @@ def permutation_heatmap(f: Flow) -> DataFrame:
 
 
 def param_bootstrap(f: Flow) -> DataFrame:
-    return resample.bootstrap_summary(resample.bootstrap_means(f.nation_params, ["rate", "phi"], 10_000))
+    """Resamples of the organisms' fitted parameters, weighted as in the root."""
+    return resample.bootstrap_summary(resample.bootstrap_means(f.fitted.join(f.root.select("organism_id", "weight"), "organism_id"), ["rate", "phi"], weight="weight"))
+
+
+def fitted_means(f: Flow) -> DataFrame:
+    """Plain and weighted means of the organisms' fitted parameters, and what their own agree with."""
+    return fit.means(f.fitted).withColumn("kind", F.lit("plain")).unionByName(fit.weighted_means(f.fitted, f.root).withColumn("kind", F.lit("weighted")))
 
 
 _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
@@ -148,10 +149,17 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "go_distance_histogram": lambda f: fit.histogram(f.go_distances),
     "distance_bins": lambda f: fit.binned(f.go_distances).select("bin", "n", F.round("density", 10).alias("density")),
     "em_one_step": lambda f: f.nation_params.select("nation", F.round("rate", 9).alias("rate"), _r("phi"), _r("log_likelihood", 3), "n_pairs"),
-    "em_fit": lambda f: fit.em_fit(f.nation_histogram, "nation"),
+    "em_fit": lambda f: f.fitted,
+    "fitted_means": fitted_means,
+    "fitted_sensitivity": lambda f: fit.agreement(f.org_histogram, f.fitted, fit.means(f.fitted)),
+    "genes_in_either": lambda f: pairs.genes_in_either(f.counts, f.distances),
+    "pruning_counts": lambda f: subclades.pruning_counts(f.subclades, f.pruned),
+    "domain_go_lists": lambda f: ontology.mapping_lists(f.process, "domain_id", "go_id").select("domain_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members")),
+    "unmatched_hits": lambda f: hits.unmatched_hits(f.g.hits(), f.g.genes().where("gene_id % 7 <> 0")).select("organism_id", "gene_id", "domain_id", "line_no"),
+    "conserved_sum_check": lambda f: _conserved(subclades.conserved_subclades(f.organism, f.uniform, f.closure.where("subclade_id = 0")), "subclade_id"),
     "zetas": lambda f: f.zetas.select("organism_id", "distance", "n", _r("zeta")),
     "sensitivity_rates": lambda f: f.agreement.select("organism_id", "n_own", _r("tpr"), _r("fpr")),
-    "zeta_corr": lambda f: f.agreement.select("organism_id", F.round("corr", 4).alias("corr")).where("corr is not null and not isnan(corr)"),
+    "zeta_corr": lambda f: f.agreement.select("organism_id", F.round(F.nanvl("corr", F.lit(None)), 4).alias("corr")),
     "weighted_param_mean": weighted_param_mean,
     "tree_nodes": lambda f: f.tree.select("node_id", "parent_id", _r("dist"), "organism_id", "is_leaf", "depth"),
     "subclade_ids": lambda f: f.tree.where("not is_leaf").select(F.col("node_id").alias("subclade_id"), "region", "nation", "bfs_idx"),
@@ -161,7 +169,7 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "conserved_weighted": lambda f: _conserved(likelihood.conserved(f.organism, f.uniform, f.root, phi=PHI)),
     "conserved_subclades": lambda f: _conserved(f.subclades, "subclade_id"),
     "pair_split": lambda f: subclades.split_flags(f.subclades, f.tree),
-    "pruned_subclades": lambda f: subclades.prune(f.subclades, f.tree, tree.ancestors(f.tree, HEIGHT)).select("subclade_id", *CONSERVED, _r("prob")),
+    "pruned_subclades": lambda f: f.pruned.select("subclade_id", *CONSERVED, _r("prob")),
     "occurrence_bins": lambda f: f.organism.groupBy("domain1", "domain2").agg(F.sum("occurrences").alias("occurrences")).select("domain1", "domain2", "occurrences", h.single_bin(F.col("occurrences")).alias("single_bin"), F.array_join(h.occurrence_bins(F.col("occurrences")).cast("array<string>"), ",").alias("bins")),
     "bin_pairs": lambda f: resample.bin_counts(f.subclades).select("subclade_id", "bin", "n_pairs", _r("mean_prob", 5)),
     "leaf_distances": lambda f: leaf_distances(f),

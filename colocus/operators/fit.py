@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import circular_distance, exponential, log_spaced
@@ -29,11 +29,15 @@ def binned(distances: DataFrame, width: int = 900) -> DataFrame:
     return counts.join(counts.agg(F.sum("n").alias("all_"))).select("bin", "n", (F.col("n") / (F.col("all_") * width)).alias("density"))
 
 
-def responsibilities(rows: DataFrame, rate: float, phi: float, key: str = "organism_id", half: str = "half") -> DataFrame:
-    """zeta: the exponential's share at each distance; terms that underflow take the key's least other one."""
-    e = F.lit(phi) * exponential(F.col("distance"), rate)
+def responsibilities(rows: DataFrame, rate, phi, key: str = "organism_id", half: str = "half") -> DataFrame:
+    """zeta: the exponential's share at each distance; terms that underflow take the key's least other one.
+
+    rate and phi are numbers, or columns of rows that hold each key's own.
+    """
+    phi = phi if isinstance(phi, Column) else F.lit(float(phi))
+    e = phi * exponential(F.col("distance"), rate)
     filled = rows.withColumn("e_", e).withColumn("e_", F.when(F.col("e_") > 0, F.col("e_")).otherwise(F.min(F.when(F.col("e_") > 0, F.col("e_"))).over(Window.partitionBy(key))))
-    return filled.withColumn("u_", (1 - F.lit(phi)) / F.col(half)).withColumn("zeta", F.col("e_") / (F.col("e_") + F.col("u_")))
+    return filled.withColumn("u_", (1 - phi) / F.col(half)).withColumn("zeta", F.col("e_") / (F.col("e_") + F.col("u_")))
 
 
 def em_step(rows: DataFrame, rate: float, phi: float, key: str = "organism_id", n: str = "n") -> DataFrame:
@@ -89,6 +93,21 @@ def weighted_means(params: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.agg((F.sum(w * F.col("rate")) / F.sum(w)).alias("rate"), (F.sum(w * F.col("phi")) / F.sum(w)).alias("phi"))
 
 
+def means(params: DataFrame) -> DataFrame:
+    """Plain means of rate and phi over the organisms that have them."""
+    return params.agg(F.avg("rate").alias("rate"), F.avg("phi").alias("phi"))
+
+
+def agreement(rows: DataFrame, params: DataFrame, mean: DataFrame, key: str = "organism_id") -> DataFrame:
+    """sensitivity() of each key's histogram under its own parameters and under the mean ones.
+
+    params has a row (rate, phi) for each key, mean one row in all; keys without parameters are left out.
+    """
+    own = responsibilities(rows.join(params.select(key, "rate", "phi").where("rate > 0"), key), F.col("rate"), F.col("phi"), key)
+    both = responsibilities(rows.join(F.broadcast(mean.select("rate", "phi"))), F.col("rate"), F.col("phi"), key)
+    return sensitivity(own.select(key, "distance", "zeta"), both.select(key, "distance", "zeta"), [key, "distance"], key)
+
+
 def sensitivity(own: DataFrame, mean: DataFrame, keys: list[str], key: str) -> DataFrame:
     """Rates at which the mean parameters agree with a key's own, and the correlation of the two zetas."""
     both = own.select(*keys, F.col("zeta").alias("own")).join(mean.select(*keys, F.col("zeta").alias("mean")), keys)

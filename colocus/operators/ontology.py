@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import gene_pairs
+from .pairs import gene_pairs, salted
 
 
 def biological_processes(terms: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _entries(kept: DataFrame, go_domain: DataFrame) -> DataFrame:
 def go_gene_pairs(kept: DataFrame, go_domain: DataFrame) -> DataFrame:
     """Distinct unordered pairs of genes that share a term, genes with themselves too."""
     g = _entries(kept, go_domain).select("organism_id", "go_id", "gene_id").distinct()
-    pairs = g.withColumnRenamed("gene_id", "gene1").join(g.withColumnRenamed("gene_id", "gene2"), ["organism_id", "go_id"]).where("gene1 <= gene2")
+    pairs = salted(g.withColumnRenamed("gene_id", "gene1"), g.withColumnRenamed("gene_id", "gene2"), ["organism_id", "go_id"]).where("gene1 <= gene2")
     return pairs.select("organism_id", "gene1", "gene2").distinct()
 
 
@@ -38,7 +38,7 @@ def go_pair_annotations(kept: DataFrame, go_domain: DataFrame) -> DataFrame:
     """Those pairs with all terms that they share and the domains that carry them."""
     e = _entries(kept, go_domain)
     a, b = e.toDF("organism_id", "go_id", "gene1", "d1"), e.toDF("organism_id", "go_id", "gene2", "d2")
-    pairs = a.join(b, ["organism_id", "go_id"]).where("gene1 <= gene2")
+    pairs = salted(a, b, ["organism_id", "go_id"]).where("gene1 <= gene2")
     found = pairs.groupBy("organism_id", "gene1", "gene2").agg(F.collect_set("go_id").alias("g"), F.collect_set("d1").alias("x"), F.collect_set("d2").alias("y"))
     return found.select("organism_id", "gene1", "gene2", F.sort_array("g").alias("go_ids"), F.sort_array(F.array_union("x", "y")).alias("domain_ids"))
 

@@ -8,20 +8,41 @@ from pyspark.sql import functions as F
 from ..functions.scalar import circular_distance, overlaps
 
 PAIR = ["organism_id", "domain1", "domain2"]
+#: Rows of a key's one side that a task of a self-join takes; a key with more is dealt to several.
+SALT_ROWS = 2_000
+
+
+def salted(one: DataFrame, other: DataFrame, keys: list[str], rows: int = SALT_ROWS) -> DataFrame:
+    """Joins two views of the same rows on keys, with the first view of a large key dealt to several tasks.
+
+    The number of parts of a key is its rows in the first view by `rows`; the second view is repeated for
+    each. Keys of few rows, which are most, have one part.
+    """
+    parts = one.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("parts_"))
+    dealt = one.join(parts, keys).withColumn("part_", F.pmod(F.xxhash64(*[c for c in one.columns if c not in keys]), F.col("parts_"))).drop("parts_")
+    spread = other.join(parts, keys).withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_") - 1))).drop("parts_")
+    return dealt.join(spread, [*keys, "part_"]).drop("part_")
 
 
 def domain_pairs(kept: DataFrame) -> DataFrame:
     """All unordered pairs of an organism's domains."""
     d = kept.select("organism_id", "domain_id").distinct()
     a, b = d.withColumnRenamed("domain_id", "domain1"), d.withColumnRenamed("domain_id", "domain2")
-    return a.join(b, "organism_id").where("domain1 < domain2")
+    return salted(a, b, ["organism_id"]).where("domain1 < domain2")
+
+
+def genes_in_either(counts: DataFrame, distances: DataFrame) -> DataFrame:
+    """Per pair of domains with genes: distinct genes that hold either, those that hold both counted once."""
+    one, two = counts.toDF("organism_id", "domain1", "n_genes1"), counts.toDF("organism_id", "domain2", "n_genes2")
+    shared = distances.groupBy(*PAIR).agg(F.count_if("fused").alias("both"))
+    return shared.join(one, ["organism_id", "domain1"]).join(two, ["organism_id", "domain2"]).select(*PAIR, (F.col("n_genes1") + F.col("n_genes2") - F.col("both")).alias("n_genes"))
 
 
 def gene_pair_distances(genes: DataFrame) -> DataFrame:
     """Every gene of the one domain with every gene of the other, for every pair of domains."""
     a = genes.toDF("organism_id", "domain1", "gene1", "start1", "end1", "size")
     b = genes.drop("size").toDF("organism_id", "domain2", "gene2", "start2", "end2")
-    joined = a.join(b, "organism_id").where("domain1 < domain2")
+    joined = salted(a, b, ["organism_id"]).where("domain1 < domain2")
     swap = F.col("gene1") > F.col("gene2")
     ends = [F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (("start1", "start2"), ("end1", "end2"), ("start2", "start1"), ("end2", "end1"))]
     same = F.col("gene1") == F.col("gene2")
@@ -32,7 +53,7 @@ def overlapping_genes(genes: DataFrame) -> DataFrame:
     """Pairs of an organism's annotated genes that overlap."""
     g = genes.select("organism_id", "gene_id", "gene_start", "gene_end").distinct()
     a, b = g.toDF("organism_id", "gene1", "start1", "end1"), g.toDF("organism_id", "gene2", "start2", "end2")
-    return a.join(b, "organism_id").where("gene1 < gene2").where(overlaps(*map(F.col, ("start1", "end1", "start2", "end2")))).select("organism_id", "gene1", "gene2")
+    return salted(a, b, ["organism_id"]).where("gene1 < gene2").where(overlaps(*map(F.col, ("start1", "end1", "start2", "end2")))).select("organism_id", "gene1", "gene2")
 
 
 def fusions(distances: DataFrame) -> DataFrame:
@@ -67,4 +88,4 @@ def pair_index(pairs: DataFrame) -> DataFrame:
 def gene_pairs(genes: DataFrame) -> DataFrame:
     """All unordered pairs of an organism's annotated genes, each with itself too."""
     g = genes.select("organism_id", "gene_id").distinct()
-    return g.withColumnRenamed("gene_id", "gene1").join(g.withColumnRenamed("gene_id", "gene2"), "organism_id").where("gene1 <= gene2")
+    return salted(g.withColumnRenamed("gene_id", "gene1"), g.withColumnRenamed("gene_id", "gene2"), ["organism_id"]).where("gene1 <= gene2")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import posterior
+from ..sources.scratch import staged
 from .likelihood import PHI, conserved
 
 
@@ -13,6 +17,43 @@ def conserved_subclades(pairs: DataFrame, uniform: DataFrame, closure: DataFrame
     return conserved(pairs, uniform, weights, ("subclade_id",), phi)
 
 
+def rolled_up(pairs: DataFrame, uniform: DataFrame, tree: DataFrame, height: int, phi: float = PHI) -> DataFrame:
+    """conserved_subclades without weights: every node's sums from its children's, a level at a time.
+
+    A level shuffles the distinct pairs of its nodes, not a row of every organism for every node above it.
+    """
+    sums = ["log_exp", "log_uni", "occurrences", "fusions", "n_genes1", "n_genes2", "n_organisms"]
+    edge = tree.select(F.col("node_id").alias("subclade_id"), "parent_id", "depth", "organism_id", "is_leaf")
+    rows = pairs.join(uniform, "organism_id").select(
+        "organism_id", "domain1", "domain2", F.col("exp_prob").alias("log_exp"), (F.col("occurrences") * F.col("log_uni_prob")).alias("log_uni"), "occurrences", "fusions", "n_genes1", "n_genes2", F.lit(1).cast("long").alias("n_organisms")
+    )
+    leaves = rows.join(edge.where("is_leaf"), "organism_id").select("subclade_id", "parent_id", "depth", "domain1", "domain2", *sums)
+    done, handed = [], None
+    for depth in range(height, -1, -1):
+        here = leaves.where(F.col("depth") == depth)
+        if handed is not None:
+            up = handed.groupBy(F.col("parent_id").alias("subclade_id"), "domain1", "domain2").agg(*[F.sum(c).alias(c) for c in sums])
+            here = here.unionByName(up.join(edge.select("subclade_id", "parent_id", "depth"), "subclade_id").select(*leaves.columns))
+        handed = staged(here, "rolled")
+        done.append(handed.select("subclade_id", "domain1", "domain2", *sums))
+    found = reduce(DataFrame.union, done).where("occurrences > 0")
+    return found.withColumn("prob", posterior(F.col("log_exp"), F.col("log_uni"), phi))
+
+
+def require_leaves(pairs: DataFrame, tree: DataFrame) -> None:
+    """Raises an error if a leaf of the tree has no pairs (strict mode)."""
+    missing = tree.where("is_leaf").select("organism_id").join(pairs.select("organism_id"), "organism_id", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"leaves without data, such as {[r['organism_id'] for r in missing]}")
+
+
+def pruning_counts(table: DataFrame, pruned: DataFrame) -> DataFrame:
+    """Rows before pruning, kept and deleted, by subclade."""
+    keys = ["subclade_id", "domain1", "domain2"]
+    marked = table.select(*keys).join(pruned.select(*keys).withColumn("kept", F.lit(1)), keys, "left")
+    return marked.groupBy("subclade_id").agg(F.count("*").alias("n_before"), F.count("kept").alias("n_kept"), F.count_if(F.col("kept").isNull()).alias("n_deleted"))
+
+
 def child_maxima(table: DataFrame, tree: DataFrame) -> DataFrame:
     """Most occurrences of each pair in a child of each node, and the number of children that have it."""
     up = tree.select(F.col("node_id").alias("subclade_id"), "parent_id").where("parent_id is not null")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import scaled_weight
-from .pairs import dense_index
+from .pairs import dense_index, salted
 
 #: The smallest positive double of full precision, for leaves without a branch.
 SMALLEST = 2.2250738585072014e-308
@@ -37,6 +37,28 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return indexed.join(F.broadcast(total)).withColumn("node_id", F.when(F.col("bfs_idx") == 0, 0).otherwise(F.col("total_") - F.col("bfs_idx"))).drop("total_")
 
 
+def numbered(edges: DataFrame) -> DataFrame:
+    """An edge table (node_id, parent_id, dist, organism_id, is_leaf, depth) of any depth, numbered as subclades.
+
+    Nodes are counted by level and within a level in the order of their paths from the root, children in
+    the order of their old numbers; the root is 0 and node k of N is N - k. Adds bfs_idx. An empty table
+    gives an empty result.
+    """
+    order = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id"))
+    ranked = edges.withColumn("rank_", order)
+    at = ranked.where("parent_id is null").select(F.col("node_id").alias("old"), F.array().cast("array<int>").alias("path"))
+    known, height = [at], edges.agg(F.max("depth")).first()[0] or 0
+    for _ in range(height):
+        at = ranked.join(at.select(F.col("old").alias("parent_id"), F.col("path").alias("above")), "parent_id").select(F.col("node_id").alias("old"), F.array_append("above", F.col("rank_").cast("int")).alias("path"))
+        known.append(at)
+    paths = reduce(DataFrame.union, known)
+    rows = edges.withColumnRenamed("node_id", "old").join(paths, "old")
+    rows = dense_index(rows, ["depth"], ["path"], "bfs_idx").join(F.broadcast(rows.agg(F.count("*").alias("total_"))))
+    rows = rows.withColumn("node_id", F.when(F.col("bfs_idx") == 0, 0).otherwise(F.col("total_") - F.col("bfs_idx")).cast("long"))
+    up = rows.select(F.col("old").alias("parent_id"), F.col("node_id").alias("new_parent"))
+    return rows.join(up, "parent_id", "left").select("node_id", F.col("new_parent").alias("parent_id"), "dist", "organism_id", "is_leaf", "depth", "bfs_idx")
+
+
 def subclade_scores(tree: DataFrame, height: int) -> DataFrame:
     """Every node with the leaves below it and their scores there: node_id, organism_id, score.
 
@@ -82,12 +104,17 @@ def ancestors(tree: DataFrame, height: int) -> DataFrame:
 
 
 def leaf_distances(tree: DataFrame, height: int, depth: int = 0) -> DataFrame:
-    """Path lengths between the leaves below each node of the given depth, by the deepest common ancestor."""
+    """Path lengths between the leaves below each node of the given depth, once for each pair.
+
+    Two leaves meet at the deepest node above both, where they come from different children; the leaves of
+    a large node are dealt to several tasks.
+    """
     above = ancestors(tree, height).join(tree.where("is_leaf").select("node_id", "organism_id"), "node_id")
-    a = above.where(F.col("ancestor_depth") >= depth).select(F.col("organism_id").alias("organism1"), "ancestor_id", "ancestor_depth", F.col("span").alias("span1"))
-    b = above.select(F.col("organism_id").alias("organism2"), "ancestor_id", F.col("span").alias("span2"))
-    met = a.join(b, "ancestor_id").where("organism1 < organism2")
-    return met.groupBy("organism1", "organism2").agg(F.max_by(F.col("span1") + F.col("span2"), "ancestor_depth").alias("distance"))
+    child = above.select("node_id", (F.col("ancestor_depth") - 1).alias("ancestor_depth"), F.col("ancestor_id").alias("child"))
+    arms = above.where(F.col("ancestor_depth") >= depth).join(child, ["node_id", "ancestor_depth"]).select("ancestor_id", "child", "organism_id", "span")
+    a, b = arms.toDF("ancestor_id", "child1", "organism1", "span1"), arms.toDF("ancestor_id", "child2", "organism2", "span2")
+    met = salted(a, b, ["ancestor_id"]).where("child1 <> child2 and organism1 < organism2")
+    return met.select("organism1", "organism2", (F.col("span1") + F.col("span2")).alias("distance"))
 
 
 def diameter(tree: DataFrame, height: int) -> DataFrame:
