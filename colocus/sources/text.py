@@ -3,20 +3,44 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def files(spark: SparkSession, folder: str, pattern: str, line_sep: str | None = None) -> DataFrame:
-    """Lines of all files under folder whose names fit the pattern, with organism_id from the name."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    rows = (reader.option("lineSep", line_sep) if line_sep else reader).text(folder)
-    return rows.select("value", organism_of(F.col("_metadata.file_name")).alias("organism_id"))
+def files(spark: SparkSession, folder: str, *patterns: str, line_sep: str | None = None, whole: bool = False) -> DataFrame:
+    """Lines of all files under folder whose names hold every pattern, with organism_id and genome from the name.
+
+    Folders are searched to any depth and gzip files unpacked. No fitting file is an error. whole gives each
+    file as one row.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    fits = lambda name: reduce(lambda x, y: x & y, [name.contains(p) for p in patterns], F.lit(True))
+    if listed.where(fits(F.col("name"))).isEmpty():
+        raise FileNotFoundError(f"no file under {folder} whose name holds {patterns}")
+    rows = spark.read.text(folder, wholetext=whole, lineSep=line_sep, recursiveFileLookup=True)
+    name = F.col("_metadata.file_name")
+    return rows.where(fits(name)).select("value", organism_of(name).alias("organism_id"), genome_of(name).alias("genome"))
+
+
+def _stem(name: Column) -> Column:
+    return F.substring_index(name, ".", 1)
 
 
 def organism_of(name: Column) -> Column:
-    return F.regexp_replace(F.substring_index(name, ".", 1), r"_gen[0-9]+$", "")
+    """The organism in a file's name, which ends at the first dot or before the number of the genome."""
+    return F.regexp_replace(_stem(name), r"_gen[0-9]+$", "")
+
+
+def genome_of(name: Column) -> Column:
+    """The number of the genome in a file's name; null where there is none."""
+    return F.regexp_extract(_stem(name), r"^.*_gen([0-9]+)$", 1).try_cast("int")
+
+
+def genome_name(organism: Column, genome: Column) -> Column:
+    """The inverse of organism_of and genome_of, without the suffix."""
+    return F.when(genome.isNull(), organism).otherwise(F.concat(organism, F.lit("_gen"), genome.cast("string")))
 
 
 def domain_hits(lines: DataFrame) -> DataFrame:
@@ -97,3 +121,27 @@ def newick_tree(spark: SparkSession, text: str) -> DataFrame:
     """The edge table of a tree; leaves carry their names as organism_id."""
     rows = [(n, p, d, name if leaf else None, leaf, depth) for n, p, d, name, leaf, depth in newick_edges(text)]
     return spark.createDataFrame(rows, "node_id long, parent_id long, dist double, organism_id string, is_leaf boolean, depth int")
+
+
+def labelled_tree(spark: SparkSession, text: str) -> DataFrame:
+    """The edge table of a tree whose inner nodes bear their subclade's number and leaves number__organism.
+
+    An empty name is the root's, 0.
+    """
+    rows = newick_edges(text)
+    ids = {n: int(name.split("__")[0]) if name else 0 for n, _, _, name, _, _ in rows}
+    out = [(ids[n], None if p is None else ids[p], d, name.split("__", 1)[1] if leaf else None, leaf, depth) for n, p, d, name, leaf, depth in rows]
+    return spark.createDataFrame(out, "node_id long, parent_id long, dist double, organism_id string, is_leaf boolean, depth int")
+
+
+def labelled_newick(tree: DataFrame) -> str:
+    """The text that labelled_tree reads, of a numbered tree (small: it is put together on the driver)."""
+    rows = {r["node_id"]: r for r in tree.select("node_id", "parent_id", "dist", "organism_id", "is_leaf", "depth").collect()}
+    below: dict[int, list[str]] = {}
+    for r in sorted(rows.values(), key=lambda r: (-r["depth"], -r["node_id"])):
+        name = f"{r['node_id']}__{r['organism_id']}" if r["is_leaf"] else str(r["node_id"])
+        text = (f"({','.join(below.pop(r['node_id']))})" if r["node_id"] in below else "") + f"{name}:{r['dist']!r}"
+        if r["parent_id"] is None:
+            return text + ";"
+        below.setdefault(r["parent_id"], []).append(text)
+    return ";"

@@ -10,7 +10,7 @@ from colocus.functions import scalar as h
 from colocus.jobs import queries
 from colocus.jobs.oracle import SQL
 from colocus.jobs.queries import QUERIES
-from colocus.operators import fit, hits, pairs, resample, tree
+from colocus.operators import fit, hits, ontology, pairs, resample, subclades, tree
 from colocus.sources import text
 
 SF = "/root/testdata/sf0.001"
@@ -53,14 +53,81 @@ def test_clans_and_main(spark):
     assert hits.main_molecules(molecules).first()["molecule_id"] == "m2"
 
 
+UNEVEN = "((p:6,q:2)r:4,s:0,((t:1,u:3,v:4)w:8,x:5)y:2);"
+
+
 def test_tree_weights(spark):
-    t = text.newick_tree(spark, "(D:80,(C:50,(A:20,B:20)two:30)three:30);")
-    got = {r["organism_id"]: r for r in tree.closure_weights(tree.subclade_scores(t, 3)).where("subclade_id = 0").collect()}
-    assert {k: v["score"] for k, v in got.items()} == pytest.approx({"A": 43.75, "B": 43.75, "C": 62.5, "D": 80})
-    assert {k: v["weight"] for k, v in got.items()} == pytest.approx({"A": 0.25, "B": 0.25, "C": 0.637931, "D": 1}, abs=1e-6)
-    assert got["D"]["mean_one"] == pytest.approx(1.391304, abs=1e-6)
+    """By hand: r shares its 4 as 6 to 2; w its 8 as 1, 3 and 4; y its 2 among t 2, u 6, v 8 and x 5."""
+    t = tree.numbered(text.newick_tree(spark, UNEVEN))
+    scores = tree.closure_weights(tree.subclade_scores(t, 3))
+    got = {r["organism_id"]: r for r in scores.where("subclade_id = 0").collect()}
+    want = {"p": 9.0, "q": 3.0, "s": 0.0, "t": 2 * 23 / 21, "u": 6 * 23 / 21, "v": 8 * 23 / 21, "x": 5 * 23 / 21}
+    assert {k: v["score"] for k, v in got.items()} == pytest.approx(want)
+    assert {k: v["weight"] for k, v in got.items()} == pytest.approx({k: v / 9 * 6 / 7 + 1 / 7 for k, v in want.items()})
+    assert got["p"]["mean_one"] == pytest.approx(9 * 7 / 35)
     d = {(r["organism1"], r["organism2"]): r["distance"] for r in tree.leaf_distances(t, 3).collect()}
-    assert d[("A", "B")] == 40 and d[("A", "D")] == 160
+    assert len(d) == 21 and d[("p", "q")] == 8 and d[("p", "s")] == 10 and d[("t", "x")] == 14 and d[("q", "v")] == 20
+
+
+def test_tree_numbers_and_labels(spark):
+    nodes = tree.numbered(text.newick_tree(spark, "((x:1,y:2)n:3,z:4);"))
+    got = {r["organism_id"] or r["depth"]: (r["node_id"], r["parent_id"]) for r in nodes.collect()}
+    assert got == {0: (0, None), 1: (4, 0), "z": (3, 0), "x": (2, 4), "y": (1, 4)}
+    again = text.labelled_tree(spark, text.labelled_newick(nodes))
+    assert sorted(map(str, again.collect())) == sorted(map(str, nodes.drop("bfs_idx").collect()))
+    assert text.labelled_tree(spark, "(2__a:1,1__b:2);").where("parent_id is null").first()["node_id"] == 0
+
+
+def test_self_joins_of_large_keys(spark):
+    kept = spark.range(300).selectExpr("id % 2 organism_id", "id domain_id", "id gene_id")
+    a, b = kept.toDF("organism_id", "d1", "g1"), kept.toDF("organism_id", "d2", "g2")
+    got, want = pairs.salted(a, b, ["organism_id"], rows=7), a.join(b, "organism_id")
+    assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).isEmpty()
+    assert pairs.salted(a.limit(0), b.limit(0), ["organism_id"]).isEmpty()
+
+
+def test_empty_tables(spark):
+    f = queries.Flow(spark, SF)
+    kept, process = f.kept.limit(0), f.process
+    genes = hits.gene_domains(kept)
+    assert pairs.domain_pairs(kept).isEmpty() and pairs.closest_pairs(pairs.gene_pair_distances(genes)).isEmpty()
+    assert ontology.go_pair_annotations(kept, process).isEmpty() and ontology.non_go_pairs(kept, process).isEmpty() and hits.gene_pool(kept).isEmpty()
+    assert fit.em_fit(f.org_histogram.limit(0)).isEmpty() and resample.bin_counts(f.subclades.limit(0)).isEmpty()
+    assert resample.bootstrap_means(spark.createDataFrame([], "rate double, phi double"), ["rate", "phi"], 10).isEmpty()
+    assert tree.leaf_distances(f.tree.limit(0), 3).isEmpty() and subclades.prune(f.subclades.limit(0), f.tree, tree.ancestors(f.tree, 3)).isEmpty()
+
+
+def test_bootstrap_of_means(spark):
+    """Mean and spread against theory; weights that are all alike change nothing."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 2, 400)
+    params = spark.createDataFrame([(float(v), 2.0) for v in x], "rate double, w double")
+    plain, weighted = (resample.bootstrap_summary(resample.bootstrap_means(params, ["rate"], 20_000, weight=w)).first() for w in (None, "w"))
+    assert plain["mean"] == pytest.approx(x.mean(), abs=0.01) and plain["sd"] == pytest.approx(x.std() / 20, rel=0.05)
+    assert weighted["sd"] == pytest.approx(plain["sd"], rel=1e-6) and plain["p97_5"] - plain["p2_5"] == pytest.approx(4 * plain["sd"], rel=0.05)
+
+
+def test_fit_of_organisms_by_a_plain_loop(spark):
+    rows = spark.createDataFrame([(o, d, n, 5000.0) for o, some in {"a": [(10, 3), (200, 2), (4000, 5)], "b": [(50, 4), (900, 1), (2500, 6)]}.items() for d, n in some], "organism_id string, distance long, n long, half double")
+    for r in fit.em_fit(rows, starts=3).collect():
+        x = np.repeat(*np.array([(q["distance"], q["n"]) for q in rows.where(F.col("organism_id") == r["organism_id"]).collect()]).T).astype(float)
+        best = None
+        middle = int(np.log10(1 / x.mean()))
+        for phi in h.log_spaced(0.001, 0.1, 3):
+            for rate in h.log_spaced(10.0 ** (middle - 3), 10.0 ** (middle + 3), 3):
+                p, q, last = phi, rate, -np.inf
+                for _ in range(1000):
+                    e = p * q * np.exp(-q * x)
+                    e = np.where(e > 0, e, e[e > 0].min() if (e > 0).any() else 1e-300)
+                    ll = np.log(e + (1 - p) / 5000).sum()
+                    z = e / (e + (1 - p) / 5000)
+                    q, p = z.sum() / (z @ x), z.mean()
+                    if abs(ll - last) <= 1e-8 * max(abs(ll), abs(last)):
+                        break
+                    last = ll
+                if p < 1 and (best is None or ll > best[0]):
+                    best = (ll, q, p)
+        assert (r["log_likelihood"], r["rate"], r["phi"]) == pytest.approx(best, rel=1e-5)
 
 
 def test_permutations_use_tree_distances(spark):
@@ -114,7 +181,7 @@ def test_text_sources(spark):
     assert tuple(text.ontology_terms(stanza).first()) == ("GO:0000001", "some process", "biological_process", '"text"')
 
 
-@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades"])
+@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem".split():
