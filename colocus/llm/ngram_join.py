@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from .common import Union, connected_components, given_back, mix64, small_side, staged, table, text_batches
+from .common import Union, connected_components, give_back, given_back, mix64, small_side, staged, table, text_batches
 
 #: The words that a task's cache of word hashes holds at most.
 CACHED_WORDS = 200_000
 #: N-grams of a row block at most, but for a single set of more.
-BLOCK_GRAMS = 1 << 19
+BLOCK_GRAMS = 1 << 18
 
 
 class _Words(dict):
@@ -107,6 +107,12 @@ def _product(share: int):
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = multiplied(key, pdf)
+        if pdf["n"].sum() > 1 << 16:
+            give_back()
+        return found
+
+    def multiplied(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "fp"])
         ids, m, block, size = (pdf[c].to_numpy(np.int64) for c in ("fp", "m", "block", "n"))
         sets = [np.asarray(x, np.int64) for x in pdf["grams"]]
@@ -202,7 +208,7 @@ def _joined(docs: DataFrame, n: int, share: int, block_rows: int) -> tuple[DataF
     return base, part
 
 
-def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 1024) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 512) -> DataFrame:
     """Groups documents linked by word n-gram Jaccard similarity of at least share percent.
 
     docs has doc_id and text; other columns are ignored. Returns doc_id, n_shingles (size of the
@@ -221,7 +227,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 4, share: int = 85, block_row
     )
 
 
-def one_of_each_group(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 1024) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = 4, share: int = 85, block_rows: int = 512) -> DataFrame:
     """Keeps one row of each component of ngram_jaccard_groups, with all its columns.
 
     The row with the smallest doc_id stays (one of those where equal texts share it). Rows are told apart

@@ -26,7 +26,7 @@ from .common import given_back, table, text_batches
 KINDS = ["email", "ip", "card", "phone"]
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 #: Tokens that a task's cache holds at most, and the longest that it takes in.
-CACHED_TOKENS, CACHED_LENGTH = 300_000, 256
+CACHED_TOKENS, CACHED_LENGTH = 100_000, 256
 #: Longer tokens are cut where a class of characters ends.
 LONG = 64
 
