@@ -62,7 +62,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The caches are small: Spark reuses its Python workers, which the stages before have filled.
     """
-    return packing_digest(pack_documents(docs, "word_bpe_49k.json", 1, 2048, cached=40_000))
+    return packing_digest(pack_documents(docs, "word_bpe_49k.json", 1, 2048, cached=25_000))
 
 
 STAGES = [
