@@ -160,7 +160,14 @@ agreement as (
     sum((mean > 0.5 and own <= 0.5)::int)::double / nullif(sum((own > 0.5)::int), 0) fpr, case when count(*) > 1 then corr(own, mean) end corr
   from own_z join mean_z using (organism_id, distance) group by organism_id),
 below as (select v.ancestor_id node_id, greatest(t.dist, 0) d from above v join tree t on t.node_id = v.node_id where v.node_id <> v.ancestor_id),
-branch as (select node_id, sum(d) branch_length from below group by node_id)
+branch as (select node_id, sum(d) branch_length from below group by node_id),
+sound as (select * from org_step where rate > 0 and not isnan(rate)),
+own_values as (select 'rate' parameter, rate v from sound union all select 'phi', phi from sound),
+coded as (select subclade_id, bin, floor(round(prob, 9) * 1000) code from pairs_binned),
+observed as (
+  select subclade_id, bin, count(*) n, max(code) / 1000 e_4, max(case when place = 10 then code end) / 1000 e_3, avg(code) / 1000 mean, quantile_cont(code, 0.5) / 1000 median,
+    (count(*) filter (code > 500) + 1) / (count(*) + 1) pct_above, sum(case when code > 500 then code else 0 end) / count(*) statistic, count(*) filter (code > 500) / count(*) fraction
+  from (select *, row_number() over (partition by subclade_id, bin order by code desc) place from coded) group by all)
 """
 
 _CONS = "domain1, domain2, occurrences, fusions, n_genes1, n_genes2, n_organisms, round(log_exp, 4) log_exp, round(log_uni, 4) log_uni, round(prob, 6) prob"
@@ -200,6 +207,12 @@ FINAL = {
     "unmatched_hits": "select organism_id, gene_id, domain_id, line_no from hits where gene_id % 7 = 0",
     "conserved_sum_check": f"select 0::bigint subclade_id, {_CONS} from (select *, {_posterior()} prob from (select domain1, domain2, {_sums('1.0::double')} from joined group by all))",
     "weighted_param_mean": "select round(sum(weight * rate) / sum(weight), 9) rate, round(sum(weight * phi) / sum(weight), 6) phi from closure left join org_step using (organism_id) where subclade_id = 0",
+    "param_spread": "select parameter, round(avg(v), 9) mean, round(stddev_pop(v), 9) sd, round(quantile_cont(v, 0.025), 9) p2_5, round(quantile_cont(v, 0.975), 9) p97_5 from own_values group by parameter",
+    "param_histogram": "select parameter, bin, round(lo + bin * (hi - lo) / 50, 9) low, count(*) n, round(count(*) / (total * ((hi - lo) / 50)), 3) density from (select *, least(floor((v - lo) / ((hi - lo) / 50)), 49)::bigint bin from (select *, min(v) over w lo, max(v) over w hi, count(*) over w total from own_values window w as (partition by parameter))) group by parameter, bin, lo, hi, total",
+    "fitted_density": "select organism_id, point::int point, round(half * point / 999, 3) distance, round(phi * rate * exp(-rate * (half * point / 999)) + (1 - phi) / half, 10) density from (select s.*, length / 2.0::double half from sound s join main using (organism_id)), range(1000) r(point)",
+    "observed_bins": "select subclade_id, bin, n, round(e_4, 6) e_4, round(e_3, 6) e_3, round(mean, 6) mean, round(median, 6) median, round(pct_above, 6) pct_above, round(statistic, 6) statistic, round(fraction, 6) fraction from observed",
+    "observed_heatmap": "select n_members, " + ", ".join(f'round(avg(case when bin = {b} then pct_above end), 6) "{b}"' for b in (1, 5, 10, 50, 100, 500, 1000, 5000, 10_000, 50_000, 100_000)) + " from observed join (select subclade_id, count(*) n_members from closure group by subclade_id) using (subclade_id) group by n_members",
+    "occurrence_slice": "select subclade_id, domain1, domain2, occurrences, fusions, n_genes1, n_genes2, n_organisms, round(prob, 6) prob from sub where occurrences in (1, 5, 10)",
     "tree_nodes": "select node_id, parent_id, round(dist, 6) dist, organism_id, is_leaf, depth from linked",
     "subclade_ids": "select node_id subclade_id, region, nation, bfs_idx from linked where not is_leaf",
     "closure": "select subclade_id, organism_id from closure",

@@ -110,7 +110,38 @@ def permutation_stats(f: Flow) -> DataFrame:
 
 def permutation_heatmap(f: Flow) -> DataFrame:
     sizes = f.closure.groupBy("subclade_id").agg(F.count("*").alias("n_members"))
-    return resample.heatmap(resample.summary(permutation_draws(f), ["subclade_id", "bin"]), sizes, [1, 5, 10, 50, 100, 500, 1000, 5000, 10_000, 50_000, 100_000])
+    return resample.heatmap(resample.summary(permutation_draws(f), ["subclade_id", "bin"]), sizes, HEAT_BINS)
+
+
+def own_values(f: Flow) -> DataFrame:
+    """The organisms' own parameters as rows of parameter and mean, as bootstrap_means gives them."""
+    sound = f.org_step.where("rate > 0 and not isnan(rate)")
+    return sound.unpivot(["organism_id"], ["rate", "phi"], "parameter", "mean").select("parameter", "mean")
+
+
+def param_spread(f: Flow) -> DataFrame:
+    return resample.bootstrap_summary(own_values(f)).select("parameter", *[_r(c, 9) for c in ("mean", "sd", "p2_5", "p97_5")])
+
+
+def param_histogram(f: Flow) -> DataFrame:
+    return resample.histogram_of(own_values(f)).select("parameter", "bin", _r("low", 9), "n", _r("density", 3))
+
+
+def fitted_density(f: Flow) -> DataFrame:
+    """Of the organisms' own step of the fit, which SQL can follow."""
+    return fit.fitted_density(f.org_step.join(f.halves, "organism_id")).select("organism_id", "point", _r("distance", 3), _r("density", 10))
+
+
+HEAT_BINS = [1, 5, 10, 50, 100, 500, 1000, 5000, 10_000, 50_000, 100_000]
+
+
+def observed_bins(f: Flow) -> DataFrame:
+    return resample.observed_bins(f.subclades).select("subclade_id", "bin", "n", *[_r(c) for c in ("e_4", "e_3", "mean", "median", "pct_above", "statistic", "fraction")])
+
+
+def observed_heatmap(f: Flow) -> DataFrame:
+    sizes = f.closure.groupBy("subclade_id").agg(F.count("*").alias("n_members"))
+    return resample.heatmap(resample.observed_bins(f.subclades), sizes, HEAT_BINS).select("n_members", *[F.round(F.col(f"`{b}`"), 6).alias(str(b)) for b in HEAT_BINS])
 
 
 def param_bootstrap(f: Flow) -> DataFrame:
@@ -177,6 +208,12 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "gene_pool": lambda f: hits.gene_pool(f.kept).select("organism_id", "gene_idx", "gene_id", "gene_start", "gene_end", "size", _r("weight")),
     "branch_length_sum": lambda f: tree.branch_sums(f.tree, HEIGHT).select("node_id", _r("branch_length", 6), _r("scaled", 5)),
     "param_bootstrap": param_bootstrap,
+    "param_spread": param_spread,
+    "param_histogram": param_histogram,
+    "fitted_density": fitted_density,
+    "observed_bins": observed_bins,
+    "observed_heatmap": observed_heatmap,
+    "occurrence_slice": lambda f: resample.slice_of(f.subclades, [1, 5, 10]).select("subclade_id", *CONSERVED, _r("prob")),
     "bin_bootstrap": lambda f: resample.bin_bootstrap(f.subclades),
     "permutation_stats": permutation_stats,
     "permutation_heatmap": permutation_heatmap,

@@ -29,6 +29,17 @@ def binned(distances: DataFrame, width: int = 900) -> DataFrame:
     return counts.join(counts.agg(F.sum("n").alias("all_"))).select("bin", "n", (F.col("n") / (F.col("all_") * width)).alias("density"))
 
 
+def fitted_density(params: DataFrame, points: int = 1000, key: str = "organism_id") -> DataFrame:
+    """The fitted mixture's density at evenly spaced distances from 0 to half of each key's genome.
+
+    params has rate, phi and half; keys whose rate is null, NaN or not positive are left out.
+    """
+    sound = params.where("rate > 0 and not isnan(rate)").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = sound.withColumn("distance", F.col("half") * F.col("point") / (points - 1))
+    density = F.col("phi") * exponential(F.col("distance"), F.col("rate")) + (1 - F.col("phi")) / F.col("half")
+    return at.select(key, "point", "distance", density.alias("density"))
+
+
 def responsibilities(rows: DataFrame, rate, phi, key: str = "organism_id", half: str = "half") -> DataFrame:
     """zeta: the exponential's share at each distance; terms that underflow take the key's least other one.
 

@@ -97,6 +97,28 @@ def test_empty_tables(spark):
     assert tree.leaf_distances(f.tree.limit(0), 3).isEmpty() and subclades.prune(f.subclades.limit(0), f.tree, tree.ancestors(f.tree, 3)).isEmpty()
 
 
+def test_observed_bins_by_a_plain_count(spark):
+    rng = np.random.default_rng(3)
+    p = [*rng.random(40).round(3).tolist(), 0.0004, 1.0]
+    table = spark.createDataFrame([(7, 3, x) for x in p] + [(8, 12, 0.9)], "subclade_id long, occurrences long, prob double")
+    got = {(r["subclade_id"], r["bin"]): r for r in resample.observed_bins(table).collect()}
+    r, v = got[7, 1], np.sort([math.floor(x * 1000 + 1e-9) / 1000 for x in p])
+    assert (r["n"], r["e_4"], r["e_3"]) == (42, v[-1], v[-10]) and r["pct_above"] == ((v > 0.5).sum() + 1) / 43
+    assert (r["mean"], r["median"], r["statistic"]) == pytest.approx((v.mean(), np.median(v), v[v > 0.5].sum() * 1000 / 42))
+    assert set(got) == {(7, 1), (8, 10), (8, 5)} and got[8, 5]["e_3"] is None
+    assert resample.observed_bins(table.limit(0)).isEmpty()
+
+
+def test_histogram_of_values(spark):
+    values = spark.createDataFrame([("x", 0.0), ("x", 1.0), ("x", 4.0), ("x", None), ("y", 2.0), ("y", 2.0)], "parameter string, mean double")
+    got = sorted(tuple(r) for r in resample.histogram_of(values, 4).collect())
+    assert got == [("x", 0, 0.0, 1, 1 / 3), ("x", 1, 1.0, 1, 1 / 3), ("x", 3, 3.0, 1, 1 / 3), ("y", 0, 2.0, 2, None)]
+    assert resample.histogram_of(values.limit(0)).isEmpty()
+    params = spark.createDataFrame([("a", 0.01, 0.3, 500.0), ("b", float("nan"), 0.1, 500.0), ("c", None, None, 9.0)], "organism_id string, rate double, phi double, half double")
+    d = sorted((r["distance"], r["density"]) for r in fit.fitted_density(params, 1001).collect())
+    assert len(d) == 1001 and d[-1][0] == 500 and sum(y for _, y in d) * 0.5 == pytest.approx(0.7 + 0.3 * (1 - math.exp(-5)), rel=0.01)
+
+
 def test_bootstrap_of_means(spark):
     """Mean and spread against theory; weights that are all alike change nothing."""
     rng = np.random.default_rng(2)
@@ -181,7 +203,7 @@ def test_text_sources(spark):
     assert tuple(text.ontology_terms(stanza).first()) == ("GO:0000001", "some process", "biological_process", '"text"')
 
 
-@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs"])
+@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs", "observed_bins", "param_histogram", "fitted_density"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem".split():
