@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import scaled_weight
+from ..sources.scratch import staged
 from .pairs import dense_index, salted
 
 #: The smallest positive double of full precision, for leaves without a branch.
@@ -41,22 +42,22 @@ def numbered(edges: DataFrame) -> DataFrame:
     """An edge table (node_id, parent_id, dist, organism_id, is_leaf, depth) of any depth, numbered as subclades.
 
     Nodes are counted by level and within a level in the order of their paths from the root, children in
-    the order of their old numbers; the root is 0 and node k of N is N - k. Adds bfs_idx. An empty table
-    gives an empty result.
+    the order of their old numbers; the root is 0 and node k of N is N - k. Adds bfs_idx. The result
+    is stored, as all that is made of a tree reads it many times. An empty table gives an empty result.
     """
     order = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id"))
-    ranked = edges.withColumn("rank_", order)
+    ranked = staged(edges.withColumn("rank_", order), "ranked")
     at = ranked.where("parent_id is null").select(F.col("node_id").alias("old"), F.array().cast("array<int>").alias("path"))
     known, height = [at], edges.agg(F.max("depth")).first()[0] or 0
     for _ in range(height):
         at = ranked.join(at.select(F.col("old").alias("parent_id"), F.col("path").alias("above")), "parent_id").select(F.col("node_id").alias("old"), F.array_append("above", F.col("rank_").cast("int")).alias("path"))
         known.append(at)
-    paths = reduce(DataFrame.union, known)
+    paths = staged(reduce(DataFrame.union, known), "paths")
     rows = edges.withColumnRenamed("node_id", "old").join(paths, "old")
     rows = dense_index(rows, ["depth"], ["path"], "bfs_idx").join(F.broadcast(rows.agg(F.count("*").alias("total_"))))
     rows = rows.withColumn("node_id", F.when(F.col("bfs_idx") == 0, 0).otherwise(F.col("total_") - F.col("bfs_idx")).cast("long"))
     up = rows.select(F.col("old").alias("parent_id"), F.col("node_id").alias("new_parent"))
-    return rows.join(up, "parent_id", "left").select("node_id", F.col("new_parent").alias("parent_id"), "dist", "organism_id", "is_leaf", "depth", "bfs_idx")
+    return staged(rows.join(up, "parent_id", "left").select("node_id", F.col("new_parent").alias("parent_id"), "dist", "organism_id", "is_leaf", "depth", "bfs_idx"), "numbered")
 
 
 def subclade_scores(tree: DataFrame, height: int) -> DataFrame:
