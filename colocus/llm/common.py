@@ -88,6 +88,15 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Letters A-Z in lower case, and a space for all of ASCII but letters and digits.
+_WORDS = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+
+
+def ascii_words(raw: bytes) -> list[bytes]:
+    """The words of a text in UTF-8: runs of ASCII letters and digits and of all characters beyond ASCII; A-Z are lower-cased."""
+    return raw.translate(_WORDS).split()
+
+
 def text_batches(batch, rows: int = 256):
     """Slices of an Arrow batch, so that the Python objects made of it stay few."""
     for start in range(0, batch.num_rows, rows):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, langid, mixing, ngram_join, packing, pii, quality, secrets, tokens
+from . import embedding_dedup, html_text, langid, mixing, ngram_join, packing, pieces, pii, quality, resampling, search, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_ranked_search": search.op12_ranked_search,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 SQL = {
     "op3_ngram_jaccard": ngram_join.OP3_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_ranked_search": search.OP12_SQL,
 }
