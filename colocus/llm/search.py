@@ -173,8 +173,8 @@ def _search(query: QuerySet, index: TermIndex, k: int, b: int, k1: int):
                 at = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(ends[t], fan)
                 met = np.unique(items_of[at] * batch.num_rows + np.repeat(row, fan))
                 owner = met // batch.num_rows
-                starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                for low, high in zip(starts, [*starts[1:], len(met)], strict=True):
+                starts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(met))
+                for low, high in zip(starts, starts[1:], strict=False):
                     i, rows = owner[low], met[low:high] % batch.num_rows
                     terms, repeats = query.of[i]
                     score = repeats @ impact[terms][:, rows]
