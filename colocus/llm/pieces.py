@@ -22,7 +22,10 @@ from .tokens import vocabulary_path
 #: The character that stands for a space in pieces (fixed value).
 MARK = "▁"
 #: Entries of each of a task's caches, of words and of stretches.
-CACHED = 300_000
+CACHED = 500_000
+#: Characters of a stretch up to which pairs are looked through, without a heap.
+SHORT = 40
+_NONE = float("inf")
 #: What a cached entry holds of each piece: its id and the bytes of normalised text that it covers.
 _PIECE = np.dtype([("id", "<u4"), ("size", "<u4")])
 
@@ -140,9 +143,10 @@ class PieceCodec:
         if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
         self.normalise = Normaliser(model.normalizer_spec)
-        self.pieces = {p.piece: (-p.score, k) for k, p in enumerate(model.pieces) if p.type == kind.NORMAL}
+        self.scores = {p.piece: -p.score for p in model.pieces if p.type == kind.NORMAL}
+        self.packed = {p.piece: np.array([(k, len(p.piece.encode()))], _PIECE).tobytes() for k, p in enumerate(model.pieces) if p.type == kind.NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): k for k, p in enumerate(model.pieces) if p.type == kind.BYTE}
-        self.neighbours = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
+        self.neighbours = {piece[k : k + 2] for piece in self.scores for k in range(len(piece) - 1)}
         at = {p.piece: k for k, p in enumerate(model.pieces)}
         self.before = np.array([at[trainer.bos_piece]] if begin else [], "<u4")
         self.after = np.array([at[trainer.eos_piece]] if end else [], "<u4")
@@ -152,13 +156,42 @@ class PieceCodec:
         self.marked = {k for k, p in enumerate(model.pieces) if p.type == kind.NORMAL and p.piece.startswith(MARK)}
         self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, stretch: str) -> bytes:
         """The pieces of a stretch: the best-scored pair of neighbours is merged first, the leftmost of equals."""
+        parts = self._short(stretch) if len(stretch) <= SHORT else self._long(stretch)
+        packed = self.packed
+        try:
+            return b"".join([packed[x] for x in parts])
+        except KeyError:
+            return b"".join([packed.get(x) or self._spelled(x) for x in parts])
+
+    def _spelled(self, character: str) -> bytes:
+        """A character without a piece: its bytes, the last of which covers it."""
+        raw = character.encode()
+        return np.array([(self.bytes[b], len(raw) if k == len(raw) - 1 else 0) for k, b in enumerate(raw)], _PIECE).tobytes()
+
+    def _short(self, stretch: str) -> list[str]:
+        """By looking through all pairs for each merge, which is the fastest way with few of them."""
+        parts, scores, none = list(stretch), self.scores, _NONE
+        pairs = [scores.get(a + b, none) for a, b in zip(stretch, stretch[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            k = pairs.index(best)
+            parts[k : k + 2] = [piece := parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = scores.get(parts[k - 1] + piece, none)
+            if k < len(pairs):
+                pairs[k] = scores.get(piece + parts[k + 1], none)
+        return parts
+
+    def _long(self, stretch: str) -> list[str]:
+        """By a heap of pairs over a linked list."""
         parts: list[str | None] = list(stretch)
-        n, pieces = len(parts), self.pieces
+        n, scores = len(parts), self.scores
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(p[0], k, stretch[k : k + 2]) for k in range(n - 1) if (p := pieces.get(stretch[k : k + 2]))]
+        heap = [(p, k, stretch[k : k + 2]) for k in range(n - 1) if (p := scores.get(stretch[k : k + 2])) is not None]
         heapify(heap)
         while heap:
             _, i, piece = heappop(heap)
@@ -167,27 +200,22 @@ class PieceCodec:
             parts[i], parts[j], after[i] = piece, None, after[j]
             if (k := after[i]) >= 0:
                 before[k] = i
-                if p := pieces.get(x := piece + parts[k]):
-                    heappush(heap, (p[0], i, x))
-            if (h := before[i]) >= 0 and (p := pieces.get(x := parts[h] + piece)):
-                heappush(heap, (p[0], h, x))
-        out = []
-        for part in filter(None, parts):
-            if p := pieces.get(part):
-                out.append((p[1], len(part.encode())))
-            else:  # a character without a piece: its bytes, the last of which covers it
-                raw = part.encode()
-                out += [(self.bytes[b], len(raw) if k == len(raw) - 1 else 0) for k, b in enumerate(raw)]
-        return np.array(out, _PIECE).tobytes()
+                if (p := scores.get(x := piece + parts[k])) is not None:
+                    heappush(heap, (p, i, x))
+            if (h := before[i]) >= 0 and (p := scores.get(x := parts[h] + piece)) is not None:
+                heappush(heap, (p, h, x))
+        return [x for x in parts if x is not None]
 
     def word(self, word: str) -> bytes:
-        """The pieces of any text, cut where no piece of the vocabulary has the two characters side by side."""
+        """The pieces of any text; one with other characters than letters is cut where no piece has the two side by side."""
+        if word[1:].isalpha() and len(word) <= SHORT:
+            return self.merged(word)
         cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.neighbours), len(word)]
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             found = self.stretches.get(s := word[a:b])
             if found is None:
-                if len(self.stretches) >= CACHED:
+                if len(self.stretches) >= CACHED // 2:
                     self.stretches.clear()
                 self.stretches[s] = found = self.merged(s)
             out.append(found)
@@ -207,10 +235,12 @@ class PieceCodec:
         for w in words:
             x = known.get(w)
             if x is None:
-                if len(known) >= CACHED:
-                    known.clear()
-                known[w] = x = self.word(MARK + w)
+                if (x := self.older.get(w)) is None:
+                    x = self.word(MARK + w)
+                known[w] = x
             found.append(x)
+        if len(known) > CACHED // 2:  # words that come again within so many others stay
+            self.older, self.words = known, {}
         pieces = np.frombuffer(b"".join(found), _PIECE)
         ends = np.cumsum(pieces["size"], dtype=np.int64)
         begins, ends = source[ends - pieces["size"]], source[ends]
