@@ -220,6 +220,7 @@ FINAL = {
     "gsc_mean_one": "select subclade_id, organism_id, round(mean_one, 6) mean_one from closure",
     "conserved_weighted": f"select {_CONS} from (select *, {_posterior()} prob from (select domain1, domain2, {_sums('weight')} from joined join closure using (organism_id) where subclade_id = 0 group by all))",
     "conserved_subclades": f"select subclade_id, {_CONS} from sub",
+    "conserved_subclades_weighted": f"select subclade_id, {_CONS} from (select *, {_posterior()} prob from (select subclade_id, domain1, domain2, {_sums('weight')} from joined join closure using (organism_id) group by all))",
     "pair_split": "select * from flags",
     "pruned_subclades": "select subclade_id, domain1, domain2, occurrences, fusions, n_genes1, n_genes2, n_organisms, round(prob, 6) prob from pruned",
     "occurrence_bins": "select domain1, domain2, occurrences, case when occurrences >= 5 * b then 5 * b else b end single_bin, array_to_string(list_filter([b, case when occurrences >= 5 * b then 5 * b end, case when b >= 10 then b // 2 end], lambda x: x is not null), ',') bins from (select *, pow(10, floor(log10(occurrences) + 1e-12))::bigint b from (select domain1, domain2, sum(occurrences)::bigint occurrences from organism group by all))",

@@ -4,19 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from ..operators import hits, likelihood, ontology, pairs, subclades, tree
-from ..sources import sinks, text
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+from ..sources import commits, sinks, text
+from ..sources.scratch import staged
 
 
 def build_mappings(spark: SparkSession, ontology_path: str, mapping_path: str, out: str) -> None:
@@ -25,36 +16,45 @@ def build_mappings(spark: SparkSession, ontology_path: str, mapping_path: str, o
     sinks.write_ontology(terms, ontology.process_domains(text.domain_terms(spark.read.text(mapping_path)), terms), out)
 
 
-def predict(spark: SparkSession, genomes: str, hit_folder: str, clans: str, out: str, newick: str | None = None, evalue: float = 0.001, rate: float = likelihood.LAMBDA, phi: float = likelihood.PHI, weighted: bool = False, force: bool = False) -> DataFrame:
+def predict(
+    spark: SparkSession, genomes: str, hit_folder: str, clans: str, out: str, newick: str | None = None, evalue: float = 0.001, rate: float = likelihood.LAMBDA, phi: float = likelihood.PHI,
+    weighted: bool = False, force: bool = False, strict: bool = False,
+) -> DataFrame:
     """From annotated genomes, domain hits and the clan table to the stored conserved pairs, which it returns.
 
-    Organisms whose likelihoods are stored are not computed again unless force is given; the sums over
-    organisms are, since a new one changes them. With a tree, all subclades are computed and pruned (weighted
-    by the tree on request), else the root alone. An organism without hits on its main molecule is left out.
+    Organisms whose likelihoods are stored are not computed again unless force is given or their files, the
+    clan table or the settings have changed; organisms whose files are gone don't count. The sums over
+    organisms are computed anew, since each organism changes them. A run that ends early is made good by
+    the next one. With a tree, all subclades are computed and pruned (weighted by the tree on request), else
+    the root alone. An organism without hits on its main molecule is left out; with strict and a tree, a leaf
+    without pairs is an error.
     """
-    genes = text.coding_genes(text.files(spark, genomes, ".gbk", line_sep="\n//"))
-    found = text.domain_hits(text.files(spark, hit_folder, ".hits")).withColumn("line_no", F.monotonically_increasing_id())
-    done = None if force else _stored(spark, f"{out}/likelihoods/uniform")
-    if done is not None:
-        genes, found = (sinks.todo(x, done, ["organism_id"]) for x in (genes, found))
-    molecules = genes.select("organism_id", "molecule_id", "length").distinct()
-    kept = hits.resolve_clans(hits.filter_hits(found, genes, molecules, evalue), text.clan_table(spark.read.text(clans)))
-    own = likelihood.organism_likelihoods(pairs.closest_pairs(pairs.gene_pair_distances(hits.gene_domains(kept))), hits.domain_gene_counts(kept), rate)
-    uniform = likelihood.uniform_log_probabilities(hits.main_molecules(molecules))
-    sinks.write_probabilities(own, uniform, f"{out}/likelihoods", "overwrite" if force or done is None else "append")
-
-    own, uniform = (spark.read.parquet(f"{out}/likelihoods/{x}") for x in ("pairs", "uniform"))
+    wanted = commits.signatures(spark, {".gbk": genomes, ".hits": hit_folder}, ".gbk", (clans,), f"{evalue}|{rate}")
+    store = commits.Batches(spark, f"{out}/likelihoods")
+    todo = staged(store.todo(wanted, force), "todo")
+    if not todo.isEmpty():
+        genes = text.coding_genes(text.files(spark, genomes, ".gbk", line_sep="\n//")).join(todo.select("organism_id"), "organism_id", "left_semi")
+        lines = text.files(spark, hit_folder, ".hits").join(todo.select("organism_id"), "organism_id", "left_semi")
+        found = text.domain_hits(lines).withColumn("line_no", F.monotonically_increasing_id())
+        molecules = genes.select("organism_id", "molecule_id", "length").distinct()
+        kept = staged(hits.resolve_clans(hits.filter_hits(found, genes, molecules, evalue), text.clan_table(spark.read.text(clans))), "kept")
+        own = likelihood.organism_likelihoods(pairs.nearest_pairs(hits.gene_domains(kept)), hits.domain_gene_counts(kept), rate)
+        sinks.write_probabilities(todo, own, likelihood.uniform_log_probabilities(hits.main_molecules(molecules)), f"{out}/likelihoods")
+
+    own, uniform = (staged(store.read(x, wanted), x) for x in ("pairs", "uniform"))
     sinks.write_pair_index(pairs.pair_index(own), f"{out}/pair_index")
     if newick is None:
         table = likelihood.conserved(own, uniform, phi=phi).withColumn("subclade_id", F.lit(0).cast("long"))
     else:
         nodes = tree.numbered(text.newick_tree(spark, newick))
+        if strict:
+            subclades.require_leaves(own, nodes)
         height = nodes.agg(F.max("depth")).first()[0]
         closure = tree.closure_weights(tree.subclade_scores(nodes, height))
         sinks.write_composition(closure, f"{out}/composition", "overwrite")
         sinks.write_weights(closure, f"{out}/weights")
         sinks.write_labelled_newick(nodes, f"{out}/tree")
-        every = subclades.conserved_subclades(own, uniform, closure, True, phi) if weighted else subclades.rolled_up(own, uniform, nodes, height, phi)
-        table = subclades.prune(every, nodes, tree.ancestors(nodes, height))
+        every = subclades.rolled_up(own, uniform, nodes, height, phi, weighted)
+        table = subclades.prune(every, nodes, height)
     sinks.write_conserved(table, f"{out}/conserved", "overwrite")
     return spark.read.parquet(f"{out}/conserved")

@@ -28,7 +28,7 @@ class Flow:
     genes = cached_property(lambda s: hits.gene_domains(s.kept))
     counts = cached_property(lambda s: hits.domain_gene_counts(s.kept))
     distances = cached_property(lambda s: pairs.gene_pair_distances(s.genes))
-    closest = cached_property(lambda s: pairs.closest_pairs(s.distances))
+    closest = cached_property(lambda s: pairs.nearest_pairs(s.genes))
     organism = cached_property(lambda s: likelihood.organism_likelihoods(s.closest, s.counts, RATE))
     uniform = cached_property(lambda s: likelihood.uniform_log_probabilities(s.main))
     process = cached_property(lambda s: ontology.process_domains(s.g.go_domain(), s.g.go_terms()))
@@ -40,7 +40,8 @@ class Flow:
     closure = cached_property(lambda s: staged(tree.closure_weights(s.scores), "closure"))
     root = cached_property(lambda s: s.closure.where("subclade_id = 0"))
     subclades = cached_property(lambda s: staged(subclades.rolled_up(staged(s.organism, "organism"), s.uniform, s.tree, HEIGHT), "subclades"))
-    pruned = cached_property(lambda s: subclades.prune(s.subclades, s.tree, tree.ancestors(s.tree, HEIGHT)))
+    weighted = cached_property(lambda s: subclades.rolled_up(s.organism, s.uniform, s.tree, HEIGHT, weighted=True))
+    pruned = cached_property(lambda s: subclades.prune(s.subclades, s.tree, HEIGHT))
     halves = cached_property(lambda s: s.main.select("organism_id", (F.col("length") / 2.0).alias("half")))
     org_histogram = cached_property(lambda s: staged(fit.histogram(s.go_distances).join(s.halves, "organism_id"), "histogram"))
     org_step = cached_property(lambda s: staged(fit.em_step(s.org_histogram, RATE, PHI), "step"))
@@ -199,6 +200,7 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "gsc_mean_one": lambda f: f.closure.select("subclade_id", "organism_id", _r("mean_one")),
     "conserved_weighted": lambda f: _conserved(likelihood.conserved(f.organism, f.uniform, f.root, phi=PHI)),
     "conserved_subclades": lambda f: _conserved(f.subclades, "subclade_id"),
+    "conserved_subclades_weighted": lambda f: _conserved(f.weighted, "subclade_id"),
     "pair_split": lambda f: subclades.split_flags(f.subclades, f.tree),
     "pruned_subclades": lambda f: f.pruned.select("subclade_id", *CONSERVED, _r("prob")),
     "occurrence_bins": lambda f: f.organism.groupBy("domain1", "domain2").agg(F.sum("occurrences").alias("occurrences")).select("domain1", "domain2", "occurrences", h.single_bin(F.col("occurrences")).alias("single_bin"), F.array_join(h.occurrence_bins(F.col("occurrences")).cast("array<string>"), ",").alias("bins")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import circular_distance, overlaps
@@ -49,11 +49,18 @@ def gene_pair_distances(genes: DataFrame) -> DataFrame:
     return joined.select(*PAIR, "gene1", "gene2", circular_distance(*ends, F.col("size"), same).alias("distance"), same.alias("fused"))
 
 
-def overlapping_genes(genes: DataFrame) -> DataFrame:
-    """Pairs of an organism's annotated genes that overlap."""
-    g = genes.select("organism_id", "gene_id", "gene_start", "gene_end").distinct()
-    a, b = g.toDF("organism_id", "gene1", "start1", "end1"), g.toDF("organism_id", "gene2", "start2", "end2")
-    return salted(a, b, ["organism_id"]).where("gene1 < gene2").where(overlaps(*map(F.col, ("start1", "end1", "start2", "end2")))).select("organism_id", "gene1", "gene2")
+def overlapping_genes(genes: DataFrame, width: int = 5_000) -> DataFrame:
+    """Pairs of an organism's annotated genes that overlap, by the bins of positions that they touch.
+
+    Two genes that overlap share the bin in which the later one begins, and meet there only. Genes with a null
+    coordinate overlap nothing; a gene whose end is before its start touches no bin.
+    """
+    g = genes.select("organism_id", "gene_id", "gene_start", "gene_end").where("gene_start <= gene_end").distinct()
+    first, last = (F.floor(F.col(c) / width) for c in ("gene_start", "gene_end"))
+    g = g.select("*", first.alias("first"), F.explode(F.sequence(first, last)).alias("bin"))
+    a, b = g.toDF("organism_id", "gene1", "start1", "end1", "first1", "bin"), g.toDF("organism_id", "gene2", "start2", "end2", "first2", "bin")
+    met = a.join(b, ["organism_id", "bin"]).where("gene1 < gene2 and bin = greatest(first1, first2)")
+    return met.where(overlaps(*map(F.col, ("start1", "end1", "start2", "end2")))).select("organism_id", "gene1", "gene2")
 
 
 def fusions(distances: DataFrame) -> DataFrame:
@@ -69,6 +76,40 @@ def closest_pairs(distances: DataFrame) -> DataFrame:
     return ranked.where("fused or r1 = 1 or r2 = 1").select(*PAIR, "gene1", "gene2", "distance", "fused")
 
 
+def nearest_pairs(genes: DataFrame) -> DataFrame:
+    """closest_pairs of all pairs of domains without the product of their genes.
+
+    The genes of both domains stand in one order of position, and each takes its nearest partner from four
+    that the order gives: of the partners before it the one that starts last or, around the circle, ends first,
+    and of those after it the one that ends first or, around the circle, starts last. Equal distances go to the
+    smaller id. Genes of both domains are fused; they count once and are no partners. A row a gene and
+    other domain of its organism, one shuffle by pair of domains; an empty table gives an empty result.
+    """
+    held = genes.groupBy("organism_id", "gene_id").agg(F.collect_set("domain_id").alias("held"))
+    domains = genes.select("organism_id", F.col("domain_id").alias("other")).distinct()
+    g = genes.join(held, ["organism_id", "gene_id"])
+    rows = salted(g, domains, ["organism_id"]).where("domain_id <> other").select(
+        "organism_id", F.least("domain_id", "other").alias("domain1"), F.greatest("domain_id", "other").alias("domain2"), (F.col("domain_id") < F.col("other")).alias("one"),
+        F.array_contains("held", F.col("other")).alias("fused"), "gene_id", F.col("gene_start").alias("s"), F.col("gene_end").alias("e"), "size",
+    )
+    fused = rows.where("fused and one").select(*PAIR, F.col("gene_id").alias("gene1"), F.col("gene_id").alias("gene2"), (F.col("e") - F.col("s") + 1).alias("distance"), F.lit(True).alias("fused"))
+    up = Window.partitionBy(*PAIR).orderBy("s", "gene_id").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*PAIR).orderBy(F.desc("s"), F.desc("gene_id")).rowsBetween(Window.unboundedPreceding, -1)
+    ends, starts = F.struct("e", "gene_id"), F.struct((-F.col("s")).alias("s"), "gene_id")
+
+    def partner(value: Column, over: WindowSpec) -> Column:
+        """The least value among the other domain's genes in a frame."""
+        return F.when(F.col("one"), F.min(F.when(~F.col("one"), value)).over(over)).otherwise(F.min(F.when(F.col("one"), value)).over(over))
+
+    seen = rows.where("not fused").select("*", partner(starts, up).alias("a"), partner(ends, up).alias("b")).select("*", partner(ends, down).alias("c"), partner(starts, down).alias("d"))
+    reach = {"a": "e + a.s + 1", "b": "size - s + b.e + 1", "c": "c.e - s + 1", "d": "size + d.s + e + 1"}
+    best = F.array_min(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.expr(d).alias("distance"), F.col(f"{k}.gene_id").alias("partner"))) for k, d in reach.items()])))
+    near = seen.select(*PAIR, "one", "gene_id", best.alias("best")).where("best is not null")
+    ids = [F.when(F.col("one"), F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("gene1", "gene_id", "best.partner"), ("gene2", "best.partner", "gene_id"))]
+    chosen = near.select(*PAIR, *ids, F.col("best.distance").alias("distance")).groupBy(*PAIR, "gene1", "gene2").agg(F.min("distance").alias("distance"))
+    return fused.unionByName(chosen.withColumn("fused", F.lit(False)))
+
+
 def dense_index(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Numbers rows from 0 in the order of group, then order, without sorting all rows in one task.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import posterior
 from ..sources.scratch import staged
 from .likelihood import PHI, conserved
+from .tree import gathered, leaps, subclade_scales, times
 
 
 def conserved_subclades(pairs: DataFrame, uniform: DataFrame, closure: DataFrame, weighted: bool = False, phi: float = PHI) -> DataFrame:
@@ -17,26 +16,27 @@ def conserved_subclades(pairs: DataFrame, uniform: DataFrame, closure: DataFrame
     return conserved(pairs, uniform, weights, ("subclade_id",), phi)
 
 
-def rolled_up(pairs: DataFrame, uniform: DataFrame, tree: DataFrame, height: int, phi: float = PHI) -> DataFrame:
-    """conserved_subclades without weights: every node's sums from its children's, a level at a time.
+def rolled_up(pairs: DataFrame, uniform: DataFrame, tree: DataFrame, height: int, phi: float = PHI, weighted: bool = False) -> DataFrame:
+    """conserved_subclades with every node's sums made of its descendants' in doubling rounds.
 
-    A level shuffles the distinct pairs of its nodes, not a row of every organism for every node above it.
+    A round shuffles the distinct pairs of the nodes, not a row of every organism for every node above it.
+    With weighted, an organism's weight at a node is a line in its score there, and scores change by one
+    factor a node on their way up; so the sums of value times score and of the values give the weighted sum.
     """
-    sums = ["log_exp", "log_uni", "occurrences", "fusions", "n_genes1", "n_genes2", "n_organisms"]
-    edge = tree.select(F.col("node_id").alias("subclade_id"), "parent_id", "depth", "organism_id", "is_leaf")
-    rows = pairs.join(uniform, "organism_id").select(
-        "organism_id", "domain1", "domain2", F.col("exp_prob").alias("log_exp"), (F.col("occurrences") * F.col("log_uni_prob")).alias("log_uni"), "occurrences", "fusions", "n_genes1", "n_genes2", F.lit(1).cast("long").alias("n_organisms")
-    )
-    leaves = rows.join(edge.where("is_leaf"), "organism_id").select("subclade_id", "parent_id", "depth", "domain1", "domain2", *sums)
-    done, handed = [], None
-    for depth in range(height, -1, -1):
-        here = leaves.where(F.col("depth") == depth)
-        if handed is not None:
-            up = handed.groupBy(F.col("parent_id").alias("subclade_id"), "domain1", "domain2").agg(*[F.sum(c).alias(c) for c in sums])
-            here = here.unionByName(up.join(edge.select("subclade_id", "parent_id", "depth"), "subclade_id").select(*leaves.columns))
-        handed = staged(here, "rolled")
-        done.append(handed.select("subclade_id", "domain1", "domain2", *sums))
-    found = reduce(DataFrame.union, done).where("occurrences > 0")
+    counts = ["occurrences", "fusions", "n_genes1", "n_genes2", "n_organisms"]
+    logs = {"log_exp": F.col("exp_prob"), "log_uni": F.col("occurrences") * F.col("log_uni_prob")}
+    nodes, scales = subclade_scales(tree, height) if weighted else (tree.withColumn("own", F.lit(1.0)), None)
+    leaves = nodes.where("is_leaf").select("node_id", "organism_id", "own")
+    rows = pairs.join(uniform, "organism_id").join(leaves, "organism_id").withColumn("n_organisms", F.lit(1).cast("long"))
+    columns = {c: (F.sum, None) for c in (*logs, *counts)}
+    scored = {f"scored_{n}": (F.col("own") * c).alias(f"scored_{n}") for n, c in logs.items()} if weighted else {}
+    columns |= {n: (F.sum, F.col(n) * F.col("factor")) for n in scored}
+    steps = leaps(nodes, height, factor=(F.col("share"), times)) if weighted else leaps(nodes, height)
+    rows = rows.select("node_id", "domain1", "domain2", *[c.alias(n) for n, c in logs.items()], *counts, *scored.values())
+    found = gathered(rows, steps, ("domain1", "domain2"), columns).where("occurrences > 0")
+    if weighted:
+        found = found.join(scales, "node_id").withColumns({n: F.col("slope") * F.col(f"scored_{n}") + F.col("base") * F.col(n) for n in logs})
+    found = found.select(F.col("node_id").alias("subclade_id"), "domain1", "domain2", *logs, *counts)
     return found.withColumn("prob", posterior(F.col("log_exp"), F.col("log_uni"), phi))
 
 
@@ -67,17 +67,23 @@ def split_flags(table: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.select("subclade_id", "domain1", "domain2", (F.coalesce("child_max", F.lit(0)) != F.col("occurrences")).alias("is_split"))
 
 
-def prune(table: DataFrame, tree: DataFrame, ancestors: DataFrame) -> DataFrame:
+def prune(table: DataFrame, tree: DataFrame, height: int) -> DataFrame:
     """Keeps leaves as they are, and inner rows with a split at or above them.
 
     A row keeps its counts and takes the probability of the deepest node at or above it at which its pair
-    is split; rows without one go.
+    is split; rows without one go. A row that is not split points to its pair's row at the parent, and in
+    each round to where that one points, so that the rounds are as many as the height has binary digits.
     """
     pair = ["domain1", "domain2"]
-    splits = split_flags(table, tree).where("is_split").select("subclade_id", *pair).join(table.select("subclade_id", *pair, "prob"), ["subclade_id", *pair]).withColumnRenamed("subclade_id", "ancestor_id").withColumnRenamed("prob", "prob_")
-    leaf = tree.select(F.col("node_id").alias("subclade_id"), "is_leaf")
-    rows = table.join(leaf, "subclade_id")
-    inner = rows.where("not is_leaf").join(ancestors.select(F.col("node_id").alias("subclade_id"), "ancestor_id", "ancestor_depth"), "subclade_id")
-    found = inner.join(splits, ["ancestor_id", *pair]).groupBy("subclade_id", *pair).agg(F.max_by("prob_", "ancestor_depth").alias("pruned"))
-    kept = rows.where("not is_leaf").join(found, ["subclade_id", *pair]).withColumn("prob", F.col("pruned")).drop("pruned")
-    return kept.unionByName(rows.where("is_leaf")).drop("is_leaf")
+    up = tree.where("not is_leaf").select(F.col("node_id").alias("subclade_id"), "parent_id")
+    flags = split_flags(table, tree)
+    state = table.select("subclade_id", *pair, "prob").join(flags, ["subclade_id", *pair]).join(up, "subclade_id")
+    state = state.select("subclade_id", *pair, F.when(~F.col("is_split"), F.col("parent_id")).alias("at"), F.when(F.col("is_split"), F.col("prob")).alias("pruned"))
+    for _ in range(max(height - 1, 0).bit_length()):
+        state = staged(state, "pruning")
+        above = state.toDF("at", *pair, "at_", "pruned_")
+        open_rows = state.where("at is not null").join(above, ["at", *pair], "left").select("subclade_id", *pair, F.col("at_").alias("at"), F.col("pruned_").alias("pruned"))
+        state = state.where("at is null").unionByName(open_rows)
+    kept = table.join(state.where("pruned is not null").select("subclade_id", *pair, "pruned"), ["subclade_id", *pair]).withColumn("prob", F.col("pruned")).drop("pruned")
+    leaves = tree.where("is_leaf").select(F.col("node_id").alias("subclade_id"))
+    return kept.unionByName(table.join(leaves, "subclade_id", "left_semi"))

@@ -1,13 +1,16 @@
 """Trees of organisms as edge tables: numbering, subclades, weights and distances.
 
 A tree has node_id, parent_id (null at the root), dist, organism_id (leaves only), is_leaf and depth.
+Whatever goes along paths or up subtrees takes as many rounds as the height has binary digits: each round
+doubles how far a node looks up, so that a tree of depth 2,000 takes 11 of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import scaled_weight
@@ -18,6 +21,43 @@ from .pairs import dense_index, salted
 SMALLEST = 2.2250738585072014e-308
 
 
+def leaps(tree: DataFrame, height: int, **values: tuple[Column, Callable[[Column, Column], Column]]) -> list[DataFrame]:
+    """For each round k, every node with its ancestor 2**k levels up: node_id, up_id and the values of the path.
+
+    A value is a column of the tree for one step up, and how two paths' values make one. Nodes that have no
+    such ancestor are left out. A path holds its lower node's step but not its upper node's.
+    """
+    out = [tree.where("parent_id is not null").select("node_id", F.col("parent_id").alias("up_id"), *[c.alias(n) for n, (c, _) in values.items()])]
+    for k in range(1, max(height, 0).bit_length()):
+        low, high = out[-1], out[-1].toDF("up_id", "up2_id", *[f"{n}_" for n in values])
+        both = low.join(high, "up_id").select("node_id", F.col("up2_id").alias("up_id"), *[join(F.col(n), F.col(f"{n}_")).alias(n) for n, (_, join) in values.items()])
+        out.append(staged(both, "leaps") if k > 1 else both)
+    return out if height > 0 else []
+
+
+def gathered(rows: DataFrame, steps: list[DataFrame], keys: tuple[str, ...], columns: dict[str, tuple[Callable, Column | None]]) -> DataFrame:
+    """Every node's aggregates over the rows of all nodes at or below it, by keys.
+
+    rows has node_id, keys and columns. A column has its aggregate and, where a value changes on its way up,
+    what becomes of it over a leap. Each round merges what is within twice the distance.
+    """
+    names = ["node_id", *keys]
+    now = rows.groupBy(*names).agg(*[agg(c).alias(c) for c, (agg, _) in columns.items()])
+    for step in steps:
+        now = staged(now, "gathered")
+        up = now.join(step, "node_id").select(F.col("up_id").alias("node_id"), *keys, *[(F.col(c) if moved is None else moved).alias(c) for c, (_, moved) in columns.items()])
+        now = now.unionByName(up).groupBy(*names).agg(*[agg(c).alias(c) for c, (agg, _) in columns.items()])
+    return now
+
+
+def add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def times(a: Column, b: Column) -> Column:
+    return a * b
+
+
 def lineage_tree(lineages: DataFrame) -> DataFrame:
     """The tree of region, nation and organism, numbered in reversed level order with the root as 0."""
     none, long = F.lit(None), "long"
@@ -44,41 +84,61 @@ def numbered(edges: DataFrame) -> DataFrame:
     Nodes are counted by level and within a level in the order of their paths from the root, children in
     the order of their old numbers; the root is 0 and node k of N is N - k. Adds bfs_idx. The result
     is stored, as all that is made of a tree reads it many times. An empty table gives an empty result.
+
+    Paths are in the order of the nodes' first visits, and a node's visit comes after its parent's by one and
+    the sizes of the siblings before it: sizes go up the tree, visits down it, in doubling rounds.
     """
-    order = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id"))
-    ranked = staged(edges.withColumn("rank_", order), "ranked")
-    at = ranked.where("parent_id is null").select(F.col("node_id").alias("old"), F.array().cast("array<int>").alias("path"))
-    known, height = [at], edges.agg(F.max("depth")).first()[0] or 0
-    for _ in range(height):
-        at = ranked.join(at.select(F.col("old").alias("parent_id"), F.col("path").alias("above")), "parent_id").select(F.col("node_id").alias("old"), F.array_append("above", F.col("rank_").cast("int")).alias("path"))
-        known.append(at)
-    paths = staged(reduce(DataFrame.union, known), "paths")
-    rows = edges.withColumnRenamed("node_id", "old").join(paths, "old")
-    rows = dense_index(rows, ["depth"], ["path"], "bfs_idx").join(F.broadcast(rows.agg(F.count("*").alias("total_"))))
+    height = edges.agg(F.max("depth")).first()[0] or 0
+    rows = staged(edges, "edges")
+    sizes = gathered(rows.select("node_id", F.lit(1).cast("long").alias("size")), leaps(rows, height), (), {"size": (F.sum, None)})
+    earlier = F.sum("size").over(Window.partitionBy("parent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1))
+    visit = staged(rows.join(sizes, "node_id").select("node_id", F.col("parent_id").alias("up_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1 + F.coalesce(earlier, F.lit(0))).cast("long").alias("visit")), "visits")
+    for _ in range(height.bit_length()):
+        up = visit.toDF("up_id", "up2_id", "visit_")
+        visit = staged(visit.join(up, "up_id", "left").select("node_id", F.col("up2_id").alias("up_id"), (F.col("visit") + F.coalesce("visit_", F.lit(0))).alias("visit")), "visits")
+    rows = rows.withColumnRenamed("node_id", "old").join(visit.select(F.col("node_id").alias("old"), "visit"), "old")
+    rows = dense_index(rows, ["depth"], ["visit"], "bfs_idx").join(F.broadcast(rows.agg(F.count("*").alias("total_"))))
     rows = rows.withColumn("node_id", F.when(F.col("bfs_idx") == 0, 0).otherwise(F.col("total_") - F.col("bfs_idx")).cast("long"))
     up = rows.select(F.col("old").alias("parent_id"), F.col("node_id").alias("new_parent"))
     return staged(rows.join(up, "parent_id", "left").select("node_id", F.col("new_parent").alias("parent_id"), "dist", "organism_id", "is_leaf", "depth", "bfs_idx"), "numbered")
 
 
+def with_shares(tree: DataFrame, height: int) -> DataFrame:
+    """The tree with own, a leaf's score at itself, and share, by which a score grows where it leaves a node.
+
+    An inner node's branch is shared among its leaves in proportion to their scores, which sum to all the
+    branches below the node; so all of them grow by one factor. Leaves without a branch have the least length.
+    """
+    length = F.when(F.col("is_leaf") & (F.col("dist") == 0), SMALLEST).otherwise(F.col("dist"))
+    below = gathered(tree.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), length.alias("below")), leaps(tree, height), (), {"below": (F.sum, None)})
+    share = F.when(F.col("is_leaf"), 1.0).otherwise((F.col("below") + F.col("dist")) / F.nullif(F.col("below"), F.lit(0.0)))
+    return staged(tree.join(below, "node_id", "left").select(*tree.columns, F.when(F.col("is_leaf"), length).alias("own"), share.alias("share")), "shares")
+
+
 def subclade_scores(tree: DataFrame, height: int) -> DataFrame:
     """Every node with the leaves below it and their scores there: node_id, organism_id, score.
 
-    From the leaves up, a leaf brings its own branch's length; an inner node's branch is shared among
-    its leaves in proportion to their scores. height is the depth of the deepest leaf; each level is one
-    join of the rows that the level below handed up.
+    A leaf's score at a node is its own branch's length times the shares of the inner nodes between. height is
+    the depth of the deepest leaf.
+    """
+    shared = with_shares(tree, height)
+    up = paths(shared, leaps(shared, height, factor=(F.col("share"), times)), factor=(F.lit(1.0), times))
+    return up.join(shared.where("is_leaf").select("node_id", "organism_id", "own"), "node_id").select(F.col("ancestor_id").alias("node_id"), "organism_id", (F.col("own") * F.col("factor")).alias("score"))
+
+
+def subclade_scales(tree: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
+    """The tree with shares, and for every node the line that scales its leaves' scores: node_id, slope and base.
+
+    weight = slope * score + base is what closure_weights gives, without the table of leaves in nodes: number,
+    least and largest score of a node's leaves go up the tree.
     """
-    edge = tree.select("node_id", "parent_id", "dist", "depth", "is_leaf", "organism_id")
-    leaves = edge.where("is_leaf").select("node_id", "parent_id", "depth", "organism_id", F.when(F.col("dist") == 0, SMALLEST).otherwise(F.col("dist")).alias("out"))
-    done = [leaves.select("node_id", "organism_id", F.col("out").alias("score"))]
-    handed = leaves
-    for depth in range(height - 1, -1, -1):
-        here = handed.where(F.col("depth") == depth + 1).select(F.col("parent_id").alias("node_id"), "organism_id", F.col("out").alias("score"))
-        done.append(here)
-        total = F.sum("score").over(Window.partitionBy("node_id"))
-        up = here.withColumn("sum_", total).join(edge.select("node_id", "parent_id", "dist", "depth"), "node_id")
-        up = up.select("node_id", "parent_id", "depth", "organism_id", (F.col("score") + F.col("dist") * F.col("score") / F.col("sum_")).alias("out"))
-        handed = up.union(leaves.where(F.col("depth") == depth))
-    return reduce(DataFrame.union, done)
+    shared = with_shares(tree, height)
+    steps = leaps(shared, height, factor=(F.col("share"), times))
+    moved = [F.col("factor") * F.col(c) for c in ("low", "high")]
+    ends = gathered(shared.where("is_leaf").select("node_id", F.col("own").alias("low"), F.col("own").alias("high"), F.lit(1).cast("long").alias("n")), steps, (), {"low": (F.min, F.least(*moved)), "high": (F.max, F.greatest(*moved)), "n": (F.sum, None)})
+    flat = (F.col("n") == 1) | (F.col("high") - F.col("low") < 1e-6)
+    slope = F.when(flat, 0.0).otherwise((1 - 1 / F.col("n")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
+    return shared, ends.select("node_id", slope.alias("slope"), F.when(flat, 1.0).otherwise(1 / F.col("n") - F.col("low") * slope).alias("base"))
 
 
 def closure_weights(scores: DataFrame) -> DataFrame:
@@ -92,16 +152,24 @@ def closure_weights(scores: DataFrame) -> DataFrame:
     )
 
 
+def paths(tree: DataFrame, steps: list[DataFrame], **values: tuple[Column, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Every node with each of its ancestors and itself: node_id, ancestor_id, ancestor_depth and the path's values.
+
+    steps are leaps of the same values; a value here has what a path of no step holds, and how two make one.
+    """
+    now = tree.select("node_id", F.col("node_id").alias("ancestor_id"), F.col("depth").alias("ancestor_depth"), *[c.alias(n) for n, (c, _) in values.items()])
+    for k, step in enumerate(steps):
+        further = now.toDF("up_id", "ancestor_id", "ancestor_depth", *[f"{n}_" for n in values])
+        up = step.join(further, "up_id").select("node_id", "ancestor_id", "ancestor_depth", *[join(F.col(n), F.col(f"{n}_")).alias(n) for n, (_, join) in values.items()])
+        now = now.unionByName(up)
+        now = staged(now, "paths") if 0 < k < len(steps) - 1 else now
+    return now
+
+
 def ancestors(tree: DataFrame, height: int) -> DataFrame:
-    """Every node with each of its ancestors and itself: node_id, ancestor_id, ancestor_depth, span (branch length between)."""
-    edge = tree.select("node_id", "parent_id", F.col("dist").alias("d"), F.col("depth").alias("dep"))
-    now = edge.select("node_id", F.col("node_id").alias("ancestor_id"), F.col("dep").alias("ancestor_depth"), F.lit(0.0).alias("span"))
-    out = [now]
-    for _ in range(height):
-        up = edge.select(F.col("node_id").alias("ancestor_id"), "parent_id", "d")
-        now = now.join(up, "ancestor_id").where("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id"), (F.col("ancestor_depth") - 1).alias("ancestor_depth"), (F.col("span") + F.greatest(F.col("d"), F.lit(0.0))).alias("span"))
-        out.append(now)
-    return reduce(DataFrame.union, out)
+    """paths with span, the branch length between; negative lengths count as 0."""
+    length = F.greatest("dist", F.lit(0.0))
+    return paths(tree, leaps(tree, height, span=(length, add)), span=(F.lit(0.0), add))
 
 
 def leaf_distances(tree: DataFrame, height: int, depth: int = 0) -> DataFrame:
@@ -120,12 +188,12 @@ def leaf_distances(tree: DataFrame, height: int, depth: int = 0) -> DataFrame:
 
 def diameter(tree: DataFrame, height: int) -> DataFrame:
     """The longest path between two leaves, as top: at some node, the sum of its two longest arms."""
-    above = ancestors(tree, height).join(tree.where("is_leaf").select("node_id"), "node_id")
-    child = above.select("node_id", (F.col("ancestor_depth") - 1).alias("ancestor_depth"), F.col("ancestor_id").alias("child_id"))
-    arms = above.join(child, ["node_id", "ancestor_depth"]).groupBy("ancestor_id", "child_id").agg(F.max("span").alias("span"))
-    first = arms.groupBy("ancestor_id").agg(F.max(F.struct("span", "child_id")).alias("first"))
-    second = arms.join(first, "ancestor_id").where("child_id <> first.child_id").groupBy("ancestor_id").agg(F.max(F.col("first.span") + F.col("span")).alias("d"))
-    return second.agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("top"))
+    length = F.greatest("dist", F.lit(0.0))
+    arm = gathered(tree.where("is_leaf").select("node_id", F.lit(0.0).alias("arm")), leaps(tree, height, span=(length, add)), (), {"arm": (F.max, F.col("arm") + F.col("span"))})
+    arms = tree.where("parent_id is not null").join(arm, "node_id").select("parent_id", "node_id", (F.col("arm") + length).alias("arm"))
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc("arm")))
+    two = arms.withColumn("place", place).where("place <= 2").groupBy("parent_id").agg(F.sum("arm").alias("d"), F.count("*").alias("k")).where("k = 2")
+    return two.agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("top"))
 
 
 def pair_distances(pairs: DataFrame, tree: DataFrame, height: int, least: float = 1e-4) -> DataFrame:
@@ -148,7 +216,7 @@ def normalised(distances: DataFrame, least: float = 1e-4) -> DataFrame:
 
 def branch_sums(tree: DataFrame, height: int) -> DataFrame:
     """Total branch length below each inner node, and the same brought to the range 0 to 1."""
-    below = ancestors(tree, height).where("node_id <> ancestor_id").join(tree.select("node_id", "dist"), "node_id")
-    sums = below.groupBy(F.col("ancestor_id").alias("node_id")).agg(F.sum(F.greatest("dist", F.lit(0.0))).alias("branch_length"))
+    below = tree.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), F.greatest("dist", F.lit(0.0)).alias("branch_length"))
+    sums = gathered(below, leaps(tree, height), (), {"branch_length": (F.sum, None)})
     ends = sums.agg(F.min("branch_length").alias("lo_"), F.max("branch_length").alias("hi_"))
     return sums.join(F.broadcast(ends)).select("node_id", "branch_length", ((F.col("branch_length") - F.col("lo_")) / F.nullif(F.col("hi_") - F.col("lo_"), F.lit(0.0))).alias("scaled"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,18 @@ _own: dict[str, str] = {}
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the folder in spark.checkpoint.dir (a temporary one where unset) and reads it back."""
+    """Writes df once to the folder in spark.checkpoint.dir and reads it back.
+
+    Only where that is unset, as in tests, a temporary folder takes its place, which goes when Python ends.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="spark-scratch-"))
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        folder = _own[app]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import probability_code
+from .commits import Batches
 from .text import labelled_newick
 
 
@@ -44,10 +45,12 @@ def index_of(index: DataFrame, pairs: DataFrame) -> DataFrame:
     return index.join(pairs.select("domain1", "domain2"), ["domain1", "domain2"], "left_semi")
 
 
-def write_probabilities(pairs: DataFrame, uniform: DataFrame, folder: str, mode: str = "append") -> None:
-    """Per-genome pair likelihoods and uniform log probabilities."""
-    pairs.write.mode(mode).parquet(f"{folder}/pairs")
-    uniform.write.mode(mode).parquet(f"{folder}/uniform")
+def write_probabilities(organisms: DataFrame, pairs: DataFrame, uniform: DataFrame, folder: str) -> None:
+    """Pair likelihoods and uniform log probabilities of the organisms (organism_id, signature), as one batch.
+
+    A run that ends before the batch is marked leaves nothing that is read; see commits.Batches.
+    """
+    Batches(organisms.sparkSession, folder).write(organisms, pairs=pairs, uniform=uniform)
 
 
 def write_composition(closure: DataFrame, path: str, mode: str = "append") -> None:

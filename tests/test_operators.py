@@ -45,6 +45,60 @@ def test_closest_pairs(spark):
     assert sum(r["fused"] for r in got) == 1
 
 
+def near_by_hand(genes, size):
+    """closest_pairs by loops over all partners: {(domain1, domain2): {(gene1, gene2): (distance, fused)}}."""
+
+    def far(a, b):
+        (s1, e1), (s2, e2) = (genes_at[x] for x in sorted((a, b)))
+        if s1 > s2:
+            s1, e1, s2, e2 = s2, e2, s1, e1
+        return min(e2 - s1 + 1, size - s2 + e1 + 1)
+
+    genes_at = {g: (s, e) for _, g, s, e in genes}
+    of = {}
+    for d, g, _, _ in genes:
+        of.setdefault(d, set()).add(g)
+    out = {}
+    for d1 in of:
+        for d2 in (x for x in of if x > d1):
+            both = of[d1] & of[d2]
+            a, b = of[d1] - both, of[d2] - both
+            got = {(g, g): (genes_at[g][1] - genes_at[g][0] + 1, True) for g in both}
+            if a and b:
+                got |= {(g, p): (d, False) for g in a for d, p in [min((far(g, p), p) for p in b)]}
+                got |= {(p, g): (d, False) for g in b for d, p in [min((far(g, p), p) for p in a)]}
+            if got:
+                out[d1, d2] = got
+    return out
+
+
+def test_nearest_pairs_by_loops(spark):
+    """Random genes, nested, equal and around the end of the circle; against loops and against the whole product."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for organism in range(12):
+        size = int(rng.integers(60, 4000))
+        at = {g: (int(s), int(s + rng.integers(0, max(2, size // rng.integers(2, 30))))) for g, s in enumerate(rng.integers(0, size, 25))}
+        genes = sorted({(int(d), int(g), *at[int(g)]) for d, g in zip(rng.integers(0, 6, 60), rng.integers(0, 25, 60), strict=True)})
+        rows += [(organism, *r, size) for r in genes]
+        want |= {(organism, *pair, *ids): v for pair, found in near_by_hand(genes, size).items() for ids, v in found.items()}
+    genes = spark.createDataFrame(rows, "organism_id int, domain_id int, gene_id int, gene_start int, gene_end int, size int")
+    for found in (pairs.nearest_pairs(genes), pairs.closest_pairs(pairs.gene_pair_distances(genes))):
+        got = {tuple(r[c] for c in ("organism_id", "domain1", "domain2", "gene1", "gene2")): (r["distance"], r["fused"]) for r in found.collect()}
+        assert got == want
+    assert pairs.nearest_pairs(genes.limit(0)).isEmpty() and "gene2" not in pairs.nearest_pairs(genes)._jdf.queryExecution().analyzed().toString().split("Join")[-1]
+
+
+def test_overlaps_by_loops(spark):
+    rng = np.random.default_rng(7)
+    rows = [(o, g, int(s), int(s + n)) for o in range(3) for g, (s, n) in enumerate(zip(rng.integers(0, 3000, 60), rng.integers(0, 900, 60), strict=True))] + [(0, 99, None, 5), (0, 98, 50, 20)]
+    want = {(o, g, h) for o, g, a, b in rows for p, h, c, d in rows if o == p and g < h and None not in (a, c) and g != 98 != h and min(b, d) - max(a, c) > 0}
+    genes = spark.createDataFrame(rows, "organism_id int, gene_id int, gene_start int, gene_end int")
+    for width in (7, 500, 100_000):
+        assert {tuple(r) for r in pairs.overlapping_genes(genes, width).collect()} == want
+    assert pairs.overlapping_genes(genes.limit(0)).isEmpty()
+
+
 def test_clans_and_main(spark):
     rows = spark.createDataFrame([(1, "g", "D1", 1e-5, 1), (1, "g", "D2", 1e-5, 2), (1, "g", "D3", 1e-5, 3)], "organism_id int, gene_id string, domain_id string, evalue double, line_no int")
     clans = spark.createDataFrame([("D1", "A"), ("D2", "A")], "domain_id string, clan_id string")
@@ -78,6 +132,79 @@ def test_tree_numbers_and_labels(spark):
     assert text.labelled_tree(spark, "(2__a:1,1__b:2);").where("parent_id is null").first()["node_id"] == 0
 
 
+def caterpillar(n):
+    """Inner nodes 0 to n - 2 in a chain, a leaf at each and two at the last; branches from the numbers, some of length 0."""
+    rows = [(0, None, 0.0, None, False, 0)]
+    for k in range(1, n - 1):
+        rows.append((k, k - 1, 0.5 + k % 7, None, False, k))
+    for k in range(n):
+        up = min(k, n - 2)
+        rows.append((n + k, up, float(k % 5), f"o{k}", True, up + 1))
+    return rows
+
+
+def test_deep_trees_by_loops(spark):
+    """A caterpillar of 2,000 leaves: numbers, weights and lengths as a plain walk gives them, in a bounded number of jobs."""
+    n = 2_000
+    rows = caterpillar(n)
+    t = tree.numbered(spark.createDataFrame(rows, "node_id long, parent_id long, dist double, organism_id string, is_leaf boolean, depth int"))
+    new = {(r["organism_id"] or ("inner", r["depth"])): r for r in t.collect()}
+    place = sorted(rows, key=lambda r: (r[5], not (r[0] < n), r[0]))  # in each level the inner node, whose number is smaller, comes first
+    total = len(rows)
+    assert all(new[r[3] or ("inner", r[5])]["node_id"] == (total - k if k else 0) for k, r in enumerate(place))
+    height = n - 1
+    score, sums = {}, {}
+    for k in range(n - 2, -1, -1):  # from the lowest inner node up
+        here = {n + j: (r[2] or tree.SMALLEST) for j, r in enumerate(rows[n - 1 :]) if r[1] == k}
+        if k + 1 <= n - 2:
+            d, whole = rows[k + 1][2], sums[k + 1]
+            here |= {leaf: x + d * x / whole for leaf, x in score[k + 1].items()}
+        score[k], sums[k] = here, sum(here.values())
+    got = tree.subclade_scores(t, height)
+    ids = {new[("inner", k)]["node_id"]: k for k in range(n - 1)}
+    assert got.count() == sum(len(x) for x in score.values()) + n
+    root = {r["organism_id"]: r["score"] for r in got.where("node_id = 0").collect()}
+    assert root == pytest.approx({f"o{leaf - n}": x for leaf, x in score[0].items()}, rel=1e-9)
+    some = [i for i, k in ids.items() if k % 400 == 7]
+    for r in got.where(F.col("node_id").isin(some)).groupBy("node_id").agg(F.sum("score").alias("s"), F.count("*").alias("n")).collect():
+        assert (r["s"], r["n"]) == (pytest.approx(sums[ids[r["node_id"]]], rel=1e-9), len(score[ids[r["node_id"]]]))
+    length = {r["node_id"]: r["branch_length"] for r in tree.branch_sums(t, height).collect()}
+    below = {n - 2: 0.0}
+    for k in range(n - 2, -1, -1):
+        below[k] = sum(r[2] for r in rows[n - 1 :] if r[1] == k) + (below[k + 1] + rows[k + 1][2] if k < n - 2 else 0.0)
+    assert length == pytest.approx({i: below[k] for i, k in ids.items()})
+    reach = sum(r[2] for r in rows[1 : n - 1])
+    assert tree.diameter(t, height).first()[0] == pytest.approx(max(rows[n - 1][2] + reach + max(rows[-1][2], rows[-2][2]), max(rows[n - 1 + j][2] + sum(r[2] for r in rows[1 : min(j, n - 2) + 1]) for j in range(1, n)) + rows[n - 1][2]))
+
+
+def test_roll_up_in_deep_trees(spark):
+    """Plain and weighted sums of every node of a caterpillar, and their pruning, against the table of leaves in nodes."""
+    n = 40
+    t = tree.numbered(spark.createDataFrame(caterpillar(n), "node_id long, parent_id long, dist double, organism_id string, is_leaf boolean, depth int"))
+    height = n - 1
+    rng = np.random.default_rng(8)
+    own = [(f"o{k}", a, b, -float(rng.random() * 9), int(rng.integers(1, 4)), 1, 2, 3) for k in range(n) for a in range(4) for b in range(a + 1, 4) if rng.random() < 0.3]
+    own = spark.createDataFrame(own, "organism_id string, domain1 int, domain2 int, exp_prob double, occurrences long, fusions long, n_genes1 long, n_genes2 long")
+    uniform = spark.createDataFrame([(f"o{k}", -5.0 - k / 7) for k in range(n)], "organism_id string, log_uni_prob double")
+    closure = tree.closure_weights(tree.subclade_scores(t, height))
+    columns = ["subclade_id", "domain1", "domain2", "occurrences", "fusions", "n_genes1", "n_genes2", "n_organisms", *[F.round(c, 6).alias(c) for c in ("log_exp", "log_uni", "prob")]]
+    for weighted in (False, True):
+        got = subclades.rolled_up(own, uniform, t, height, weighted=weighted)
+        want = subclades.conserved_subclades(own, uniform, closure, weighted)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    flags = {(r["subclade_id"], r["domain1"], r["domain2"]): r["is_split"] for r in subclades.split_flags(got, t).collect()}
+    rows = {(r["subclade_id"], r["domain1"], r["domain2"]): r["prob"] for r in got.collect()}
+    up = {r["node_id"]: r["parent_id"] for r in t.collect()}
+    want = {}
+    for (node, a, b), p in rows.items():
+        at = node
+        while at is not None and (at, a, b) in flags and not flags[at, a, b]:
+            at = up[at]
+        if at is not None:
+            want[node, a, b] = rows[at, a, b]
+    assert {(r["subclade_id"], r["domain1"], r["domain2"]): r["prob"] for r in subclades.prune(got, t, height).collect()} == want
+
+
 def test_self_joins_of_large_keys(spark):
     kept = spark.range(300).selectExpr("id % 2 organism_id", "id domain_id", "id gene_id")
     a, b = kept.toDF("organism_id", "d1", "g1"), kept.toDF("organism_id", "d2", "g2")
@@ -94,7 +221,7 @@ def test_empty_tables(spark):
     assert ontology.go_pair_annotations(kept, process).isEmpty() and ontology.non_go_pairs(kept, process).isEmpty() and hits.gene_pool(kept).isEmpty()
     assert fit.em_fit(f.org_histogram.limit(0)).isEmpty() and resample.bin_counts(f.subclades.limit(0)).isEmpty()
     assert resample.bootstrap_means(spark.createDataFrame([], "rate double, phi double"), ["rate", "phi"], 10).isEmpty()
-    assert tree.leaf_distances(f.tree.limit(0), 3).isEmpty() and subclades.prune(f.subclades.limit(0), f.tree, tree.ancestors(f.tree, 3)).isEmpty()
+    assert tree.leaf_distances(f.tree.limit(0), 3).isEmpty() and subclades.prune(f.subclades.limit(0), f.tree, 3).isEmpty()
 
 
 def test_observed_bins_by_a_plain_count(spark):
@@ -211,5 +338,5 @@ def test_against_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    rows = lambda df: sorted(tuple(None if v != v else v for v in r) for r in df[columns].astype(object).itertuples(index=False))
+    rows = lambda df: sorted((tuple(None if v != v else v for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=lambda r: [(v is None, v) for v in r])
     assert rows(got) == rows(want)

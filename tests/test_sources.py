@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colocus.functions import scalar as h
 from colocus.jobs import predict
 from colocus.operators import tree
-from colocus.sources import sinks, stored, text
+from colocus.sources import commits, sinks, stored, text
 
 RECORD = """LOCUS       {0}   {1} bp    DNA
 FEATURES             Location/Qualifiers
@@ -59,24 +59,57 @@ def test_genomes(spark, genomes):
     assert stored.genes_of(spark, str(genomes / "out/genes"), ["two"]).count() == 6
 
 
+NEWICK = "((one:1,two:2):3,three:4);"
+
+
+def rows_of(df):
+    return sorted(str(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+
+
 def test_predict_goes_on(spark, genomes):
+    """A second run computes only what came since: a new organism, and hits that came after their genome."""
     args = [str(genomes / x) for x in ("gbk", "hits", "clans.tsv", "out")]
-    newick = "((one:1,two:2):3,three:4);"
     (genomes / "hits/three.hits").rename(genomes / "three.kept")
-    first = predict.predict(spark, *args).collect()
-    assert {r["n_organisms"] for r in first} == {2}
+    (genomes / "gbk/deep/two.gbk").rename(genomes / "two.kept")
+    assert {r["n_organisms"] for r in predict.predict(spark, *args).collect()} == {1}
+    (genomes / "two.kept").rename(genomes / "gbk/deep/two.gbk")
+    assert {r["n_organisms"] for r in predict.predict(spark, *args).collect()} == {2}
     (genomes / "three.kept").rename(genomes / "hits/three.hits")
-    sinks_done = spark.read.parquet(args[3] + "/likelihoods/pairs").count()
-    spark.read.parquet(args[3] + "/likelihoods/uniform").where("organism_id <> 'three'").coalesce(1).write.parquet(str(genomes / "kept"))
-    spark.read.parquet(str(genomes / "kept")).write.mode("overwrite").parquet(args[3] + "/likelihoods/uniform")
-    second = predict.predict(spark, *args, newick=newick).collect()
-    assert spark.read.parquet(args[3] + "/likelihoods/pairs").count() == sinks_done * 3 // 2
-    whole = {tuple(r) for r in predict.predict(spark, *args, newick=newick, force=True).collect()}
-    assert {tuple(r) for r in second} == whole and max(r["n_organisms"] for r in second) == 3
+    got = predict.predict(spark, *args, newick=NEWICK, weighted=True)
+    fresh = predict.predict(spark, *args[:3], str(genomes / "fresh"), newick=NEWICK, weighted=True)
+    assert rows_of(got) == rows_of(fresh) and max(r["n_organisms"] for r in got.collect()) == 3
+    done = spark.read.parquet(args[3] + "/likelihoods/done")
+    assert done.groupBy("at").agg(F.array_join(F.sort_array(F.collect_list("organism_id")), ",").alias("x")).orderBy("at").collect() == [(0, "one,three"), (1, "two"), (2, "three")]
+    before = done.count()
+    whole = rows_of(predict.predict(spark, *args))
+    assert spark.read.parquet(args[3] + "/likelihoods/done").count() == before and rows_of(predict.predict(spark, *args, force=True)) == whole
+    (genomes / "hits/two.hits").write_text("# none\n")  # changed inputs count, and so do files that are gone
+    (genomes / "gbk/one_gen2.gbk").rename(genomes / "one.kept")
+    assert {r["n_organisms"] for r in predict.predict(spark, *args).collect()} == {1}
+    (genomes / "one.kept").rename(genomes / "gbk/one_gen2.gbk")
+    with pytest.raises(ValueError, match="two"):
+        predict.predict(spark, *args, newick=NEWICK, strict=True)
     assert sinks.subclades_done(spark, args[3] + "/composition").count() == 5 and not sinks.is_empty(spark, args[3] + "/conserved")
     read = text.labelled_tree(spark, spark.read.text(args[3] + "/tree").first()[0])
     assert read.where("is_leaf").count() == 3 and stored.root_weights(spark, args[3] + "/weights").count() == 3
-    assert {r["prob_code"] for r in predict.predict(spark, *args, newick=newick, weighted=True).collect()}
+
+
+@pytest.mark.parametrize("crash", ["pairs", "marker"])
+def test_predict_after_a_crash(spark, genomes, monkeypatch, crash):
+    """A run that dies after a table, or just before its marker, counts for nothing; the next one makes it good."""
+    args = [str(genomes / x) for x in ("gbk", "hits", "clans.tsv", "out")]
+    fresh = rows_of(predict.predict(spark, *args[:3], str(genomes / "fresh")))
+    write, mark = commits.Batches.write, commits.Batches._mark
+    with monkeypatch.context() as m:
+        if crash == "marker":
+            m.setattr(commits.Batches, "_mark", lambda *a: 1 / 0)
+        else:
+            m.setattr(commits.Batches, "write", lambda self, organisms, **tables: write(self, organisms, **{"pairs": tables["pairs"], "uniform": None}))
+        with pytest.raises((ZeroDivisionError, AttributeError)):
+            predict.predict(spark, *args)
+    assert mark is commits.Batches._mark
+    assert rows_of(predict.predict(spark, *args)) == fresh
+    assert spark.read.parquet(args[3] + "/likelihoods/pairs").select("batch").distinct().count() == 2
 
 
 def test_mappings(spark, tmp_path):
