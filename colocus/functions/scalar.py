@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: mixed() gives whole numbers from 0 up to MODULUS (a prime). Its rounds as (factor, mask) are fixed values that SQL uses too.
+MODULUS = 2147483647
+KEY_FACTORS = (69069, 1640531527, 12345)
+ROUND = (1999999973, 0x2545F491)
+LAST_ROUNDS = ((1812433253, 0x14057B7E), (1103515245, 0x369DEA0F))
 #: Log density given to genomes too small for a uniform model.
 TINY = 1e-20
 
@@ -102,3 +110,34 @@ def log_spaced(low: float, high: float, n: int) -> list[float]:
     if low <= 0 or high <= low:
         raise ValueError("bounds must be positive and in order")
     return [low] if n == 1 else [low * (high / low) ** (k / (n - 1)) for k in range(n)]
+
+
+def _round(h, factor: int, mask: int):
+    """A product modulo a prime of h with some bits turned, which no sum of keys passes through in line."""
+    turned = h.bitwiseXOR(F.lit(mask).cast("long")) if isinstance(h, Column) else h ^ mask
+    return turned * factor % MODULUS
+
+
+def mixed(seed: int, *keys):
+    """A whole number from 0 up to MODULUS that the keys decide, by arithmetic that every engine has.
+
+    Keys are whole numbers, columns of such or numpy arrays, from 0 up to 2**31.
+    """
+    a, b, c = KEY_FACTORS
+    h = seed % MODULUS if isinstance(seed, int) else seed
+    for key in keys:
+        key = key.cast("long") if isinstance(key, Column) else key
+        h = _round((h * a + key * b + c) % MODULUS, *ROUND)
+    for last in LAST_ROUNDS:
+        h = _round(h, *last)
+    return h
+
+
+def poisson_count(number: Column, most: int = 12) -> Column:
+    """A count of mean 1 from a number that is even from 0 up to MODULUS; more than `most` has no chance worth a bit."""
+    share, below, limits = math.exp(-1), 0.0, []
+    for k in range(most):
+        below += share
+        limits.append(int(below * MODULUS))
+        share /= k + 1
+    return reduce(lambda x, y: x + y, [(number >= limit).cast("int") for limit in limits])

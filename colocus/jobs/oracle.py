@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+from ..functions.scalar import KEY_FACTORS, LAST_ROUNDS, MODULUS, ROUND
+from ..operators.resample import SEED
+
 R, P = "0.0004931", "0.07225"
 
 
@@ -35,6 +40,65 @@ def _step(key: str, rows: str) -> str:
     return f"select {key}, sum(n * zeta) / sum(n * zeta * distance) rate, sum(n * zeta) / sum(n) phi, sum(n * ln(ee + uu)) log_likelihood, sum(n)::bigint n_pairs from {_zeta(rows, key, R, P)} group by {key}"
 
 
+def _mixed(h: str, *keys: str) -> str:
+    """scalar.mixed in SQL."""
+    a, b, c = KEY_FACTORS
+    turn = lambda h, factor, mask: f"(xor({h}, {mask}) * {factor} % {MODULUS})"
+    h = f"{h}::bigint"
+    for key in keys:
+        h = turn(f"(({h} * {a} + ({key})::bigint * {b} + {c}) % {MODULUS})", *ROUND)
+    for last in LAST_ROUNDS:
+        h = turn(h, *last)
+    return h
+
+
+def _count(number: str) -> str:
+    """scalar.poisson_count in SQL: limits by the sum of the shares e^-1 / k!."""
+    limits = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * MODULUS) for k in range(12)]
+    return "(" + " + ".join(f"({number} >= {x})::int" for x in limits) + ")"
+
+
+def _resamples(weight: str) -> str:
+    return (
+        f"with drawn as materialized (select sample, rate, phi, {weight}::double * {_count('number')} k from (select s.*, weight, sample, {_mixed(str(SEED), 'sample', 'organism_id')} number"
+        " from sound s join (select organism_id, weight from closure where subclade_id = 0) using (organism_id), range(300) r(sample))),"
+        " means as (select sample, sum(k * rate) / nullif(sum(k), 0) rate, sum(k * phi) / nullif(sum(k), 0) phi from drawn group by sample)"
+        " select sample, 'rate' parameter, round(rate, 8) mean from means union all select sample, 'phi', round(phi, 8) from means"
+    )
+
+
+def _permutations(weight: str) -> str:
+    far = _distance("g1.gene_start", "g1.gene_end", "g2.gene_start", "g2.gene_end", "g1.size", "g1.gene_idx = g2.gene_idx")
+    return f"""with members as materialized (select subclade_id, organism_id, weight, row_number() over (partition by subclade_id order by organism_id) - 1 place from closure),
+      sizes as (select subclade_id, count(*) n from members group by subclade_id),
+      drawn as (
+        select subclade_id, bin, perm, ({_mixed(str(SEED), 'subclade_id', 'bin', 'perm', 'j')} * n) // {MODULUS} place
+        from (select subclade_id, bin, n, perm, unnest(range(bin)) j from bins join sizes using (subclade_id), range(2) p(perm))),
+      counted as materialized (select subclade_id, bin, perm, place, count(*) m from drawn group by all),
+      firsts as (
+        select subclade_id, bin, perm, place first_place from counted
+        qualify row_number() over (partition by subclade_id, bin, perm order by {_mixed(str(SEED + 1), 'subclade_id', 'bin', 'perm', 'place')}, place) = 1),
+      top as (select max(greatest(distance, 0)) t from leaf_dist),
+      placed as materialized (
+        select c.*, a.organism_id, a.weight, c.place = f.first_place is_first,
+          case when c.place = f.first_place then 1.0::double / m else (1 - (greatest(d.distance, 0) / t * (1 - 1e-4::double) + 1e-4::double)) / m end stays
+        from counted c join firsts f using (subclade_id, bin, perm) join members a on a.subclade_id = c.subclade_id and a.place = c.place join members b on b.subclade_id = c.subclade_id and b.place = f.first_place
+        left join leaf_dist d on d.organism1 = least(a.organism_id, b.organism_id) and d.organism2 = greatest(a.organism_id, b.organism_id), top),
+      hashed as (select *, {_mixed(str(SEED + 2), 'subclade_id', 'bin', 'perm', 'place')} h, unnest(range(m)) k from placed),
+      chosen as (select *, {_mixed('h', 'k')} draw from hashed),
+      genes_of as (select organism_id, count(*) n_genes from pool group by organism_id),
+      picked as materialized (
+        select c.*, draw::double / {MODULUS} >= stays and not (is_first and k = 0) moved, ({_mixed('draw', '1')} * n_genes) // {MODULUS} i1, ({_mixed('draw', '2')} * n_genes) // {MODULUS} i2
+        from chosen c join genes_of using (organism_id)),
+      far as (
+        select p.*, case when moved then {far} else g1.gene_end - g1.gene_start + g2.gene_end - g2.gene_start + 2 end d
+        from picked p join pool g1 on g1.organism_id = p.organism_id and g1.gene_idx = i1 join pool g2 on g2.organism_id = p.organism_id and g2.gene_idx = i2),
+      sums as (
+        select subclade_id, bin, perm, sum({weight} * (ln({R}) - {R} * d)) log_exp, sum({weight} * log_uni_prob) log_uni, sum(moved::int)::double / count(*) moved
+        from far join uniform using (organism_id) group by all)
+      select subclade_id, bin, perm, round(log_exp, 3) log_exp, round(log_uni, 3) log_uni, round(moved, 6) moved, round({_posterior()}, 6) prob from sums"""
+
+
 CTES = f"""
 genes as (
   select o_custkey organism_id, case when o_orderkey % 5 = 0 then 'plasmid' else 'chr' end molecule_id, o_orderkey gene_id,
@@ -195,6 +259,7 @@ FINAL = {
     "go_gene_pairs": "select * from go_pairs",
     "go_pair_annotations": "select organism_id, gene1, gene2, array_to_string(list_sort(list_distinct(list(go_id))), ',') go_ids, array_to_string(list_sort(list_distinct(list_concat(list(d1), list(d2)))), ',') domain_ids from (select a.organism_id, a.gene_id gene1, b.gene_id gene2, a.go_id, a.domain_id d1, b.domain_id d2 from entries a join entries b on a.organism_id = b.organism_id and a.go_id = b.go_id and a.gene_id <= b.gene_id) group by organism_id, gene1, gene2",
     "non_go_pairs": "select a.organism_id, a.gene_id gene1, b.gene_id gene2 from pos a join pos b on a.organism_id = b.organism_id and a.gene_id <= b.gene_id except select organism_id, gene1, gene2 from go_pairs",
+    "non_go_distance_histogram": f"select organism_id, distance, count(*) n from (select a.organism_id, {_distance('a.gene_start', 'a.gene_end', 'b.gene_start', 'b.gene_end', 'a.size', 'a.gene_id = b.gene_id')} distance from pos a join pos b on a.organism_id = b.organism_id and a.gene_id <= b.gene_id anti join go_pairs g on g.organism_id = a.organism_id and g.gene1 = a.gene_id and g.gene2 = b.gene_id) group by all",
     "go_distance_histogram": "select organism_id, distance, count(*) n from go_dist group by all",
     "distance_bins": "select bin, n, round(n / (sum(n) over () * 900.0::double), 10) density from (select distance // 900 bin, count(*) n from go_dist group by all)",
     "em_one_step": "select nation, round(rate, 9) rate, round(phi, 6) phi, round(log_likelihood, 3) log_likelihood, n_pairs from nation_step",
@@ -207,6 +272,10 @@ FINAL = {
     "unmatched_hits": "select organism_id, gene_id, domain_id, line_no from hits where gene_id % 7 = 0",
     "conserved_sum_check": f"select 0::bigint subclade_id, {_CONS} from (select *, {_posterior()} prob from (select domain1, domain2, {_sums('1.0::double')} from joined group by all))",
     "weighted_param_mean": "select round(sum(weight * rate) / sum(weight), 9) rate, round(sum(weight * phi) / sum(weight), 6) phi from closure left join org_step using (organism_id) where subclade_id = 0",
+    "param_resamples": _resamples("1"),
+    "param_resamples_weighted": _resamples("weight"),
+    "permutation_probs": _permutations("1"),
+    "permutation_probs_weighted": _permutations("weight"),
     "param_spread": "select parameter, round(avg(v), 9) mean, round(stddev_pop(v), 9) sd, round(quantile_cont(v, 0.025), 9) p2_5, round(quantile_cont(v, 0.975), 9) p97_5 from own_values group by parameter",
     "param_histogram": "select parameter, bin, round(lo + bin * (hi - lo) / 50, 9) low, count(*) n, round(count(*) / (total * ((hi - lo) / 50)), 3) density from (select *, least(floor((v - lo) / ((hi - lo) / 50)), 49)::bigint bin from (select *, min(v) over w lo, max(v) over w hi, count(*) over w total from own_values window w as (partition by parameter))) group by parameter, bin, lo, hi, total",
     "fitted_density": "select organism_id, point::int point, round(half * point / 999, 3) distance, round(phi * rate * exp(-rate * (half * point / 999)) + (1 - phi) / half, 10) density from (select s.*, length / 2.0::double half from sound s join main using (organism_id)), range(1000) r(point)",
@@ -221,7 +290,11 @@ FINAL = {
     "conserved_weighted": f"select {_CONS} from (select *, {_posterior()} prob from (select domain1, domain2, {_sums('weight')} from joined join closure using (organism_id) where subclade_id = 0 group by all))",
     "conserved_subclades": f"select subclade_id, {_CONS} from sub",
     "conserved_subclades_weighted": f"select subclade_id, {_CONS} from (select *, {_posterior()} prob from (select subclade_id, domain1, domain2, {_sums('weight')} from joined join closure using (organism_id) group by all))",
-    "pair_split": "select * from flags",
+    "pair_split": "with leaf as materialized (select region, nation, organism_id, domain1, domain2, count(*) o from closest join lineage using (organism_id) group by all),"
+    " nation_ as materialized (select region, nation, domain1, domain2, sum(o) o, max(o) most from leaf group by all),"
+    " region_ as materialized (select region, domain1, domain2, sum(o) o, max(o) most from nation_ group by all), root_ as (select domain1, domain2, sum(o) o, max(o) most from region_ group by all)"
+    " select node_id subclade_id, domain1, domain2, o <> most is_split from nation_ n join tree t on t.depth = 2 and t.nation = n.nation"
+    " union all select node_id, domain1, domain2, o <> most from region_ n join tree t on t.depth = 1 and t.region = n.region union all select 0, domain1, domain2, o <> most from root_",
     "pruned_subclades": "select subclade_id, domain1, domain2, occurrences, fusions, n_genes1, n_genes2, n_organisms, round(prob, 6) prob from pruned",
     "occurrence_bins": "select domain1, domain2, occurrences, case when occurrences >= 5 * b then 5 * b else b end single_bin, array_to_string(list_filter([b, case when occurrences >= 5 * b then 5 * b end, case when b >= 10 then b // 2 end], lambda x: x is not null), ',') bins from (select *, pow(10, floor(log10(occurrences) + 1e-12))::bigint b from (select domain1, domain2, sum(occurrences)::bigint occurrences from organism group by all))",
     "bin_pairs": "select subclade_id, bin, n_pairs, round(mean_prob, 5) mean_prob from bins",
@@ -233,4 +306,4 @@ FINAL = {
     "incremental_todo": "select distinct organism_id from organism where organism_id not in (select organism_id from lineage where region < 2)",
 }
 
-SQL = {name: f"with {CTES.strip()}\n{final}" for name, final in FINAL.items()}
+SQL = {name: f"with {CTES.strip()}{',' + final.removeprefix('with') if final.startswith('with ') else chr(10) + final}" for name, final in FINAL.items()}

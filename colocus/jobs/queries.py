@@ -98,10 +98,19 @@ def leaf_distances(f: Flow, norm: bool = False) -> DataFrame:
     return tree.normalised(d).select("organism1", "organism2", _r("norm_distance")) if norm else d.select("organism1", "organism2", _r("distance"))
 
 
-def permutation_draws(f: Flow) -> DataFrame:
+def permutation_draws(f: Flow, weighted: bool = False, n_perm: int = 10_000) -> DataFrame:
     """Permutations of all bins of all subclades."""
     bins = resample.bin_counts(f.subclades)
-    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT))
+    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT), n_perm=n_perm, weights=f.closure if weighted else None)
+
+
+def few_permutations(f: Flow, weighted: bool = False) -> DataFrame:
+    """The first permutations of every bin as they are, few enough for SQL to follow draw by draw."""
+    found = permutation_draws(f, weighted, FEW_PERMUTATIONS)
+    return found.select("subclade_id", "bin", "perm", _r("log_exp", 3), _r("log_uni", 3), _r("moved"), _r("prob"))
+
+
+FEW_PERMUTATIONS, FEW_SAMPLES = 2, 300
 
 
 def permutation_stats(f: Flow) -> DataFrame:
@@ -150,6 +159,12 @@ def param_bootstrap(f: Flow) -> DataFrame:
     return resample.bootstrap_summary(resample.bootstrap_means(f.fitted.join(f.root.select("organism_id", "weight"), "organism_id"), ["rate", "phi"], weight="weight"))
 
 
+def step_bootstrap(f: Flow, samples: int, weight: str | None) -> DataFrame:
+    """Resamples of the organisms' own step of the fit, which SQL can follow."""
+    sound = f.org_step.where("rate > 0 and not isnan(rate)").join(f.root.select("organism_id", "weight"), "organism_id")
+    return resample.bootstrap_means(sound, ["rate", "phi"], samples, weight=weight).select("sample", "parameter", _r("mean", 8))
+
+
 def fitted_means(f: Flow) -> DataFrame:
     """Plain and weighted means of the organisms' fitted parameters, and what their own agree with."""
     return fit.means(f.fitted).withColumn("kind", F.lit("plain")).unionByName(fit.weighted_means(f.fitted, f.root).withColumn("kind", F.lit("weighted")))
@@ -178,6 +193,7 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "go_gene_pairs": lambda f: f.go_pairs,
     "go_pair_annotations": lambda f: ontology.go_pair_annotations(f.kept, f.process).select("organism_id", "gene1", "gene2", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("go_ids", "domain_ids")]),
     "non_go_pairs": lambda f: ontology.non_go_pairs(f.kept, f.process),
+    "non_go_distance_histogram": lambda f: fit.other_pairs_histogram(fit.all_pairs_histogram(f.genes), fit.histogram(f.go_distances)),
     "go_distance_histogram": lambda f: fit.histogram(f.go_distances),
     "distance_bins": lambda f: fit.binned(f.go_distances).select("bin", "n", F.round("density", 10).alias("density")),
     "em_one_step": lambda f: f.nation_params.select("nation", F.round("rate", 9).alias("rate"), _r("phi"), _r("log_likelihood", 3), "n_pairs"),
@@ -210,6 +226,8 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "gene_pool": lambda f: hits.gene_pool(f.kept).select("organism_id", "gene_idx", "gene_id", "gene_start", "gene_end", "size", _r("weight")),
     "branch_length_sum": lambda f: tree.branch_sums(f.tree, HEIGHT).select("node_id", _r("branch_length", 6), _r("scaled", 5)),
     "param_bootstrap": param_bootstrap,
+    "param_resamples": lambda f: step_bootstrap(f, FEW_SAMPLES, None),
+    "param_resamples_weighted": lambda f: step_bootstrap(f, FEW_SAMPLES, "weight"),
     "param_spread": param_spread,
     "param_histogram": param_histogram,
     "fitted_density": fitted_density,
@@ -219,6 +237,8 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "bin_bootstrap": lambda f: resample.bin_bootstrap(f.subclades),
     "permutation_stats": permutation_stats,
     "permutation_heatmap": permutation_heatmap,
+    "permutation_probs": few_permutations,
+    "permutation_probs_weighted": lambda f: few_permutations(f, True),
     "missing_inputs": lambda f: hits.missing_inputs(f.g.molecules(), f.filtered),
     "incremental_todo": incremental_todo,
 }

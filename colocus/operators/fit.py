@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import circular_distance, exponential, log_spaced
+from .pairs import salted
 
 
 def pair_distances(pairs: DataFrame, genes: DataFrame) -> DataFrame:
@@ -18,6 +19,23 @@ def pair_distances(pairs: DataFrame, genes: DataFrame) -> DataFrame:
     return joined.withColumn("distance", circular_distance(*map(F.col, ("s1", "e1", "s2", "e2", "size")), F.col("gene1") == F.col("gene2"))).drop("s1", "e1", "s2", "e2")
 
 
+def all_pairs_histogram(genes: DataFrame) -> DataFrame:
+    """Number of an organism's unordered pairs of annotated genes at each distance, genes with themselves too.
+
+    Pairs are counted where they are made: a task sums them by distance, and only sums are shuffled.
+    """
+    g = genes.select("organism_id", "gene_id", "gene_start", "gene_end", "size").distinct()
+    a, b = g.toDF("organism_id", "gene1", "s1", "e1", "size"), g.drop("size").toDF("organism_id", "gene2", "s2", "e2")
+    met = salted(a, b, ["organism_id"]).where("gene1 <= gene2")
+    return histogram(met.select("organism_id", circular_distance(*map(F.col, ("s1", "e1", "s2", "e2", "size")), F.col("gene1") == F.col("gene2")).alias("distance")))
+
+
+def other_pairs_histogram(every: DataFrame, shared: DataFrame) -> DataFrame:
+    """The histogram of every pair less that of the pairs that share a term: that of those which share none."""
+    both = every.select("organism_id", "distance", "n").unionByName(shared.select("organism_id", "distance", (-F.col("n")).alias("n")))
+    return both.groupBy("organism_id", "distance").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def histogram(distances: DataFrame, key: str = "organism_id") -> DataFrame:
     """Number of pairs at each distance: all that the fit needs."""
     return distances.groupBy(key, "distance").agg(F.count("*").alias("n"))

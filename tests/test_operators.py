@@ -220,7 +220,7 @@ def test_empty_tables(spark):
     assert pairs.domain_pairs(kept).isEmpty() and pairs.closest_pairs(pairs.gene_pair_distances(genes)).isEmpty()
     assert ontology.go_pair_annotations(kept, process).isEmpty() and ontology.non_go_pairs(kept, process).isEmpty() and hits.gene_pool(kept).isEmpty()
     assert fit.em_fit(f.org_histogram.limit(0)).isEmpty() and resample.bin_counts(f.subclades.limit(0)).isEmpty()
-    assert resample.bootstrap_means(spark.createDataFrame([], "rate double, phi double"), ["rate", "phi"], 10).isEmpty()
+    assert resample.bootstrap_means(spark.createDataFrame([], "organism_id long, rate double, phi double"), ["rate", "phi"], 10).isEmpty()
     assert tree.leaf_distances(f.tree.limit(0), 3).isEmpty() and subclades.prune(f.subclades.limit(0), f.tree, 3).isEmpty()
 
 
@@ -250,12 +250,67 @@ def test_bootstrap_of_means(spark):
     """Mean and spread against theory; weights that are all alike change nothing."""
     rng = np.random.default_rng(2)
     x = rng.normal(5, 2, 400)
-    params = spark.createDataFrame([(float(v), 2.0) for v in x], "rate double, w double")
+    params = spark.createDataFrame([(f"o{k}", float(v), 2.0) for k, v in enumerate(x)] + [("none", None, 2.0)], "organism_id string, rate double, w double")
     plain, weighted = (resample.bootstrap_summary(resample.bootstrap_means(params, ["rate"], 20_000, weight=w)).first() for w in (None, "w"))
     assert plain["mean"] == pytest.approx(x.mean(), abs=0.01) and plain["sd"] == pytest.approx(x.std() / 20, rel=0.05)
     assert weighted["sd"] == pytest.approx(plain["sd"], rel=1e-6) and plain["p97_5"] - plain["p2_5"] == pytest.approx(4 * plain["sd"], rel=0.05)
 
 
+def test_resample_counts_by_a_plain_loop(spark):
+    """Every sample's mean from counts that a loop draws with the same numbers; any deal of the rows gives the same."""
+    x, w = [1.0, 4.0, 9.0, 2.5], [1.0, 0.5, 2.0, 1.0]
+    params = spark.createDataFrame(list(zip([3, 8, 10**9, 4], x, w, strict=True)), "organism_id long, rate double, w double")
+    want = {}
+    for sample in range(50):
+        counts = []
+        for key in (3, 8, 10**9, 4):
+            u, below, k = h.mixed(8290, sample, key) / h.MODULUS, math.exp(-1), 0
+            while u >= below:
+                k += 1
+                below += math.exp(-1) / math.factorial(k)
+            counts.append(k)
+        if any(counts):
+            want[sample] = sum(c * a * b for c, a, b in zip(counts, x, w, strict=True)) / sum(c * b for c, b in zip(counts, w, strict=True))
+    for how in ({}, {"chunk": 7, "slice_rows": 1}):
+        got = resample.bootstrap_means(params, ["rate"], 50, weight="w", **how).where("mean is not null").collect()
+        assert {r["sample"]: r["mean"] for r in got} == pytest.approx(want)
+
+
+def test_mixed_numbers(spark):
+    """Evenness of single numbers and of neighbours, and the same from columns as from arrays."""
+    a = h.mixed(8290, 0, 500, np.arange(2000)[:, None], np.arange(500))
+    tenth = a * 10 // h.MODULUS
+    for x, y in ((tenth[:, :-1], tenth[:, 1:]), (tenth[:-1], tenth[1:]), (tenth[:, :-8], tenth[:, 8:])):
+        seen = np.histogram2d(x.ravel(), y.ravel(), 10)[0]
+        assert ((seen - seen.mean()) ** 2 / seen.mean()).sum() < 160  # 99 degrees of freedom
+    got = [r[0] for r in spark.range(50).select(h.mixed(8290, F.lit(0), F.lit(500), F.lit(7), F.col("id"))).collect()]
+    assert sorted(got) == sorted(a[7, :50].tolist())
+    counts = np.array([r[0] for r in spark.range(20_000).select(h.poisson_count(h.mixed(1, F.col("id")))).collect()])
+    assert abs(counts.mean() - 1) < 0.03 and abs(counts.var() - 1) < 0.05
+
+
+def test_bin_bootstrap_by_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    p = rng.random(160).round(3)
+    table = spark.createDataFrame([(4, 1, float(x)) for x in p] + [(5, 3, 0.9)] * 20, "subclade_id long, occurrences long, prob double")
+    for fraction in (False, True):
+        got = {(r["subclade_id"], r["bin"]): r for r in resample.bin_bootstrap(table, 500, fraction=fraction).collect()}
+        codes = sorted(int(x * 1000) if x >= 0.001 else 0 for x in p.tolist())
+        kinds = sorted(set(codes))
+        draw = np.random.default_rng([resample.SEED, 4, 1])
+        values = []
+        for _ in range(500):
+            k = draw.multinomial(160, [codes.count(c) / 160 for c in kinds])
+            values.append(sum((1.0 if fraction else c) * n for c, n in zip(kinds, k.tolist(), strict=True) if c > 500) / 160)
+        values.sort()
+        r = got[4, 1]
+        assert (r["n_pairs"], r["e_4"], r["e_3"]) == (160, pytest.approx(values[-1]), pytest.approx(values[-10]))
+        assert (r["mean"], r["median"], r["pct_above"]) == pytest.approx((sum(values) / 500, (values[249] + values[250]) / 2, (sum(v > 0.5 for v in values) + 1) / 501))
+        assert r["mean"] == pytest.approx(sum((1.0 if fraction else c) for c in codes if c > 500) / 160, rel=0.05)
+        assert got[5, 1]["n_pairs"] == 20 and got[5, 1]["mean"] is None and got[5, 1]["e_3"] is None
+    assert resample.bin_bootstrap(table.limit(0)).isEmpty()
+
+
 def test_fit_of_organisms_by_a_plain_loop(spark):
     rows = spark.createDataFrame([(o, d, n, 5000.0) for o, some in {"a": [(10, 3), (200, 2), (4000, 5)], "b": [(50, 4), (900, 1), (2500, 6)]}.items() for d, n in some], "organism_id string, distance long, n long, half double")
     for r in fit.em_fit(rows, starts=3).collect():
@@ -280,9 +335,9 @@ def test_fit_of_organisms_by_a_plain_loop(spark):
 
 
 def test_permutations_use_tree_distances(spark):
-    t = text.newick_tree(spark, "(D:80,(C:50,(A:0,B:0)two:30)three:30);")
-    d = {(r["organism1"], r["organism2"]): r["norm_distance"] for r in tree.pair_distances(spark.createDataFrame([("A", "B"), ("D", "A"), ("D", "C")], "organism1 string, organism2 string"), t, 3).collect()}
-    assert d == pytest.approx({("A", "B"): 1e-4, ("D", "A"): 140 / 160 * 0.9999 + 1e-4, ("D", "C"): 1.0})
+    t = text.newick_tree(spark, "((K:12,(A:0,B:0)low:9)mid:7,D:40);")
+    d = {(r["organism1"], r["organism2"]): r["norm_distance"] for r in tree.pair_distances(spark.createDataFrame([("A", "B"), ("D", "A"), ("D", "K")], "organism1 string, organism2 string"), t, 3).collect()}
+    assert d == pytest.approx({("A", "B"): 1e-4, ("D", "A"): 56 / 59 * 0.9999 + 1e-4, ("D", "K"): 1.0})
     bins = spark.createDataFrame([(0, 2)], "subclade_id int, bin long")
     uniform = spark.createDataFrame([("A", -9.0), ("B", -9.0), ("D", -9.0)], "organism_id string, log_uni_prob double")
     pool = spark.createDataFrame([(o, i, i * 100, i * 100 + 9, 1000) for o in "ABD" for i in range(9)], "organism_id string, gene_idx long, gene_start int, gene_end int, size int")
@@ -292,7 +347,8 @@ def test_permutations_use_tree_distances(spark):
         return resample.permutations(bins, of, pool, uniform, lambda x: tree.pair_distances(x, t, 3), n_perm=200, weights=weights)
 
     near, far = (moved("A", x).agg(F.avg("moved")).first()[0] for x in "BD")
-    assert near == pytest.approx(0.125, abs=0.06) and far == pytest.approx(0.344, abs=0.06)
+    # half of the time both draws are one organism's, and the second moves with 1 - 1/2; else the other's moves with its distance
+    assert near == pytest.approx(0.125, abs=0.06) and far == pytest.approx(0.125 + 0.25 * (56 / 59), abs=0.06)
     half = spark.createDataFrame([(0, "A", 0.5), (0, "B", 0.5)], "subclade_id int, organism_id string, weight double")
     assert moved("A", "B", weights=half).select("log_uni").distinct().collect() == [(-9.0,)]
     assert resample.summary(moved("A", "B"), ["bin"]).first()["moved"] == pytest.approx(near)
@@ -330,7 +386,7 @@ def test_text_sources(spark):
     assert tuple(text.ontology_terms(stanza).first()) == ("GO:0000001", "some process", "biological_process", '"text"')
 
 
-@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs", "observed_bins", "param_histogram", "fitted_density"])
+@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs", "observed_bins", "param_histogram", "fitted_density", "conserved_subclades_weighted", "non_go_distance_histogram", "param_resamples_weighted", "permutation_probs_weighted"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem".split():

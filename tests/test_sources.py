@@ -157,3 +157,9 @@ def test_matrices_and_pairs(spark, tmp_path):
     assert spark.read.parquet(at("dist/go")).count() == 1 and spark.read.parquet(at("dist/non_go")).isEmpty()
     one = spark.range(1).select(h.label_code(F.lit("GCF_abc.1 x")).alias("code"), h.decimal_log(F.lit(1000.0)).alias("log"), h.decimal_log(F.lit(0.0)).alias("none")).first()
     assert tuple(one) == ("abc", pytest.approx(3), None)
+
+
+def test_domain_details(spark):
+    lines = spark.createDataFrame([("PF00001\tCL1\tclan\tname\ttext",), ("PF00002\t\t\tname2\tmore",)], "value string")
+    got = {r["domain_id"]: r["details"] for r in text.domain_details(lines).collect()}
+    assert got == {"00001": ["CL1", "clan", "name", "text"], "00002": ["", "", "name2", "more"]}
