@@ -2,8 +2,11 @@
 
 A first pass hashes the element subtrees; Spark counts in how many different texts of its host each
 occurs, apart for those in and those outside an article. A second pass drops the subtrees that recur in
-some texts of the host, and elements that never hold an article's text (by tag, role or class), and
-returns the blocks left. Articles are a hint only: outside them short blocks that are no sentence go.
+texts of the host, and elements that never hold an article's text (by tag, role or class), and
+returns the blocks left. Prose recurs too, so what looks like prose has to recur on most of the site: an
+element without attributes and links goes only outside articles and if at least half of the host's texts
+have it; within articles only containers with attributes or links go, and none that holds a headline.
+Articles are a hint only: outside them short blocks that are no sentence go, but for headlines.
 """
 
 from __future__ import annotations
@@ -33,10 +36,16 @@ ASIDE_WORDS = (
     "footer gdpr header login masthead menu* modal nav navbar navigation newsletter notice* notification* overlay pagination pager popup* promo* related* "
     "reply replies respond search share sharing sidebar* sidenav signup skip social* sponsor* subscribe* toolbar widgets".split()
 )
+#: Further words that such a class or id may have beside them: it has to have no others.
+NEUTRAL_WORDS = frozenset(
+    "and area article articles bar block body bottom box btn button buttons center column container content copyright description entry extra fixed float footnote global group head holder icon icons "
+    "image img inline inner item items js large left line link links list lists main media meta mini mobile module network networks outer page pages panel post posts primary right row rows secondary "
+    "section sections site slot small sticky story stories tag tags text the title top unit web wide widget wrap wrapper".split()
+)
+#: Elements that may be a site's block within an article, if they have attributes or links.
+CONTAINERS = frozenset("center details div dl fieldset figure ol section table ul".split())
 ARTICLE = frozenset(("article", "main"))
 KEPT = ARTICLE | {"html", "body"}
-#: Elements that go only with their list or table when in an article, whose cells and items are often alike.
-PARTS = frozenset("li dt dd tr td th".split())
 _SCOPE = frozenset("article aside blockquote body button div dd dl fieldset figure footer form header html li main nav ol section table td th ul".split())
 _SIBLINGS = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table"))}
 
@@ -64,20 +73,28 @@ def _is_aside(tag: str, attributes: str) -> bool:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         value = _STATE.sub(" ", value)
-        if name in ("class", "id", "role") and any(map(_ASIDE.fullmatch, _WORD.findall(value))):
+        if name in ("class", "id", "role") and any(map(_names_aside, value.split())):
             return True
     return False
 
 
+def _names_aside(token: str) -> bool:
+    """Whether a class names such an element: by one word at least, and by no other word but neutral ones and numbers."""
+    words = _WORD.findall(token)
+    named = [_ASIDE.fullmatch(w) is not None for w in words]
+    return any(named) and all(n or w in NEUTRAL_WORDS or w[0].isdigit() for n, w in zip(named, words, strict=True))
+
+
 def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str], set[int]]:
     """The blocks of a page's main text, and the hashes of its deletable element subtrees with text.
 
-    Subtrees with a hash in recurring are left out. Articles and what is around them cannot be.
+    Subtrees with a hash in recurring are left out. Articles and what is around them cannot be. The hash of
+    an element that may be prose is odd.
     """
     blocks: list[str] = []
-    marks: list[bool] = []  # whether a block is in an article
+    marks: list[bool] = []  # whether a block is in an article or is a headline
     hashes: set[int] = set()
-    stack: list[list] = []  # tag, digests of children (an inline element's are its parent's), blocks before it, aside, protected
+    stack: list[list] = []  # tag, digests of children (an inline element's are its parent's), blocks before it, aside, protected, attributes or links, headline
     places: dict[str, list[int]] = {}  # of the open elements of each tag on the stack
     scopes: list[int] = []  # of those that a paragraph does not reach across
     text: list[str] = []
@@ -94,7 +111,7 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
             if line:
                 if not aside:
                     blocks.append(line)
-                    marks.append(inside > 0)
+                    marks.append(inside > 0 or bool(places.get("h1")))
                 if stack:
                     stack[-1][1].append(xxh3_64_digest(line.encode("utf-8", "surrogatepass")))
 
@@ -102,11 +119,14 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
         """Ends all elements from place k of the stack."""
         nonlocal inside, aside, guarded
         while len(stack) > k:
-            tag, children, before, is_aside, protected = stack[-1]
+            tag, children, before, is_aside, protected, formed, headed = stack[-1]
             if tag in BLOCK:
                 flush()
             stack.pop()
             places[tag].pop()
+            if stack:
+                stack[-1][5] |= tag == "a" or (formed and tag not in ARTICLE)
+                stack[-1][6] |= headed or tag == "h1"
             if scopes and scopes[-1] == len(stack):
                 scopes.pop()
             guarded = min(guarded, len(stack))
@@ -116,8 +136,9 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
             if tag not in BLOCK:
                 continue
             key = tag.encode() + b"".join(children)
-            if len(blocks) > before and not protected and tag not in KEPT and not (inside and tag in PARTS):
-                h = xxh3_64_intdigest(b"+" + key if inside else key) >> 1
+            site = tag in CONTAINERS and formed
+            if len(blocks) > before and not protected and tag not in KEPT and (not inside or (site and not headed)):
+                h = xxh3_64_intdigest(b"+" + key if inside else key) >> 2 << 1 | (not site)
                 hashes.add(h)
                 if h in recurring:
                     del blocks[before:], marks[before:]
@@ -186,7 +207,7 @@ def walk(html: str, recurring: frozenset[int] = frozenset()) -> tuple[list[str],
         places.setdefault(tag, []).append(len(stack))
         if tag in _SCOPE:
             scopes.append(len(stack))
-        stack.append([tag, [] if tag in BLOCK or not stack else stack[-1][1], len(blocks), is_aside, tag in ARTICLE])
+        stack.append([tag, [] if tag in BLOCK or not stack else stack[-1][1], len(blocks), is_aside, tag in ARTICLE, bool(m[3].strip(" /\n\t\r\f")), False])
         aside += is_aside
         inside += tag in ARTICLE and not is_aside
     close(0)
@@ -217,8 +238,9 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), leas
     """The main text of every page: the columns in keep and text.
 
     pages has url and html; other columns count only if kept. An element subtree goes if it occurs,
-    in or else outside articles, in at least `least` different texts of its host: pages of a host with
-    the same text before this deletion are one. Every page is joined with its own recurring subtrees.
+    in or else outside articles, in at least `least` different texts of its host, and one that may be prose
+    in at least half of all: pages of a host with the same text before this deletion are one. Every page
+    is joined with its own recurring subtrees.
     Pages without a host in their url count as one host. Blocks are joined by a newline. Null or empty
     html, and pages of which nothing is left, give an empty text; an empty table gives an empty result.
     Tags that never end are text; a quote that never ends does not hide the tags after it. keep must not
@@ -230,7 +252,9 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), leas
     rows = pages.select(host.alias("host"), page.alias("page"), html.alias("html"))
     seen = staged(rows.mapInArrow(given_back(_hash), "host string, page binary, content long, subtrees array<long>"), "html-subtrees")
     votes = seen.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
-    often = staged(votes.groupBy("host", "subtree").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("host", "subtree"), "html-recurring")
+    counted = votes.groupBy("host", "subtree").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    texts = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    often = staged(counted.join(texts, "host").where("subtree % 2 = 0 or 2 * k >= texts").select("host", "subtree"), "html-recurring")
     met = seen.select("host", "page", F.explode("subtrees").alias("subtree")).join(often, ["host", "subtree"])
     lists = staged(met.groupBy(F.col("host").alias("host_"), F.col("page").alias("page_")).agg(F.sort_array(F.collect_set("subtree")).alias("recurring")), "html-lists")
     own = [f"__keep_{k}" for k in range(len(keep))]

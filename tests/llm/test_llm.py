@@ -3,6 +3,7 @@ import math
 import re
 import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -85,19 +86,62 @@ def test_html(spark):
     assert got[20] == got[21] == "" and got[22] == "Weather now"
 
 
+def article_text(html):
+    """The text of a page's only article, whose tags are closed or end with the next one's begin, by patterns alone."""
+    inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", inner)
+    return "\n".join(filter(None, (" ".join(unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts)))
+
+
+def test_html_articles_stay_whole(spark):
+    """Of every page exactly its article is left: all its paragraphs, those too that other pages of its host have, and its headline."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: article_text(r["html"]) for r in pages.collect() if r["html"]}
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert {k: got[k] for k in want} == want and len(want) > 200
+
+
+def test_html_site_blocks_in_real_pages(spark):
+    """A block of each site in its articles and one outside go; the article's own text stays to the letter."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    host = {r["page_id"]: re.match(r"https?://([^/:]*)", r["url"])[1].lower() for r in rows}
+    own = {h: f"<div class='q{k}'><p>We at site {k} thank our friends of the press.</p></div>" for k, h in enumerate(sorted(set(host.values())))}
+    links = {h: f"<section><p>More on this matter, as told by number {k}.</p><a href='/x'>Go there now, please do.</a></section>" for k, h in enumerate(own)}
+    planted = [(r["page_id"], r["url"], r["html"].replace("</h1>", "</h1>" + own[host[r["page_id"]]], 1).replace("<footer>", links[host[r["page_id"]]] + "<footer>", 1)) for r in rows]
+    texts: dict = {}
+    for r in rows:
+        texts.setdefault(host[r["page_id"]], set()).add(article_text(r["html"]))
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(planted, "page_id long, url string, html string")).collect()}
+    large = [r for r in rows if len(texts[host[r["page_id"]]]) >= 3]
+    assert len(large) > 100 and all(got[r["page_id"]] == article_text(r["html"]) for r in large)
+
+
 def test_html_counts_by_brute_force(spark):
     """The text of every page is what walk leaves with the subtrees that a plain count finds on its host."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    tail = "<p>All of this is ours.</p><div class=k><p>Read on at our place, do.</p></div>"
+    pages = [(k, f"http://{'ab'[k % 2]}.com/{k}", f"<body><h1>Head {k % 7}</h1><article><p>Own {k}.</p><p>Often told.</p><div id=z{k % 2}>Box text {k % 3}.</div></article>{tail if k % 3 else ''}</body>") for k in range(40)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
     rows = pages.collect()
-    host = {r["page_id"]: (re.match(r"https?://([^/]*)", r["url"] or "") or [None, ""])[1].lower() for r in rows}
-    seen = {r["page_id"]: html_text.walk(r["html"] or "") for r in rows}
-    texts: dict = {}
+    host = {r["page_id"]: re.match(r"https?://([^/]*)", r["url"])[1] for r in rows}
+    seen = {r["page_id"]: html_text.walk(r["html"]) for r in rows}
+    texts, of_host = {}, {}
     for page, (blocks, hashes) in seen.items():
+        of_host.setdefault(host[page], set()).add("\n".join(blocks))
         for h in hashes:
             texts.setdefault((host[page], h), set()).add("\n".join(blocks))
-    want = {r["page_id"]: "\n".join(html_text.walk(r["html"] or "", frozenset(h for h in seen[r["page_id"]][1] if len(texts[host[r["page_id"]], h]) >= 3))[0]) for r in rows}
+    goes = {x for x, t in texts.items() if len(t) >= 3 and (x[1] % 2 == 0 or 2 * len(t) >= len(of_host[x[0]]))}
+    want = {r["page_id"]: "\n".join(html_text.walk(r["html"], frozenset(h for h in seen[r["page_id"]][1] if (host[r["page_id"]], h) in goes))[0]) for r in rows}
     assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == want
-    assert any(want[page] != "\n".join(blocks) for page, (blocks, _) in seen.items())
+    assert want[1] == "Head 1\nOwn 1.\nOften told." and want[0] == "Head 0\nOwn 0.\nOften told."
+
+
+def test_html_class_names_and_headlines():
+    for name in ("share-price", "search-results-story", "related-work", "banner-years"):
+        assert html_text.walk(f"<article><p>One.</p><div class='{name}'><p>Two.</p></div></article>")[0] == ["One.", "Two."]
+        assert html_text.walk(f"<div class='{name}'><p>Two.</p></div>")[0] == ["Two."]
+    for name in ("share-buttons", "related-posts", "ad-300x250", "site-footer", "x comments", "newsletter-signup", "cookie_notice"):
+        assert html_text.walk(f"<article><p>One.</p><div class='{name}'><p>Two.</p></div></article>")[0] == ["One."]
+    assert html_text.walk("<h1>Great News</h1><article><p>Body.</p></article><p>more")[0] == ["Great News", "Body."]
 
 
 def test_html_edges(spark):
