@@ -263,6 +263,16 @@ FINAL = {
     "go_distance_histogram": "select organism_id, distance, count(*) n from go_dist group by all",
     "distance_bins": "select bin, n, round(n / (sum(n) over () * 900.0::double), 10) density from (select distance // 900 bin, count(*) n from go_dist group by all)",
     "em_one_step": "select nation, round(rate, 9) rate, round(phi, 6) phi, round(log_likelihood, 3) log_likelihood, n_pairs from nation_step",
+    "em_rounds": f"""with recursive em(organism_id, i, rate, phi, ll, live) as (
+        select organism_id, 0, {R}::double, {P}::double, null::double, true from (select distinct organism_id from org_hist)
+        union all
+        select organism_id, i + 1, case when settled then rate else mass / greatest(reach, 1e-300) end, case when settled then phi else mass / pairs end, now, not settled from (
+          select *, coalesce(abs(now - ll) <= 1e-8::double * greatest(abs(now), abs(ll)), false) settled from (
+            select organism_id, i, rate, phi, ll, sum(n * ln(ee + uu)) now, sum(n * ee / (ee + uu)) mass, sum(n * distance * ee / (ee + uu)) reach, sum(n) pairs from (
+              select *, case when e0 > 0 then e0 else coalesce(min(case when e0 > 0 then e0 end) over (partition by organism_id), 1e-300) end ee from (
+                select em.*, distance, n, em.phi * em.rate * exp(-em.rate * distance) e0, (1 - em.phi) / half uu from em join org_hist using (organism_id) where live and i < 25))
+            group by organism_id, i, rate, phi, ll)))
+      select organism_id, round(rate, 8) rate, round(phi, 6) phi, round(ll, 4) log_likelihood, i rounds from em qualify row_number() over (partition by organism_id order by i desc) = 1""",
     "zetas": f"select organism_id, distance, n, round(zeta, 6) zeta from {_zeta('org_hist', 'organism_id', R, P)}",
     "sensitivity_rates": "select organism_id, n_own, round(tpr, 6) tpr, round(fpr, 6) fpr from agreement",
     "zeta_corr": "select organism_id, case when not isnan(corr) then round(corr, 4) end corr from agreement",
@@ -306,4 +316,12 @@ FINAL = {
     "incremental_todo": "select distinct organism_id from organism where organism_id not in (select organism_id from lineage where region < 2)",
 }
 
-SQL = {name: f"with {CTES.strip()}{',' + final.removeprefix('with') if final.startswith('with ') else chr(10) + final}" for name, final in FINAL.items()}
+
+def _whole(final: str) -> str:
+    if not final.startswith("with "):
+        return f"with {CTES.strip()}\n{final}"
+    word = "with recursive" if final.startswith("with recursive") else "with"
+    return f"{word} {CTES.strip()},{final.removeprefix(word)}"
+
+
+SQL = {name: _whole(final) for name, final in FINAL.items()}

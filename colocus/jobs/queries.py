@@ -110,7 +110,7 @@ def few_permutations(f: Flow, weighted: bool = False) -> DataFrame:
     return found.select("subclade_id", "bin", "perm", _r("log_exp", 3), _r("log_uni", 3), _r("moved"), _r("prob"))
 
 
-FEW_PERMUTATIONS, FEW_SAMPLES = 2, 300
+FEW_PERMUTATIONS, FEW_SAMPLES, EM_ROUNDS = 2, 300, 25
 
 
 def permutation_stats(f: Flow) -> DataFrame:
@@ -197,6 +197,7 @@ _FLOW: dict[str, Callable[[Flow], DataFrame]] = {
     "go_distance_histogram": lambda f: fit.histogram(f.go_distances),
     "distance_bins": lambda f: fit.binned(f.go_distances).select("bin", "n", F.round("density", 10).alias("density")),
     "em_one_step": lambda f: f.nation_params.select("nation", F.round("rate", 9).alias("rate"), _r("phi"), _r("log_likelihood", 3), "n_pairs"),
+    "em_rounds": lambda f: fit.em_run(f.org_histogram, RATE, PHI, EM_ROUNDS).select("organism_id", F.round("rate", 8).alias("rate"), _r("phi"), _r("log_likelihood", 4), "rounds"),
     "em_fit": lambda f: f.fitted,
     "fitted_means": fitted_means,
     "fitted_sensitivity": lambda f: fit.agreement(f.org_histogram, f.fitted, fit.means(f.fitted)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,27 +80,71 @@ def em_step(rows: DataFrame, rate: float, phi: float, key: str = "organism_id",
     )
 
 
+def em_run(rows: DataFrame, rate, phi, rounds: int = 1000, epsilon: float = 1e-8, key: str = "organism_id") -> DataFrame:
+    """Expectation-maximisation on each key's histogram (distance, n, half) from one start until it settles.
+
+    rate and phi are numbers, or columns of rows that are the same in all rows of a key. Returns key, rate,
+    phi, log_likelihood and rounds, of which the last changed nothing where the likelihood settled: a fit then
+    stands still, whatever the others of its table do. A key's histogram is one row, which holds its different
+    distances, and all rounds are one expression over it, without a shuffle. An empty table gives an empty result.
+    """
+    start = [F.max(x if isinstance(x, Column) else F.lit(float(x))).alias(n) for n, x in (("rate_", rate), ("phi_", phi))]
+    held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("distance").cast("double").alias("x"), F.col("n").cast("double").alias("n")))).alias("h"), F.max("half").alias("half"), F.sum("n").cast("double").alias("all_"), *start)
+
+    def total(values: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + of(v))
+
+    def step(state: Column, _: Column) -> Column:
+        q, p = state["rate"], state["phi"]
+        raw = F.transform(F.col("h"), lambda v: F.struct(v["x"].alias("x"), v["n"].alias("n"), (p * q * F.exp(-q * v["x"])).alias("e")))
+        least = F.coalesce(F.array_min(F.transform(F.filter(raw, lambda v: v["e"] > 0), lambda v: v["e"])), F.lit(1e-300))
+        u = (1 - p) / F.col("half")
+        filled = F.transform(F.array(F.struct(raw.alias("raw"), least.alias("least"), u.alias("u"))), lambda c: F.transform(c["raw"], lambda v: F.struct(v["x"].alias("x"), v["n"].alias("n"), F.when(v["e"] > 0, v["e"]).otherwise(c["least"]).alias("e"), c["u"].alias("u"))))[0]
+        sums = F.transform(F.array(filled), lambda f: F.struct(
+            total(f, lambda v: v["n"] * F.ln(v["e"] + v["u"])).alias("ll"), total(f, lambda v: v["n"] * v["e"] / (v["e"] + v["u"])).alias("mass"), total(f, lambda v: v["n"] * v["x"] * v["e"] / (v["e"] + v["u"])).alias("reach"),
+        ))
+        after = F.transform(sums, lambda s: _moved(state, s, epsilon))[0]
+        return F.when(state["live"], after).otherwise(state)
+
+    first = F.struct(F.col("rate_").alias("rate"), F.col("phi_").alias("phi"), F.lit(None).cast("double").alias("ll"), F.lit(0).alias("rounds"), F.lit(True).alias("live"))
+    done = held.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step).alias("s"))
+    return done.select(key, "s.rate", "s.phi", F.col("s.ll").alias("log_likelihood"), "s.rounds")
+
+
+def _moved(state: Column, s: Column, epsilon: float) -> Column:
+    """The state after a round with the sums s: parameters stay where the likelihood has settled."""
+    settled = F.coalesce(F.abs(s["ll"] - state["ll"]) <= epsilon * F.greatest(F.abs(s["ll"]), F.abs(state["ll"])), F.lit(False))
+    rate, phi = s["mass"] / F.greatest(s["reach"], F.lit(1e-300)), s["mass"] / F.col("all_")
+    return F.struct(F.when(settled, state["rate"]).otherwise(rate).alias("rate"), F.when(settled, state["phi"]).otherwise(phi).alias("phi"), s["ll"].alias("ll"), (state["rounds"] + 1).alias("rounds"), (~settled).alias("live"))
+
+
+def start_grid(mean: float, starts: int, phi_0: float, lambda_0: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """phi and rate of starts x starts beginnings: rates three powers of ten about that of lambda_0 or of 1 by the mean distance."""
+    guess = lambda_0 if lambda_0 is not None else 1 / mean if mean > 0 else 1.0
+    middle = int(np.log10(guess))
+    grid = np.meshgrid(log_spaced(phi_0, 0.1, starts), log_spaced(10.0 ** (middle - 3), 10.0 ** (middle + 3), starts), indexing="ij")
+    return grid[0].ravel().copy(), grid[1].ravel().copy()
+
+
 def em_grid(x: np.ndarray, n: np.ndarray, half: float, starts: int = 10, phi_0: float = 0.001, lambda_0: float | None = None, rounds: int = 1000, epsilon: float = 1e-8) -> tuple[float, float, float]:
     """rate, phi and log likelihood of the best of starts x starts beginnings; NaN if none stays a mixture."""
-    mean = float((x * n).sum() / n.sum())
-    middle = int(np.log10(1 / mean)) if mean > 0 else 0
-    low, high = (10.0 ** (middle - 3), 10.0 ** (middle + 3)) if lambda_0 is None else (lambda_0, lambda_0 * 10)
-    phi, rate = (a.ravel().copy() for a in np.meshgrid(log_spaced(phi_0, 0.1, starts), log_spaced(low, high, starts), indexing="ij"))
-    last, live, best = np.full(len(phi), -np.inf), np.ones(len(phi), bool), np.full(len(phi), -np.inf)
+    phi, rate = start_grid(float((x * n).sum() / n.sum()), starts, phi_0, lambda_0)
+    live, best = np.arange(len(phi)), np.full(len(phi), np.nan)
     for _ in range(rounds):
-        k = np.flatnonzero(live)
-        if not len(k):
+        if not len(live):
             break
-        e = phi[k, None] * rate[k, None] * np.exp(-rate[k, None] * x)
+        p, q = phi[live], rate[live]
+        e = p[:, None] * q[:, None] * np.exp(-q[:, None] * x)
         least = np.where(e > 0, e, np.inf).min(axis=1, keepdims=True)
         e = np.where(e > 0, e, np.where(np.isfinite(least), least, 1e-300))
-        u = ((1 - phi[k]) / half)[:, None]
-        best[k] = np.log(e + u) @ n
-        z = e / (e + u)
+        u = ((1 - p) / half)[:, None]
+        now = np.log(e + u) @ n
+        settled = np.abs(now - best[live]) <= epsilon * np.maximum(np.abs(now), np.abs(best[live]))  # not in the first round
+        best[live] = now
+        z = (e / (e + u))[~settled]
+        live = live[~settled]
         mass = z @ n
-        rate[k], phi[k] = mass / np.maximum(z @ (n * x), 1e-300), mass / n.sum()
-        live[k] = np.abs(best[k] - last[k]) > epsilon * np.maximum(np.abs(best[k]), np.abs(last[k]))
-        last[k] = best[k]
+        rate[live], phi[live] = mass / np.maximum(z @ (n * x), 1e-300), mass / n.sum()
     best[(phi >= 1) | ~np.isfinite(best)] = -np.inf
     top = int(np.argmax(best))
     return (float(rate[top]), float(phi[top]), float(best[top])) if np.isfinite(best[top]) else (np.nan, np.nan, np.nan)

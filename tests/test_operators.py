@@ -319,21 +319,38 @@ def test_fit_of_organisms_by_a_plain_loop(spark):
         middle = int(np.log10(1 / x.mean()))
         for phi in h.log_spaced(0.001, 0.1, 3):
             for rate in h.log_spaced(10.0 ** (middle - 3), 10.0 ** (middle + 3), 3):
-                p, q, last = phi, rate, -np.inf
+                p, q, last = phi, rate, None
                 for _ in range(1000):
                     e = p * q * np.exp(-q * x)
                     e = np.where(e > 0, e, e[e > 0].min() if (e > 0).any() else 1e-300)
                     ll = np.log(e + (1 - p) / 5000).sum()
-                    z = e / (e + (1 - p) / 5000)
-                    q, p = z.sum() / (z @ x), z.mean()
-                    if abs(ll - last) <= 1e-8 * max(abs(ll), abs(last)):
+                    if last is not None and math.isclose(ll, last, rel_tol=1e-8):
                         break
                     last = ll
+                    z = e / (e + (1 - p) / 5000)
+                    q, p = z.sum() / (z @ x), z.mean()
                 if p < 1 and (best is None or ll > best[0]):
                     best = (ll, q, p)
         assert (r["log_likelihood"], r["rate"], r["phi"]) == pytest.approx(best, rel=1e-5)
 
 
+def test_fit_by_expressions(spark):
+    """Whole fits from single starts in one expression: their best is that of the grid; a given rate sets the grid's middle."""
+    rows = spark.createDataFrame([(o, d, n, 5000.0) for o, some in {"a": [(10, 30), (200, 20), (4000, 50)], "b": [(50, 4), (900, 1), (2500, 6)]}.items() for d, n in some], "organism_id string, distance long, n long, half double")
+    for how in ({}, {"lambda_0": 0.05}):
+        grid = {r["organism_id"]: r for r in fit.em_fit(rows, starts=3, **how).collect()}
+        for organism, mean in (("a", 2043.0), ("b", 16100 / 11)):
+            phis, rates = fit.start_grid(mean, 3, 0.001, how.get("lambda_0"))
+            assert max(rates) == pytest.approx(1e2 if how else 1.0)
+            starts = spark.createDataFrame([(k, float(p), float(q)) for k, (p, q) in enumerate(zip(phis, rates, strict=True))], "start int, p double, q double")
+            own = rows.where(F.col("organism_id") == organism).crossJoin(starts)
+            found = [r for r in fit.em_run(own, F.col("q"), F.col("p"), key="start").collect() if r["phi"] < 1]
+            best = max(found, key=lambda r: r["log_likelihood"])
+            assert (best["rate"], best["phi"], best["log_likelihood"]) == pytest.approx((grid[organism]["rate"], grid[organism]["phi"], grid[organism]["log_likelihood"]), rel=1e-5)
+            assert max(r["rounds"] for r in found) > 3
+    assert fit.em_run(rows.limit(0), 0.001, 0.1).isEmpty()
+
+
 def test_permutations_use_tree_distances(spark):
     t = text.newick_tree(spark, "((K:12,(A:0,B:0)low:9)mid:7,D:40);")
     d = {(r["organism1"], r["organism2"]): r["norm_distance"] for r in tree.pair_distances(spark.createDataFrame([("A", "B"), ("D", "A"), ("D", "K")], "organism1 string, organism2 string"), t, 3).collect()}
@@ -386,7 +403,7 @@ def test_text_sources(spark):
     assert tuple(text.ontology_terms(stanza).first()) == ("GO:0000001", "some process", "biological_process", '"text"')
 
 
-@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs", "observed_bins", "param_histogram", "fitted_density", "conserved_subclades_weighted", "non_go_distance_histogram", "param_resamples_weighted", "permutation_probs_weighted"])
+@pytest.mark.parametrize("name", ["conserved_root", "closest_pairs", "go_pair_annotations", "gsc_weights", "pruned_subclades", "pair_split", "sensitivity_rates", "leaf_distances", "bin_pairs", "observed_bins", "param_histogram", "fitted_density", "conserved_subclades_weighted", "non_go_distance_histogram", "param_resamples_weighted", "permutation_probs_weighted", "em_rounds"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem".split():
