@@ -16,6 +16,15 @@ def build_mappings(spark: SparkSession, ontology_path: str, mapping_path: str, o
     sinks.write_ontology(terms, ontology.process_domains(text.domain_terms(spark.read.text(mapping_path)), terms), out)
 
 
+def annotated(spark: SparkSession, organisms: DataFrame, genomes: str, hit_folder: str, clans: str, evalue: float) -> tuple[DataFrame, DataFrame]:
+    """The kept hits of some organisms, stored, and their molecules."""
+    ids = organisms.select("organism_id")
+    genes = text.coding_genes(text.files(spark, genomes, ".gbk", line_sep="\n//")).join(ids, "organism_id", "left_semi")
+    found = text.domain_hits(text.files(spark, hit_folder, ".hits").join(ids, "organism_id", "left_semi")).withColumn("line_no", F.monotonically_increasing_id())
+    molecules = genes.select("organism_id", "molecule_id", "length").distinct()
+    return staged(hits.resolve_clans(hits.filter_hits(found, genes, molecules, evalue), text.clan_table(spark.read.text(clans))), "kept"), molecules
+
+
 def predict(
     spark: SparkSession, genomes: str, hit_folder: str, clans: str, out: str, newick: str | None = None, evalue: float = 0.001, rate: float = likelihood.LAMBDA, phi: float = likelihood.PHI,
     weighted: bool = False, force: bool = False, strict: bool = False,
@@ -33,13 +42,9 @@ def predict(
     store = commits.Batches(spark, f"{out}/likelihoods")
     todo = staged(store.todo(wanted, force), "todo")
     if not todo.isEmpty():
-        genes = text.coding_genes(text.files(spark, genomes, ".gbk", line_sep="\n//")).join(todo.select("organism_id"), "organism_id", "left_semi")
-        lines = text.files(spark, hit_folder, ".hits").join(todo.select("organism_id"), "organism_id", "left_semi")
-        found = text.domain_hits(lines).withColumn("line_no", F.monotonically_increasing_id())
-        molecules = genes.select("organism_id", "molecule_id", "length").distinct()
-        kept = staged(hits.resolve_clans(hits.filter_hits(found, genes, molecules, evalue), text.clan_table(spark.read.text(clans))), "kept")
+        kept, molecules = annotated(spark, todo, genomes, hit_folder, clans, evalue)
         own = likelihood.organism_likelihoods(pairs.nearest_pairs(hits.gene_domains(kept)), hits.domain_gene_counts(kept), rate)
-        sinks.write_probabilities(todo, own, likelihood.uniform_log_probabilities(hits.main_molecules(molecules)), f"{out}/likelihoods")
+        sinks.write_probabilities(todo, own, likelihood.uniform_log_probabilities(hits.main_molecules(molecules)), f"{out}/likelihoods", pool=hits.gene_pool(kept))
 
     own, uniform = (staged(store.read(x, wanted), x) for x in ("pairs", "uniform"))
     sinks.write_pair_index(pairs.pair_index(own), f"{out}/pair_index")

@@ -45,12 +45,12 @@ def index_of(index: DataFrame, pairs: DataFrame) -> DataFrame:
     return index.join(pairs.select("domain1", "domain2"), ["domain1", "domain2"], "left_semi")
 
 
-def write_probabilities(organisms: DataFrame, pairs: DataFrame, uniform: DataFrame, folder: str) -> None:
-    """Pair likelihoods and uniform log probabilities of the organisms (organism_id, signature), as one batch.
+def write_probabilities(organisms: DataFrame, pairs: DataFrame, uniform: DataFrame, folder: str, **more: DataFrame) -> None:
+    """Pair likelihoods, uniform log probabilities and further tables of the organisms (organism_id, signature), as one batch.
 
     A run that ends before the batch is marked leaves nothing that is read; see commits.Batches.
     """
-    Batches(organisms.sparkSession, folder).write(organisms, pairs=pairs, uniform=uniform)
+    Batches(organisms.sparkSession, folder).write(organisms, pairs=pairs, uniform=uniform, **more)
 
 
 def write_composition(closure: DataFrame, path: str, mode: str = "append") -> None:
@@ -84,9 +84,9 @@ def write_matrix(distances: DataFrame, path: str, value: str = "distance", organ
     wide.select("organism1", *[F.coalesce(F.col(f"`{o}`"), F.lit(0.0)).alias(o) for o in organisms]).orderBy("organism1").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_statistics(rows: DataFrame, path: str) -> None:
+def append_statistics(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Rows of permutations or bootstraps, added to those at path; nulls are NA."""
-    rows.write.mode("append").option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+    rows.write.mode(mode).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
 
 
 def write_ontology(terms: DataFrame, go_domain: DataFrame, folder: str) -> None:

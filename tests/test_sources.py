@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from colocus.functions import scalar as h
-from colocus.jobs import predict
-from colocus.operators import tree
+from colocus.jobs import modes, predict
+from colocus.operators import resample, tree
 from colocus.sources import commits, sinks, stored, text
 
 RECORD = """LOCUS       {0}   {1} bp    DNA
@@ -112,6 +112,34 @@ def test_predict_after_a_crash(spark, genomes, monkeypatch, crash):
     assert spark.read.parquet(args[3] + "/likelihoods/pairs").select("batch").distinct().count() == 2
 
 
+def test_other_modes(spark, genomes):
+    """Fit, sensitivity, bootstraps and permutations from files; a second run does only what is left."""
+    at = lambda x: str(genomes / x)
+    (genomes / "o.obo").write_text('head\n\n[Term]\nid: GO:1\nname: one\nnamespace: biological_process\ndef: "x"\n')
+    (genomes / "map").write_text("".join(f"Pfam:PF0000{k} a > GO:x ; GO:1\n" for k in (1, 2, 3, 4)))
+    args = [at("gbk"), at("hits"), at("clans.tsv"), at("o.obo"), at("map"), at("out")]
+    (genomes / "gbk/deep/two.gbk").rename(genomes / "two.kept")
+    modes.fit(spark, *args, starts=2)
+    (genomes / "two.kept").rename(genomes / "gbk/deep/two.gbk")
+    mean = modes.fit(spark, *args, newick=NEWICK, starts=2).first()
+    done = spark.read.parquet(at("out/fit/done"))
+    assert {(r["organism_id"], r["at"]) for r in done.collect()} == {("one", 0), ("three", 0), ("two", 1)}
+    own = stored.organism_parameters(spark, at("out/parameters/organisms")).collect()
+    assert len(own) == 3 and stored.parameters(spark, at("out/parameters/mean")).first()["rate"] == pytest.approx(mean["rate"])
+    assert modes.sensitivity(spark, at("out")).count() == 3
+    spread = {r["parameter"]: r for r in modes.bootstrap_parameters(spark, at("out"), weighted=True, samples=200).collect()}
+    assert set(spread) == {"rate", "phi"} and spread["rate"]["mean"] == pytest.approx(mean["rate"], rel=0.2)
+    predict.predict(spark, *args[:3], at("out"), newick=NEWICK)
+    first = modes.permute(spark, at("out"), n_perm=20)
+    bins = {(r["subclade_id"], r["bin"]) for r in first.collect()}
+    conserved = spark.read.parquet(at("out/conserved"))
+    assert bins == {(r["subclade_id"], r["bin"]) for r in resample.bin_counts(conserved).collect()} and {r["n"] for r in first.collect()} == {20}
+    files = {p.name for p in (genomes / "out/permutations").glob("part-*")}
+    assert rows_of(modes.permute(spark, at("out"), n_perm=20)) == rows_of(first) and {p.name for p in (genomes / "out/permutations").glob("part-*")} == files
+    nulls = modes.resample_bins(spark, at("out"), samples=20).collect()
+    assert {(r["subclade_id"], r["bin"]) for r in nulls} == bins and all(r["mean"] is None for r in nulls)
+
+
 def test_mappings(spark, tmp_path):
     (tmp_path / "o.obo").write_text('head\n\n[Term]\nid: GO:1\nname: one\nnamespace: biological_process\ndef: "x"\n\n[Term]\nid: GO:2\nname: two\nnamespace: biological_process\ndef: "OBSOLETE. x"\n')
     (tmp_path / "map").write_text("!c\nPfam:PF00001 a > GO:x ; GO:1\nPfam:PF00002 a > GO:x ; GO:1\nPfam:PF00002 a > GO:x ; GO:2\n")
