@@ -531,4 +531,4 @@ def test_pipeline(spark):
     for held in ends.values():
         held.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and held[0][0] == 0 and sum(held[-1]) <= 2048
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registry.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registry.QUERIES}
