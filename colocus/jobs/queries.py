@@ -98,15 +98,15 @@ def leaf_distances(f: Flow, norm: bool = False) -> DataFrame:
     return tree.normalised(d).select("organism1", "organism2", _r("norm_distance")) if norm else d.select("organism1", "organism2", _r("distance"))
 
 
-def permutation_draws(f: Flow, weighted: bool = False, n_perm: int = 10_000) -> DataFrame:
-    """Permutations of all bins of all subclades."""
+def permutation_draws(f: Flow, weighted: bool = False, **how) -> DataFrame:
+    """Permutations of all bins of all subclades, as many as the operator makes unless how says otherwise."""
     bins = resample.bin_counts(f.subclades)
-    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT), n_perm=n_perm, weights=f.closure if weighted else None)
+    return resample.permutations(bins, f.closure, hits.gene_pool(f.kept), f.uniform, lambda drawn: tree.pair_distances(drawn, f.tree, HEIGHT), weights=f.closure if weighted else None, **how)
 
 
 def few_permutations(f: Flow, weighted: bool = False) -> DataFrame:
     """The first permutations of every bin as they are, few enough for SQL to follow draw by draw."""
-    found = permutation_draws(f, weighted, FEW_PERMUTATIONS)
+    found = permutation_draws(f, weighted, n_perm=FEW_PERMUTATIONS)
     return found.select("subclade_id", "bin", "perm", _r("log_exp", 3), _r("log_uni", 3), _r("moved"), _r("prob"))
 
 
