@@ -1,12 +1,15 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds spans.
 
 The field tags the tokens of a text (what white space separates; long ones are cut where a class of
-characters ends) with a kind or none, from features of the token's shape. It is trained on the driver
-from a small labelled table: runs of tokens around the patterns' spans in a sample of documents, and
-the same runs with each span written in a form that the patterns miss (other separators, no country
-code, masked marks, the newer addresses) or replaced by something that only looks alike. Its decoding
-is Viterbi's, in numpy over all runs of a batch at once. Tokens whose shape scores so far below none
-that no neighbour can change it are settled beforehand; the best path is the same without them.
+characters ends) with a kind or none, from features of the token's shape and of whether the words
+before it announce a number of something (an order, an invoice). It is trained on the driver from a
+small labelled table: runs of tokens around the patterns' spans in a sample of documents, and the same
+runs with each span written in a form that the patterns miss (other separators, no country code,
+masked marks, the newer addresses) or replaced by something that only looks alike. The features tell
+the lengths of groups of digits from the marks between them, so that forms that were in no label are
+found too. Its decoding is Viterbi's, in numpy over all runs of a batch at once. Tokens whose shape
+scores so far below none that no neighbour can change it are settled beforehand; the best path is the
+same without them.
 """
 
 from __future__ import annotations
@@ -39,8 +42,16 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _PIECE = re.compile(r"[A-Za-z0-9._%+@()\[\]{}:/-]+|[^A-Za-z0-9._%+@()\[\]{}:/-]+")
 _LEFT, _RIGHT = re.compile(r"[^\w+(]+"), re.compile(r"[^\w)]+")
-_MASKED = re.compile(r"[\w.%+-]+[(\[{]at[)\]}][\w-]+((\.|[(\[{]dot[)\]}])[\w-]+)+", re.I)
+_MASKED = re.compile(r"[\w.%+-]+([(\[{<]at[)\]}>]|\uff20)[\w-]+((\.|[(\[{<]dot[)\]}>])[\w-]+)+", re.I)
+_MASKED_DOT = re.compile(r"[(\[{<](?:\.|dot)[)\]}>]", re.I)
 _SIX = re.compile(r"[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}")
+#: Words after which a number counts what they name, and words that may stand between.
+NAMED = frozenset("order orders invoice ticket ref reference item part serial case isbn sku model batch lot article bestellung rechnung auftrag pedido factura commande facture".split())
+BETWEEN = frozenset("no nr number num id code is nummer numero".split())
+#: Ends the key of a token that stands after such words; no shape holds it.
+AFTER = "\x7f"
+#: Lengths of the groups of digits in telephone numbers without a plus.
+PHONE_GROUPS = ((3, 3, 4), (1, 3, 3, 4), (4, 3, 4), (3, 4, 4))
 
 
 def luhn(digits: str) -> bool:
@@ -92,8 +103,8 @@ def shape(token: str) -> str:
 
 
 def is_six(core: str) -> bool:
-    """Whether core is an address of eight groups, or of fewer with one gap."""
-    return bool(_SIX.fullmatch(core)) and core.count("::") <= 1 and ":::" not in core and ("::" in core[1:-1] or core.count(":") == 7 and "" not in core.split(":"))
+    """Whether core is an address of eight groups, or of fewer with one gap; with digits, as names in programs have none."""
+    return bool(_SIX.fullmatch(core) and _DIGIT.search(core)) and core.count("::") <= 1 and ":::" not in core and ("::" in core[1:-1] or core.count(":") == 7 and "" not in core.split(":"))
 
 
 def token_key(token: str) -> str:
@@ -102,9 +113,9 @@ def token_key(token: str) -> str:
         return "A" if token[0].isupper() else "a"
     left, right = margins(token)
     core, mark = token[left : len(token) - right], ""
-    if 13 <= len(core) <= 27 and (d := re.sub(r"[-./_]", "", core)).isascii() and d.isdigit() and 13 <= len(d) <= 19:
+    if 13 <= len(core) <= 27 and (d := re.sub(r"[\W_]", "", core)).isascii() and d.isdigit() and 13 <= len(d) <= 19:
         mark = "|luhn" if luhn(d) else "|not-luhn"
-    elif (dotted := core.replace("[.]", ".")).count(".") == 3 and (d := dotted.replace(".", "")).isascii() and d.isdigit():
+    elif (dotted := _MASKED_DOT.sub(".", core)).count(".") == 3 and (d := dotted.replace(".", "")).isascii() and d.isdigit():
         mark = "|octets" if all(dotted.split(".")) and octets(dotted) else "|not-octets"
     elif core.count(":") >= 2:
         if is_six(core):
@@ -115,15 +126,37 @@ def token_key(token: str) -> str:
     return (re.sub("0+", "0", shape(token)) if mark else shape(token)) + mark
 
 
+def announced(words: list[str], i: int) -> bool:
+    """Whether the words before the i-th say that it numbers an order or the like: one of NAMED, then up to two of BETWEEN, numbers or marks."""
+    for j in range(i - 1, max(i - 4, -1), -1):
+        word = words[j].strip(".,:;#()[]\"'").lower()
+        if word in NAMED:
+            return True
+        if word not in BETWEEN and any(c.isalpha() for c in word):
+            return False
+    return False
+
+
+def token_keys(words: list[str]) -> list[str]:
+    """The keys of a text's tokens; that of a token with digits tells whether it is announced."""
+    return [token_key(w) + (AFTER if _DIGIT.search(w) and announced(words, i) else "") for i, w in enumerate(words)]
+
+
 def key_features(key: str, columns: int) -> np.ndarray:
     """Hashed feature columns of a token key."""
-    s, _, mark = key.partition("|")
+    after = key.endswith(AFTER)
+    s, _, mark = key.removesuffix(AFTER).partition("|")
     left, right = margins(s)
     core = s[left : len(s) - right]
     digits, other = s.count("0"), "".join(sorted(set(re.sub(r"[aA0+]", "", core))))
     bucket = int(np.searchsorted([1, 2, 4, 7, 9, 13, 17, 20], digits, side="right"))
-    names = ["bias", f"shape={s}", f"core={core}", f"mark={mark}", f"digits={bucket}", f"other={other}", f"at={'@' in core}{core.count('.')}",
+    plain = not mark and digits >= 7 and not re.search("[aA]", core)  # numbers are told by their groups and marks alone
+    names = ["bias", *([] if plain else [f"shape={s}", f"core={core}"]), f"mark={mark}", f"digits={bucket}", f"other={other}", f"at={'@' in core}{core.count('.')}",
              f"plus={core[:1] == '+'}{bucket}", f"paren={core[:1] == '('}{core[-1:] == ')'}{bucket}", f"letters={'a' in core or 'A' in core}{bucket}", f"mark-digits={mark}{bucket}"]
+    if not mark and digits:
+        names.append(f"groups={'-'.join(str(len(x)) for x in re.findall('0+', core))}{'a' in core or 'A' in core}")
+    if after:
+        names.append(f"after={mark}{bucket}")
     return np.array(sorted({crc32(n.encode()) % columns for n in names}), np.int64)
 
 
@@ -206,10 +239,14 @@ def train_chain(sequences: list[list[tuple[str, int]]], weights: list[float] | N
         np.add.at(moved, (path[:-1], path[1:]), heavy[r])
     w, moves = np.zeros((len(live), tags)), np.zeros((tags, tags))
     sw, sm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
+    parts = [(p, mask[p].sum(axis=1).max()) for p in np.array_split(np.argsort(mask.sum(axis=1), kind="stable"), min(8, len(mask)))]  # of like lengths
+    parts = [(ids[p, :most], mask[p, :most], heavy[p]) for p, most in parts]
     for _ in range(rounds):
-        tag, both = _forward_backward((used @ w)[ids], mask, moves, heavy)
-        expected = np.zeros_like(seen)
-        np.add.at(expected, ids[mask], tag[mask] * each[:, None])
+        scores, expected, both = used @ w, np.zeros_like(seen), np.zeros((tags, tags))
+        for at_, there, weight in parts:
+            tag, pairs = _forward_backward(scores[at_], there, moves, weight)
+            both += pairs
+            np.add.at(expected, at_[there], tag[there] * np.repeat(weight, there.sum(axis=1))[:, None])
         gw, gm = used.T @ (seen - expected) / n - l2 * w, (moved - both) / n - l2 * moves
         sw, sm = sw + gw**2, sm + gm**2
         w, moves = w + rate * gw / np.sqrt(sw), moves + rate * gm / np.sqrt(sm)
@@ -217,41 +254,76 @@ def train_chain(sequences: list[list[tuple[str, int]]], weights: list[float] | N
     return model
 
 
-def rewritten(kind: str, found: str, salt: int) -> list[tuple[str, str | None]]:
-    """Tokens, each with its kind or None, to stand for a span: a form that the patterns miss, or a look-alike.
-
-    Which one is taken, and its digits, come from a hash of the span and salt.
-    """
-    h = md5(f"{salt}:{found}".encode("utf-8", "surrogatepass")).hexdigest()
-    pick, digits = int(h[:6], 16), re.sub("[^0-9]", "", found)
-    groups = [h[k : k + 4].lstrip("0") or "0" for k in range(0, 32, 4)]
-    if pick % 2:
-        n = [int(h[k : k + 4], 16) for k in range(0, 32, 4)]
-        fails = f"{n[0] % 10000:04d}{n[1] % 10000:04d}{n[2] % 10000:04d}{n[3] % 1000:03d}"
-        fails += next(str(d) for d in range(10) if not luhn(fails + str(d)))
-        mark = "._/"[n[5] % 3]
-        likes = [
-            f"{1990 + n[0] % 40}-{1 + n[1] % 12:02d}-{1 + n[2] % 28:02d}", f"{1 + n[1] % 28}.{1 + n[2] % 12}.{1990 + n[0] % 40}", f"{n[0] % 24:02d}:{n[1] % 60:02d}:{n[2] % 60:02d}", f"{n[0] % 900 + 1},{n[1] % 1000:03d}.{n[2] % 100:02d}",
-            f"{n[0] % 20}.{n[1] % 30}.{n[2] % 9}", f"v{n[0] % 9}.{n[1] % 20}", mark.join(fails[k : k + 4] for k in range(0, 16, 4)), ":".join(h[k : k + 2] for k in range(0, 12, 2)), f"{n[0] % 900 + 100}-{n[1] % 9000 + 1000}",
-            f"{h[:8]}-{h[8:12]}-{h[12:16]}", f"{300 + n[0] % 600}[.]{300 + n[1] % 600}[.]{n[2] % 900}[.]{300 + n[3] % 600}", f"look(s)at({h[:3]})",
-        ]
-        return [(likes[n[6] % len(likes)], None)]
+def forms(kind: str, found: str, n: list[int]) -> dict[str, list[str]]:
+    """The tokens of a span's forms that the patterns miss, by name; n are random numbers below 65536."""
     if kind == "email":
-        at = ("(at)", "[at]", "{at}")[pick // 2 % 3]
         name, _, host = found.partition("@")
-        return [(name + at + (host.replace(".", "[dot]" if at == "[at]" else "(dot)") if pick // 16 % 2 else host), kind)]
+        at = {"round": ("(at)", "(dot)"), "square": ("[at]", "[dot]"), "curly": ("{at}", "{dot}"), "angle": ("<at>", "<dot>"), "wide": ("\uff20", ".")}
+        return {f"email {k}": [name + a + (host.replace(".", d) if n[0] % 2 else host)] for k, (a, d) in at.items()}
     if kind == "ip":
-        forms = [found.replace(".", "[.]"), ":".join(groups), f"{groups[0]}::{groups[1]}", f"{groups[0]}:{groups[1]}::{groups[2]}:{groups[3]}"]
-        return [(forms[pick // 2 % 4], kind)]
+        g = [format(x, "x") for x in n]
+        g[0] = f"{n[0] % 10}{g[0][:3]}"
+        masked = {"square": "[.]", "round": "(.)", "word": "[dot]"}
+        return {f"ip {k}": [found.replace(".", d)] for k, d in masked.items()} | {"ip eight": [":".join(g[:8])], "ip gap": [f"{g[0]}::{g[1]}"], "ip gaps": [f"{g[0]}:{g[1]}::{g[2]}:{g[3]}"]}
+    digits = re.sub("[^0-9]", "", found)
     if kind == "card":
-        mark = "./_"[pick // 2 % 3]
-        return [(mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)), kind)]
-    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
-    forms = [[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"({a}){b}-{c}"], [f"{a}.{b}.{c}"], [f"00{digits[:-10] or '1'}-{a}-{b}-{c}"], [f"{a}/{b}-{c}"]]
-    return [(t, kind) for t in forms[pick // 2 % len(forms)]]
+        marks = {"dot": ".", "slash": "/", "underscore": "_", "dash": "\u2013", "tie": "\xa0"}
+        return {f"card {k}": [m.join(digits[i : i + 4] for i in range(0, len(digits), 4))] for k, m in marks.items()}
+    out = {}
+    d = (digits + "".join(f"{x:05d}" for x in n[:3]))[-15:] if len(digits) < 11 else digits
+    for groups in PHONE_GROUPS:
+        last, parts = len(d), []
+        for size in groups[::-1]:
+            parts, last = [d[last - size : last], *parts], last - size
+        name = "".join(map(str, groups))
+        out |= {f"phone {name} {k}": [m.join(parts)] for k, m in {"dash": "-", "dot": ".", "slash": "/", "long dash": "\u2013"}.items()}
+    a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+    return out | {"phone paren": [f"({a})", f"{b}-{c}"], "phone tight paren": [f"({a}){b}-{c}"], "phone paren dot": [f"({a})", f"{b}.{c}"], "phone mixed": [f"{a}/{b}-{c}"], "phone zeros": [f"00{d[:-10] or '1'}-{a}-{b}-{c}"]}
+
+
+def look_alikes(kind: str, found: str, n: list[int], h: str) -> list[list[str]]:
+    """Tokens that only look like personal data; n are random numbers below 65536, h 32 hexadecimal digits."""
+    fails = f"{n[0] % 10000:04d}{n[1] % 10000:04d}{n[2] % 10000:04d}{n[3] % 1000:03d}"
+    fails += next(str(d) for d in range(10) if not luhn(fails + str(d)))
+    mark, year, word = "._/"[n[5] % 3], 1950 + n[0] % 90, "abcdefghijklmnop"
+    names = ["".join(word[x >> k & 15] for k in range(0, 4 * (1 + x % 3), 4)) for x in n[:4]]
+    cuts, left = [], 7 + n[4] % 9
+    while left > 0:
+        cuts.append(min(left, 1 + n[len(cuts) % 7] // (3 + len(cuts)) % 5))
+        left -= cuts[-1]
+    if tuple(cuts) in PHONE_GROUPS or len(cuts) < 2:
+        cuts = [3, 2, 4]
+    numbers = [str(10 ** (k - 1) + n[i % 8] % (9 * 10 ** (k - 1))) for i, k in enumerate(cuts)]
+    out = [
+        f"{year}-{1 + n[1] % 12:02d}-{1 + n[2] % 28:02d}", f"{1 + n[1] % 28}.{1 + n[2] % 12}.{year}", f"{n[0] % 24:02d}:{n[1] % 60:02d}:{n[2] % 60:02d}", f"{n[0] % 900 + 1},{n[1] % 1000:03d}.{n[2] % 100:02d}",
+        f"{n[0] % 20}.{n[1] % 30}.{n[2] % 9}", f"v{n[0] % 9}.{n[1] % 20}", mark.join(fails[k : k + 4] for k in range(0, 16, 4)), ":".join(h[k : k + 2] for k in range(0, 12, 2)), f"{n[0] % 900 + 100}-{n[1] % 9000 + 1000}",
+        f"{h[:8]}-{h[8:12]}-{h[12:16]}", f"{300 + n[0] % 600}[.]{300 + n[1] % 600}[.]{n[2] % 900}[.]{300 + n[3] % 600}", f"look(s)at({h[:3]})",
+        f"{n[0] % 900 + 100}{'-./'[n[6] % 3]}{n[1] % 90 + 10}{'-./'[n[6] % 3]}{n[2] % 9000 + 1000}", f"{year}/{year + 1}-{year + 2 + n[1] % 9}", f"{year}{'-/'[n[1] % 2]}{year + 1 + n[2] % 20}", f"{1 + n[1] % 12:02d}/{year}-{1 + n[2] % 12:02d}/{year + 1}",
+        "::".join(names[: 2 + n[5] % 3]), f"{n[0] % 90000 + 10000}-{n[1] % 9000 + 1000}", ("-", ".", "/", "\u2013", "_")[n[7] % 5].join(numbers), "-".join(numbers),
+    ]
+    found_forms = [[x] for x in out]
+    if kind == "phone":
+        named, tails = sorted(NAMED), [[], ["no."], ["number"], ["#"]]
+        usual = sorted(forms(kind, found, n).items())
+        found_forms += [[named[n[k] % len(named)] + ("s:" if n[k + 1] % 5 == 0 else ""), *tails[n[k + 2] % 4], *usual[n[k + 3] % len(usual)][1]] for k in range(4)]
+    return found_forms
+
+
+def rewritten(kind: str, found: str, salt: int, without: frozenset[str] = frozenset()) -> list[tuple[str, str | None]]:
+    """Tokens, each with its kind or None, to stand for a span: a form that the patterns miss, or a look-alike.
+
+    Which one is taken, and its digits, come from a hash of the span and salt. without names forms not to take.
+    """
+    h = md5(f"{salt}:{found}".encode("utf-8", "surrogatepass")).hexdigest()
+    n = [int(h[k : k + 4], 16) for k in range(0, 32, 4)]
+    if salt % 2:
+        likes = look_alikes(kind, found, n, h)
+        return [(t, None) for t in likes[(n[6] * 31 + n[3]) % len(likes)]]
+    usual = [x for name, x in forms(kind, found, n).items() if name not in without]
+    return [(t, kind) for t in usual[(n[6] * 31 + n[3]) % len(usual)]]
 
 
-def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int = 5, times: int = 8) -> list[list[tuple[str, int]]]:
+def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int = 5, times: int = 16, without: frozenset[str] = frozenset()) -> list[list[tuple[str, int]]]:
     """Runs of tokens around those with digits or marks, with tags from labelled spans; then those with spans rewritten, a few times."""
     tokens = _places(text)
     words = [text[a:b] for a, b in tokens]
@@ -262,26 +334,28 @@ def labelled_windows(text: str, spans: list[tuple[str, int, int]], reach: int =
         if not k or near[k - 1] != j - 1 or len(runs[-1]) >= 40:
             runs.append([])
         runs[-1].append(j)
-    out = [[(token_key(words[j]), KINDS.index(spans[owner[j]][0]) + 1 if owner[j] >= 0 else 0) for j in run] for run in runs]
+    keys = token_keys(words)
+    out = [[(keys[j], KINDS.index(spans[owner[j]][0]) + 1 if owner[j] >= 0 else 0) for j in run] for run in runs]
     for run in runs:
         for salt in range(times) if any(owner[j] >= 0 for j in run) else ():
-            new: list[tuple[str, int]] = []
+            new: list[tuple[str, str | None]] = []
             for k, j in enumerate(run):
                 if owner[j] < 0:
-                    new.append((token_key(words[j]), 0))
+                    new.append((words[j], None))
                 elif not k or owner[run[k - 1]] != owner[j]:
                     kind, a, b = spans[owner[j]]
-                    new += [(token_key(t), KINDS.index(tag) + 1 if tag else 0) for t, tag in rewritten(kind, text[a:b], salt)]
-            out.append(new)
+                    new += rewritten(kind, text[a:b], salt, without)
+            out.append([(key, KINDS.index(tag) + 1 if tag else 0) for key, (_, tag) in zip(token_keys([t for t, _ in new]), new, strict=True)])
     return out
 
 
-def train_from_documents(docs: DataFrame, max_rows: int = 4000, max_runs: int = 1500) -> ChainModel:
+def train_from_documents(docs: DataFrame, max_rows: int = 4000, max_runs: int = 2000, without: frozenset[str] = frozenset()) -> ChainModel:
     """Trains on a labelled table from at most about max_rows documents, taken evenly by a hash of doc_id.
 
     The table holds labelled_windows of the fixed patterns' spans. Equal runs are one, with the logarithm
     of their number in its weight; at most max_runs different ones count, taken evenly by a hash, half
-    of them with spans if there are so many.
+    of them with spans if there are so many. without names forms to leave out of the labels, to see
+    how far the field reaches beyond its labels.
     """
     n = docs.count()
     parts = 1 << 24
@@ -290,7 +364,7 @@ def train_from_documents(docs: DataFrame, max_rows: int = 4000, max_runs: int =
     def runs(batches):
         for whole in batches:
             for batch in text_batches(whole):
-                got = [r for t in batch.column(0).to_pylist() for r in labelled_windows(t, base_spans(t))]
+                got = [r for t in batch.column(0).to_pylist() for r in labelled_windows(t, base_spans(t), without=without)]
                 yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in r] for r in got], pa.list_(pa.string())), pa.array([[t for _, t in r] for r in got], pa.list_(pa.int32()))], ["keys", "tags"])
 
     rows = some.select(F.col("text").cast("string").alias("text")).mapInArrow(given_back(runs), "keys array<string>, tags array<int>")
@@ -337,9 +411,10 @@ class Tagger:
         self.ids: dict[str, int] = {}  # of tokens; -1 for settled ones
 
     def token_id(self, token: str) -> int:
-        k = self.model.key_id(token_key(token))
-        s = self.model.rows[k]
-        k = -1 if s[0] - s[1:].max() > self.least else k
+        key = token_key(token)
+        k = self.model.key_id(key)
+        both = [self.model.rows[k], self.model.rows[self.model.key_id(key + AFTER)]]
+        k = -1 if all(s[0] - s[1:].max() > self.least for s in both) else k
         if len(token) <= CACHED_LENGTH:
             self.ids[token] = k
         return k
@@ -352,8 +427,12 @@ class Tagger:
         runs, scores = [], []
         for d, text in enumerate(texts):
             get = self.ids.get
-            ids = [k if (k := get(t)) is not None else self.token_id(t) for t in _split(text)]
+            tokens = _split(text)
+            ids = [k if (k := get(t)) is not None else self.token_id(t) for t in tokens]
             at = np.flatnonzero(np.array(ids, np.int64) >= 0)
+            for i in at:
+                if _DIGIT.search(tokens[i]) and announced(tokens, i):
+                    ids[i] = self.model.key_id(token_key(tokens[i]) + AFTER)
             for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
                 runs.append((d, run))
                 scores.append(np.array([self.model.rows[ids[i]] for i in run]))

@@ -443,6 +443,33 @@ def test_personal_data_field(chain):
     assert hit >= 0.95 * len(want) and false <= 0.01 * len(decoys)
 
 
+#: Not found when in no label: halves of numbers after brackets with a dot, and some groups of four digits first.
+UNSEEN = ["phone 334 dot", "phone 344 dash", "phone paren", "card slash", "card tie", "ip round", "ip gap", "ip eight"]
+
+
+def test_personal_data_unseen_forms(spark):
+    """Whole forms that were in no label are found, and look-alikes that were in none are left."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = pii.Tagger(pii.train_from_documents(docs, without=frozenset(UNSEEN)))
+    rng = np.random.default_rng(8)
+    words = "the report came back late and we asked for more time before that".split()
+    around = lambda x: " ".join([*rng.permutation(words)[:5], x, *rng.permutation(words)[:5]])
+    spans = {"phone": "+1 (212) 867-5309", "card": "4539 1488 0343 6467", "ip": "172.16.254.3", "email": "jo.x@mail.example.org"}
+    hit, n = dict.fromkeys(UNSEEN, 0), 50
+    for name in UNSEEN:
+        kind = name.split()[0]
+        for _ in range(n):
+            found = spans[kind] if kind != "phone" else f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+            form = " ".join(pii.forms(kind, found, [int(x) for x in rng.integers(0, 65536, 8)])[name])
+            t = around(form)
+            hit[name] += any(s[0] == kind and t[s[1] : s[2]] == form for s in tagger.spans([t])[0])
+    assert min(hit.values()) >= 0.9 * n, hit
+    left = ["a::b", "std::vector", "be::ad::x", "078-05-1120", "1999/2000-2001", "order 123-456-7890", "Invoice no. 123.456.7890", "ticket #(123) 456-7890", "12345-6789", "12-3456789", "978-3-16-148410-1", "3.14159.2", "10/11/12", "1-2-3-4-5-6-7-8", "00:11:22:33:44:55"]
+    false = [x for x in left for t in [around(x)] if any(not s[3] for s in tagger.spans([t])[0])]
+    assert not false
+    assert [s[0] for t in ("call 123-456-7890", "we order pizza by 123-456-7890") for s in tagger.spans([t])[0]] == ["phone", "phone"]
+
+
 def test_personal_data_edges(spark, chain):
     found = pii.find_personal_data(odd(spark, [*ODD, (8, PERSONAL)]), chain, ("doc_id", "score"), with_text=True, clean=True)
     clean = {r["doc_id"]: r["text"] for r in found.collect()}
