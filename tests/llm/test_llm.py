@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import re
@@ -335,28 +336,40 @@ def test_secrets(spark, docs):
 
 
 def test_secrets_found_and_names_left(spark):
-    """Names of any length and style are left; random strings of 32 characters and more are found."""
+    """Names of any length and style, in words that the operator's own list lacks, are left; random strings are found; neighbours change nothing."""
     rng = np.random.default_rng(1)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     words = re.findall("[a-z]{3,10}", " ".join(m.__doc__ for m in (secrets, pii, quality, html_text, embedding_dedup, ngram_join, packing, tokens)).lower())
-    rows = []
-    for n in (20, 24, 31, 40, 64, 120):
+    words = sorted(set(words) - set(secrets.WORDS))
+    acronyms = ["ABI", "BGP", "CORS", "DHCP", "EULA", "FIFO", "GDPR", "IMAP", "KPI", "LRU", "MVC", "NFS", "OAUTH", "PHP", "QR", "RSA", "SVG", "TTY", "UX", "VPN", "WSDL", "XSLT", "YAML"]
+    lengths, rows = (20, 24, 31, 40, 64, 120), []
+    for n in lengths:
         for _ in range(60):
             w = list(rng.choice(words, 50))
-            rows += [("camel", n, (w[0] + "".join(map(str.title, w[1:])))[:n]), ("snake", n, "_".join(w)[:n]), ("upper", n, "_".join(w).upper()[:n])]
-        rows += [(e, n, drawn(rng, a, n)) for e, a in ALPHABETS.items() if e != "hex" for _ in range(30)]
-    made = [(10**6 + k, f"see {t} here") for k, (_, _, t) in enumerate(rows)]
-    got = {r["doc_id"]: any(s["kind"] == "random" for s in r["spans"]) for r in secrets.scan_secrets(docs.union(spark.createDataFrame(made, "doc_id long, text string"))).collect()}
-    share = lambda ok: np.mean([got[10**6 + k] for k, r in enumerate(rows) if ok(*r[:2])])
-    for n in (20, 24, 31, 40, 64, 120):
-        assert all(share(lambda e, m, style=style, n=n: e == style and m == n) < 0.05 for style in ("camel", "snake", "upper"))
-    assert share(lambda e, m: e in ALPHABETS and m >= 32) > 0.85
+            mixed = [rng.choice(acronyms) if rng.random() < 0.5 else x for x in w]
+            rows += [("camel", n, w[0] + "".join(map(str.title, w[1:]))), ("snake", n, "_".join(w)), ("upper", n, "_".join(w).upper()), ("path", n, "/".join(w)), ("slug", n, "-".join(w))]
+            rows += [("acronyms", n, "".join(x if x.isupper() else x.title() for x in mixed)), ("low acronyms", n, "".join(mixed)), ("digits", n, "".join(x.title() + str(rng.integers(1000)) * (rng.random() < 0.3) for x in w))]
+            rows += [("base64 of words", n, base64.b64encode(" ".join(w).encode()).decode())]
+        rows += [(e, n, drawn(rng, a, n)) for e, a in ALPHABETS.items() if e != "hex" for _ in range(60)]
+    rows = [(e, n, t[:n]) for e, n, t in rows]
+    made = spark.createDataFrame([(k, f"see {t} here") for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(made).collect()}
+    got = {k: any(s["kind"] == "random" for s in v) for k, v in spans.items()}
+    share = lambda kind, n: np.mean([got[k] for k, r in enumerate(rows) if r[:2] == (kind, n)])
+    for kind in {r[0] for r in rows} - set(ALPHABETS):
+        assert all(share(kind, n) < (0.05 if kind != "base64 of words" else 0.1) for n in lengths), kind
+    assert all(share(e, n) > 0.85 for e in ALPHABETS if e != "hex" for n in lengths)
+    alone = made.where(F.col("doc_id").isin([k for k, r in enumerate(rows) if r[0] == "b62" and r[1] == 40][:50]))
+    alone = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(alone.withColumn("text", F.expr("substring(text, 5, 40)"))).collect()}
+    assert len(alone) == 50 and all(bool(v) == got[k] for k, v in alone.items()) and sum(map(bool, alone.values())) > 45
+    together = spark.createDataFrame([(0, " ".join(t for e, _, t in rows if e != "hex"))], "doc_id long, text string")
+    assert len([s for s in secrets.scan_secrets(together).first()["spans"] if s["kind"] == "random"]) == sum(got.values())
 
 
 def test_secret_p_values(spark):
-    """Uniform for random tokens, and each step as numpy has it."""
+    """Each step as numpy has it; small for names, seldom small for random tokens."""
     rng = np.random.default_rng(4)
-    rows = [(e, drawn(rng, a, n)) for e, a in ALPHABETS.items() for n in (20, 33, 64, 200) for _ in range(100)] + [("b62", "getTheNameOfTheUserValue"), ("b64", "a" * 30), ("hex", "0" * 24)]
+    rows = [(e, drawn(rng, a, n)) for e, a in ALPHABETS.items() for n in (20, 33, 64, 200) for _ in range(100)]
+    rows += [("b62", "getTheNameOfTheUserValue"), ("b64", "a" * 30), ("hex", "0" * 24), ("b64", base64.b64encode(b"plain words of a text").decode())]
     got = [r["p"] for r in spark.createDataFrame(rows, "e string, t string").withColumn("p", F.expr(secrets.token_p_value("t"))).collect()]
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
     for (_, t), p in zip(rows, got, strict=True):
@@ -366,19 +379,25 @@ def test_secret_p_values(spark):
         x = np.array([alphabet.index(c) for c in t])
         n, k, edges = len(x), len(alphabet), np.cumsum([0, *sizes])
         chi, shape = k / n * (np.bincount(x, minlength=k) ** 2).sum() - n, (k - 1) / 2 * n / (n - 1)
-        z = (np.cbrt(max(chi, 0) / (k - 1)) - 1 + 1 / (9 * shape)) * np.sqrt(9 * shape)
+        z = [(np.cbrt(max(chi, 0) / (k - 1)) - 1 + 1 / (9 * shape)) * np.sqrt(9 * shape)]
         by_class, want = np.histogram(x, edges)[0], n * np.array(sizes) / k
         classes = ((by_class - want) ** 2 / want).sum()
-        high = (x >= k // 2).astype(int)
-        up, runs = high.sum(), 1 + (np.diff(high) != 0).sum()
-        mean, spread = 2 * up * (n - up) / n + 1, 2 * up * (n - up) * (2 * up * (n - up) - n) / (n * n * (n - 1))
+        runs, s2, s3 = 1 + (np.diff(np.searchsorted(edges, x, side="right")) != 0).sum(), (by_class**2).sum(), (by_class**3).sum()
+        spread = (s2 * (s2 + n * (n + 1)) - 2 * n * s3 - n**3) / (n * n * (n - 1))
+        z.append(((n * (n + 1) - s2) / n - runs) / math.sqrt(spread) if spread > 1e-9 else 99)
         d = x - x.mean()
-        z_serial = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * np.sqrt(n) if d.any() else 99
-        ps = [tail(z), math.exp(-classes / 2) if len(sizes) == 3 else 2 * tail(math.sqrt(classes)), 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0, 2 * tail(z_serial)]
+        z.append(((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * np.sqrt(n) if d.any() else 99)
+        letters, of = [c for c in t.lower() if c.isalpha()], {c for c in alphabet.lower() if c.isalpha()}
+        q, m, v = len(of & set(secrets.FREQUENT)) / len(of), len(letters), sum(c in secrets.VOWELS for c in letters)
+        z.append((sum(c in secrets.FREQUENT for c in letters) - m * q) / math.sqrt(m * q * (1 - q)) if m else 0)
+        pairs, said = 2 * v * (m - v), 1 + sum((a in secrets.VOWELS) != (b in secrets.VOWELS) for a, b in zip(letters, letters[1:]))
+        z.append((said - pairs / m - 1) / math.sqrt(pairs * (pairs - m) / (m * m * (m - 1))) if m > 3 and pairs > m else 0)
+        raw = base64.b64decode(t[: n // 4 * 4]) if k >= 62 else b""
+        z.append((sum(b < 128 for b in raw) - len(raw) / 2) / math.sqrt(len(raw) / 4) if raw else 0)
+        ps = [math.exp(-classes / 2) if len(sizes) == 3 else 2 * tail(math.sqrt(classes)), *map(tail, z)]
         y = -sum(math.log(max(q, 1e-60)) for q in ps)
-        assert abs(p - min(1.0, math.exp(-y) * (1 + y + y * y / 2 + y**3 / 6))) < 1e-3
-    random = np.array(got[:-3])
-    assert abs((random < 0.5).mean() - 0.5) < 0.06 and abs((random < 0.05).mean() - 0.05) < 0.04 and max(got[-3:]) < 0.01
+        assert abs(p - min(1.0, math.exp(-y) * sum(y**j / math.factorial(j) for j in range(7)))) < 1e-3
+    assert np.mean(np.array(got[:-4]) < 0.05) < 0.1 and max(got[-4:]) < 0.01
 
 
 def test_many_secrets_in_one_text(spark):
