@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +26,12 @@ from .tokens import vocabulary_path
 
 #: The character that stands for a space in pieces (fixed value).
 MARK = "▁"
-#: Entries of each of a task's caches, of words and of stretches.
-CACHED = 500_000
+#: Bytes that each of a task's two caches, of words and of stretches, holds at most.
+CACHED = 128 << 20
+#: Bytes of a cache's entry besides its text and its pieces.
+ENTRY = 100
+#: Rows, and bytes of their texts, up to which a task encodes texts at a time; one text may be longer.
+ROWS, BYTES = 64, 1 << 20
 #: Characters of a stretch up to which pairs are looked through, without a heap.
 SHORT = 40
 _NONE = float("inf")
@@ -129,6 +138,28 @@ class Normaliser:
         return at
 
 
+class Cache:
+    """What make gives for texts, kept by bytes in two generations: what is asked for again within the next one stays."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        self.make, self.limit = make, limit // 2
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def new(self, text: str) -> bytes:
+        """What make gives for a text that is not among the known; one that is large beside the limit is not kept."""
+        if (found := self.older.get(text)) is None:
+            found = self.make(text)
+        size = getsizeof(text) + getsizeof(found) + ENTRY
+        if size <= self.limit // 16:
+            if self.held + size > self.limit:
+                self.older, self.known, self.held = self.known, {}, 0
+            self.known[text] = found
+            self.held += size
+        return found
+
+
 class PieceCodec:
     """Encodes and decodes with a byte-pair model of the library's format that falls back to bytes."""
 
@@ -154,9 +185,8 @@ class PieceCodec:
         self.surface = [bytes([int(p.piece[1:-1], 16)]) if p.type == kind.BYTE else shown[p.type](p).encode() for p in model.pieces]
         self.silent = {k for k, p in enumerate(model.pieces) if p.type == kind.CONTROL}
         self.marked = {k for k, p in enumerate(model.pieces) if p.type == kind.NORMAL and p.piece.startswith(MARK)}
-        self.stretches: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.stretches = Cache(self.merged, CACHED)
+        self.words = Cache(lambda w: self.word(MARK + w), CACHED)
 
     def merged(self, stretch: str) -> bytes:
         """The pieces of a stretch: the best-scored pair of neighbours is merged first, the leftmost of equals."""
@@ -174,16 +204,16 @@ class PieceCodec:
 
     def _short(self, stretch: str) -> list[str]:
         """By looking through all pairs for each merge, which is the fastest way with few of them."""
-        parts, scores, none = list(stretch), self.scores, _NONE
-        pairs = [scores.get(a + b, none) for a, b in zip(stretch, stretch[1:], strict=False)]
+        parts, score, none = list(stretch), self.scores.get, _NONE
+        pairs = list(map(score, map(add, stretch, stretch[1:]), repeat(none)))
         while pairs and (best := min(pairs)) < none:
             k = pairs.index(best)
-            parts[k : k + 2] = [piece := parts[k] + parts[k + 1]]
+            parts[k] = piece = parts[k] + parts.pop(k + 1)
             del pairs[k]
             if k:
-                pairs[k - 1] = scores.get(parts[k - 1] + piece, none)
+                pairs[k - 1] = score(parts[k - 1] + piece, none)
             if k < len(pairs):
-                pairs[k] = scores.get(piece + parts[k + 1], none)
+                pairs[k] = score(piece + parts[k + 1], none)
         return parts
 
     def _long(self, stretch: str) -> list[str]:
@@ -210,15 +240,17 @@ class PieceCodec:
         """The pieces of any text; one with other characters than letters is cut where no piece has the two side by side."""
         if word[1:].isalpha() and len(word) <= SHORT:
             return self.merged(word)
-        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.neighbours), len(word)]
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            found = self.stretches.get(s := word[a:b])
-            if found is None:
-                if len(self.stretches) >= CACHED // 2:
-                    self.stretches.clear()
-                self.stretches[s] = found = self.merged(s)
-            out.append(found)
+        neighbours, words, stretches = self.neighbours, self.words, self.stretches
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in neighbours]
+        if not cuts:
+            return self.merged(word)
+        if word[0] == MARK:  # what comes before the first cut is a word that may be known
+            head = word[1 : cuts[0]]
+            out = [words.known.get(head) or words.new(head)]
+        else:
+            out = [self.merged(word[: cuts[0]])]
+        cuts.append(len(word))
+        out += [stretches.known.get(s := word[a:b]) or stretches.new(s) for a, b in zip(cuts, cuts[1:], strict=False)]
         return b"".join(out)
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +259,7 @@ class PieceCodec:
         words, found = text.split(MARK), []
         if words[0]:
             found.append(self.word(words[0]))
-        known = self.words
+        known = self.words.known
         if MARK * 2 in text or text.endswith(MARK):  # runs of marks belong to the word after them
             words = re.findall(f"{MARK}({MARK}*[^{MARK}]*)", text)
         else:
@@ -235,12 +267,8 @@ class PieceCodec:
         for w in words:
             x = known.get(w)
             if x is None:
-                if (x := self.older.get(w)) is None:
-                    x = self.word(MARK + w)
-                known[w] = x
+                x, known = self.words.new(w), self.words.known
             found.append(x)
-        if len(known) > CACHED // 2:  # words that come again within so many others stay
-            self.older, self.words = known, {}
         pieces = np.frombuffer(b"".join(found), _PIECE)
         ends = np.cumsum(pieces["size"], dtype=np.int64)
         begins, ends = source[ends - pieces["size"]], source[ends]
@@ -262,22 +290,42 @@ class PieceCodec:
         return b"".join(out).decode("utf-8", "each-byte")
 
 
+def small_batches(batch, limit: int):
+    """Slices of an Arrow batch, none empty, whose second column's values take at most limit bytes together, or are one value."""
+    start, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        if k > start and held + n > limit:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def encoded(codec: PieceCodec, raw: bytes) -> tuple[bytes, bytes, bytes, str]:
+    """A text's ids, begins and ends as unsigned 32-bit numbers, and the ids' decoded text."""
+    found = codec.encode(raw)
+    return *(x.astype("<u4").tobytes() for x in found), codec.decode(found[0].tolist())
+
+
 def piece_encoding(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", begin: bool = True, end: bool = True) -> DataFrame:
     """Every text's ids with the spans of the original bytes that they cover, and the ids' decoded text.
 
     docs has doc_id and text; other columns are ignored. Returns, a row for each row, doc_id, ids, begins and
     ends (binary: unsigned 32-bit, little-endian) and decoded. The begin and end ids have empty spans at the
     text's ends. Null and empty texts are those two ids alone; null and repeated doc_ids are kept as they are;
-    an empty table gives an empty result. A text takes about 30 times its size of memory while it is encoded.
+    an empty table gives an empty result. A text takes about 30 times its size of memory while it is encoded;
+    what a task keeps besides is bounded by bytes (CACHED).
     """
 
     def run(batches):
         codec = PieceCodec(vocabulary_path(vocabulary), begin, end)
         for whole in batches:
-            for batch in text_batches(whole, 64):
-                found = [codec.encode(raw or b"") for raw in batch.column(1).to_pylist()]
-                columns = [[x.astype("<u4").tobytes() for x in part] for part in (zip(*found, strict=True) if found else ([], [], []))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in columns), pa.array([codec.decode(ids.tolist()) for ids, _, _ in found], pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
+            for rows in text_batches(whole, ROWS):
+                for batch in small_batches(rows, BYTES):
+                    found = [encoded(codec, raw or b"") for raw in batch.column(1).to_pylist()]
+                    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True))], ["doc_id", "ids", "begins", "ends", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     return rows.mapInArrow(given_back(run), "doc_id long, ids binary, begins binary, ends binary, decoded string")

@@ -1,11 +1,13 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,32 @@ def test_piece_tables(spark, model):
         text = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"] or ""
         ids = library.encode(text, add_bos=True, add_eos=True)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
+def test_pieces_take_bounded_memory(monkeypatch, model):
+    """Long words that do not recur, and words with many cuts: what a task keeps of them goes by bytes, not by entries."""
+    monkeypatch.setattr(pieces, "CACHED", 1 << 20)
+    rng, codec = np.random.default_rng(6), pieces.PieceCodec(model)
+    tracemalloc.start()
+    try:
+        for letters, size in (("etaoinshr", 2000), ("etaoinshr", 60_000), ("etao.,:é😀的", 500)):
+            for _ in range(600_000 // size):
+                codec.encode("".join(rng.choice(list(letters), size)).encode())
+        codec.encode(" ".join("".join(rng.choice(list("etaoinshr"), 12)) for _ in range(20_000)).encode())  # all in one text
+        assert tracemalloc.get_traced_memory()[0] < 2.5 * (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_with_small_caches(monkeypatch, spark, model):
+    monkeypatch.setattr(pieces, "CACHED", 20_000)
+    against_library(model, [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()] + odd_texts(300))
+
+
+def test_small_batches():
+    values = [b"a" * n for n in (3, 0, 4, 30, 1, 9, 1)] + [None, b"", b"b" * 10]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(values)], ["doc_id", "raw"])
+    parts = list(pieces.small_batches(whole, 10))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == values and [x for p in parts for x in p.column(0).to_pylist()] == list(range(10))
+    assert all(p.num_rows == 1 or 0 < p.num_rows and sum(len(x or b"") for x in p.column(1).to_pylist()) <= 10 for p in parts)
+    assert not list(pieces.small_batches(whole.slice(0, 0), 10))
