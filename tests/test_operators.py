@@ -213,6 +213,26 @@ def test_self_joins_of_large_keys(spark):
     assert pairs.salted(a.limit(0), b.limit(0), ["organism_id"]).isEmpty()
 
 
+def test_all_pairs_in_blocks(spark):
+    """Every two rows of a key once, in order, whatever the blocks; a row goes to as many places as its key has blocks."""
+    rows = spark.range(300).selectExpr("id % 2 k", "id * 7 % 300 organism_id", "id x")
+    want = sorted((a % 2, a * 7 % 300, b * 7 % 300) for a in range(300) for b in range(300) if a % 2 == b % 2 and a * 7 % 300 < b * 7 % 300)
+    for grain in (1, 6, 1_000):
+        met = pairs.all_pairs(rows, ["k"], "organism_id", grain)
+        assert sorted(tuple(r) for r in met.select("k", "one.organism_id", "two.organism_id").collect()) == want
+    assert pairs.all_pairs(rows.limit(0), ["k"], "organism_id").isEmpty()
+
+
+def test_leaf_distances_are_made_once(spark):
+    """The largest distance comes from the tree, not from a second making of all pairs."""
+    f = queries.Flow(spark, SF)
+    made = [queries.leaf_distances(f, n)._jdf.queryExecution().optimizedPlan().toString().count("explode(sequence") for n in (True, False)]
+    assert made[0] == made[1] > 0
+    norm, plain = (sorted(tuple(r) for r in queries.leaf_distances(f, n).collect()) for n in (True, False))
+    top = max(r[2] for r in plain)
+    assert len(norm) == len(plain) == 149 * 148 // 2 and [r[2] for r in norm] == pytest.approx([r[2] / top * 0.9999 + 1e-4 for r in plain], abs=2e-6)
+
+
 def test_empty_tables(spark):
     f = queries.Flow(spark, SF)
     kept, process = f.kept.limit(0), f.process
