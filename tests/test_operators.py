@@ -205,6 +205,40 @@ def test_roll_up_in_deep_trees(spark):
     assert {(r["subclade_id"], r["domain1"], r["domain2"]): r["prob"] for r in subclades.prune(got, t, height).collect()} == want
 
 
+def test_roll_up_stores_leaves_once(spark, monkeypatch):
+    """No round of the sums stores or shuffles the leaves' own rows again, weighted or not."""
+    f = queries.Flow(spark, SF)
+    leaves = {r[0] for r in f.tree.where("is_leaf").select("node_id").collect()}
+    stored = []
+    for module in (subclades, tree):
+        monkeypatch.setattr(module, "staged", lambda df, name, of=module.staged: stored.append((name, out := of(df, name))) or out)
+    for weighted in (False, True):
+        stored.clear()
+        subclades.rolled_up(f.organism, f.uniform, f.tree, 3, weighted=weighted)
+        held = [name for name, df in stored if {"domain1", "node_id"} <= set(df.columns) and leaves & {r[0] for r in df.select("node_id").distinct().collect()}]
+        assert held == ["leaf_pairs"]
+
+
+def test_pairs_of_organisms_stay_in_place(spark, monkeypatch):
+    """Rows of pairs are made where their organism's genes are; a large organism is dealt to several tasks, with the same result."""
+    f = queries.Flow(spark, SF)
+    plan = f.organism._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(organism_id" in plan and "hashpartitioning(organism_id#0L, domain" not in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "domain1" in x]
+    want = sorted(tuple(r) for r in f.organism.select("organism_id", "domain1", "domain2", "occurrences", "fusions", "n_genes1", "n_genes2").collect())
+    joined = queries.likelihood.organism_likelihoods(f.closest, f.counts)
+    monkeypatch.setattr(pairs, "LARGE_ROWS", 1)
+    dealt = queries.Flow(spark, SF).organism
+    for other in (joined, dealt):
+        assert sorted(tuple(r) for r in other.select("organism_id", "domain1", "domain2", "occurrences", "fusions", "n_genes1", "n_genes2").collect()) == want
+
+
+def test_pruning_counts_without_a_join(spark):
+    table = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (4, 1, 2), (5, 2, 3)], "subclade_id long, domain1 int, domain2 int")
+    found = subclades.pruning_counts(table, table.where("subclade_id <> 5 and domain2 = 2"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 2, 1, 1), (4, 1, 1, 0), (5, 1, 0, 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_self_joins_of_large_keys(spark):
     kept = spark.range(300).selectExpr("id % 2 organism_id", "id domain_id", "id gene_id")
     a, b = kept.toDF("organism_id", "d1", "g1"), kept.toDF("organism_id", "d2", "g2")
@@ -331,6 +365,14 @@ def test_bin_bootstrap_by_a_plain_loop(spark):
     assert resample.bin_bootstrap(table.limit(0)).isEmpty()
 
 
+def test_bins_of_few_pairs_are_not_resampled_in_groups(spark):
+    table = spark.createDataFrame([(k, 1, 0.9) for k in range(5)] + [(9, 1, 0.7)] * 120, "subclade_id long, occurrences long, prob double")
+    found = resample.bin_bootstrap(table, 20)
+    assert sorted((r["subclade_id"], r["n_pairs"], r["mean"]) for r in found.collect()) == [*((k, 1, None) for k in range(5)), (9, 120, 700.0)]
+    grouped = found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[1]
+    assert ">= 100" in grouped
+
+
 def test_fit_of_organisms_by_a_plain_loop(spark):
     rows = spark.createDataFrame([(o, d, n, 5000.0) for o, some in {"a": [(10, 3), (200, 2), (4000, 5)], "b": [(50, 4), (900, 1), (2500, 6)]}.items() for d, n in some], "organism_id string, distance long, n long, half double")
     for r in fit.em_fit(rows, starts=3).collect():
@@ -391,6 +433,51 @@ def test_permutations_use_tree_distances(spark):
     assert resample.summary(moved("A", "B"), ["bin"]).first()["moved"] == pytest.approx(near)
 
 
+def test_permutations_by_a_plain_loop(spark, monkeypatch):
+    """Draw by draw with the same numbers, for many small bins and a large one, however rows fall into batches; no call a bin or an organism."""
+    genes = {o: [(100 * i + 7 * o, 100 * i + 40 + 9 * ((i + o) % 5)) for i in range(1 + 3 * o)] for o in range(6)}
+    of = {0: [0, 1, 2, 3, 4, 5], 7: [1, 4], 9: [2], 11: [5]}
+    bins = [(s, b) for s in of for b in (1, 5, 50)]
+    norm = lambda a, b: (abs(a - b) + 1) / 8
+    want = {}
+    for s, b in bins:
+        for perm in range(3):
+            counts = {}
+            for j in range(b):
+                at = h.mixed(8290, s, b, perm, j) * len(of[s]) // h.MODULUS
+                counts[at] = counts.get(at, 0) + 1
+            first = min(counts, key=lambda at: (h.mixed(8291, s, b, perm, at), at))
+            log_exp = moves = 0
+            for at, m in counts.items():
+                o, key = of[s][at], h.mixed(8292, s, b, perm, at)
+                stays = 1 / m if at == first else (1 - norm(o, of[s][first])) / m
+                for k in range(m):
+                    draw = int(h.mixed(np.int64(key), k))
+                    moved = draw / h.MODULUS >= stays and not (at == first and k == 0)
+                    (i1, a), (i2, c) = ((i, genes[o][i]) for i in (h.mixed(draw, x) * len(genes[o]) // h.MODULUS for x in (1, 2)))
+                    low, high = (a, c) if a[0] <= c[0] else (c, a)
+                    far = a[1] - a[0] + 1 if i1 == i2 else min(high[1] - low[0] + 1, 2000 - high[0] + low[1] + 1)
+                    log_exp += math.log(resample.LAMBDA) - resample.LAMBDA * (far if moved else a[1] - a[0] + c[1] - c[0] + 2)
+                    moves += moved
+            want[s, b, perm] = (log_exp, moves / b)
+    members = spark.createDataFrame([(s, o) for s, x in of.items() for o in x], "subclade_id long, organism_id long")
+    pool = spark.createDataFrame([(o, i, *g, 2000) for o, x in genes.items() for i, g in enumerate(x)], "organism_id long, gene_idx long, gene_start long, gene_end long, size long")
+    uniform = spark.createDataFrame([(o, -9.0) for o in genes], "organism_id long, log_uni_prob double")
+    apart = spark.createDataFrame([(a, b, norm(a, b)) for a in genes for b in genes], "organism1 long, organism2 long, norm_distance double")
+    made = spark.createDataFrame(bins, "subclade_id long, bin long")
+    for batch, draws in ((10_000, 500_000), (3, 20)):
+        monkeypatch.setattr(resample, "DRAWS", draws)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = resample.permutations(made, members, pool, uniform, lambda x: x.distinct().join(apart, ["organism1", "organism2"]), n_perm=3)
+            got = {(r["subclade_id"], r["bin"], r["perm"]): (r["log_exp"], r["moved"]) for r in found.collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "CoGroup" not in plan
+
+
 def test_resampling_covers_all_bins_and_subclades(spark, monkeypatch):
     asked = {}
     monkeypatch.setattr(resample, "permutations", lambda bins, *a, **k: asked.update(bins=bins, options=k))
