@@ -396,6 +396,21 @@ def test_fit_of_organisms_by_a_plain_loop(spark):
         assert (r["log_likelihood"], r["rate"], r["phi"]) == pytest.approx(best, rel=1e-5)
 
 
+def test_fits_of_many_organisms_at_a_time(spark, monkeypatch):
+    """Every organism's fit is that of its histogram alone, however many are fitted at a time, and no group goes to Python on its own."""
+    rng = np.random.default_rng(4)
+    some = {o: sorted(zip(rng.choice(9000, 1 + o % 7, replace=False).tolist(), rng.integers(1, 6, 1 + o % 7).tolist(), strict=True)) for o in range(60)}
+    some |= {60: [(3, 1), (10**8, 2)], 61: [(0, 2)]}
+    rows = spark.createDataFrame([(o, d, n, 5000.0 + o) for o, x in some.items() for d, n in x], "organism_id long, distance long, n long, half double")
+    want = {o: fit.em_grid(*(np.array(v, float) for v in zip(*x, strict=True)), 5000.0 + o, starts=3) for o, x in some.items()}
+    for cells in (1, 100_000):
+        monkeypatch.setattr(fit, "CELLS", cells)
+        found = fit.em_fit(rows, starts=3)
+        got = {r["organism_id"]: (r["rate"], r["phi"], r["log_likelihood"]) for r in found.collect()}
+        assert set(got) == set(want) and all(got[o] == pytest.approx(want[o], rel=1e-9, nan_ok=True) for o in want)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fit_by_expressions(spark):
     """Whole fits from single starts in one expression: their best is that of the grid; a given rate sets the grid's middle."""
     rows = spark.createDataFrame([(o, d, n, 5000.0) for o, some in {"a": [(10, 30), (200, 20), (4000, 50)], "b": [(50, 4), (900, 1), (2500, 6)]}.items() for d, n in some], "organism_id string, distance long, n long, half double")
