@@ -330,6 +330,20 @@ def test_resample_counts_by_a_plain_loop(spark):
         assert {r["sample"]: r["mean"] for r in got} == pytest.approx(want)
 
 
+def test_counts_of_many_rows_and_samples(spark, monkeypatch):
+    """Counts of arrays are those of columns, at the edges too; means do not depend on blocks, and rows are not repeated for every sample."""
+    keys = np.array([0, 1, 7, 12345, h.MODULUS - 1, h.MODULUS, (1 << 31) - 1, *range(1000, 5000, 7)])
+    got = h.poisson_counts(8290, np.arange(200), keys)
+    assert (got == np.searchsorted(h.poisson_limits(), h.mixed(8290, np.arange(200)[:, None], keys), "right")).all()
+    assert [int(x) for x in got[3, :20]] == [r[0] for r in spark.createDataFrame([(k, int(x)) for k, x in enumerate(keys[:20])], "k int, x long").orderBy("k").select(h.poisson_count(h.mixed(8290, F.lit(3), F.col("x")))).collect()]
+    params = spark.createDataFrame([(k, float(k % 13), 1.0 + k % 3) for k in range(500)], "organism_id long, rate double, w double")
+    found = resample.bootstrap_means(params, ["rate"], 90, weight="w")
+    one = {r["sample"]: r["mean"] for r in found.collect()}
+    monkeypatch.setattr(resample, "BLOCK", (3, 11))
+    assert one == pytest.approx({r["sample"]: r["mean"] for r in resample.bootstrap_means(params, ["rate"], 90, weight="w", chunk=40, slice_rows=100).collect()})
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mixed_numbers(spark):
     """Evenness of single numbers and of neighbours, and the same from columns as from arrays."""
     a = h.mixed(8290, 0, 500, np.arange(2000)[:, None], np.arange(500))
